@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docwarden.functions.once import computed_once
 from docwarden.functions.text import piece_substring, pieces, strip
 
 
@@ -43,8 +44,6 @@ def redact(text: Column, cut: Column, findings: Column) -> Column:
 
 def redacted(scans: DataFrame) -> DataFrame:
     """Add ``redacted_text`` next to the original."""
-    return (
-        scans.withColumn("_cut", pieces(F.col("text")))
-        .withColumn("redacted_text", redact(F.col("text"), F.col("_cut"), F.col("findings")))
-        .drop("_cut")
-    )
+    cut = scans.withColumn("_cut", pieces(F.col("text")))
+    safe = redact(F.col("text"), F.col("_cut"), F.col("findings"))
+    return computed_once(cut, {"redacted_text": safe}).drop("_cut")

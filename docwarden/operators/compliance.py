@@ -71,9 +71,8 @@ def risk_heatmap(assessed: DataFrame) -> DataFrame:
     rows = counted.select(
         F.col("file_name").alias("document"), *[name for name, _ in HEATMAP_GROUPS],
         F.col("n_findings").alias("total"), signal.alias("risk_signal"),
-        F.explode_outer(F.slice("findings", 1, 1)).alias("_any"),
     )
-    return rows.where(F.col("_any.category").isNotNull()).drop("_any")
+    return rows.where(F.col("total") > 0)
 
 
 def heatmap_or_placeholder(heatmap: DataFrame) -> DataFrame:
@@ -103,9 +102,7 @@ def recommended_actions(facts: DataFrame) -> DataFrame:
 
 def severity_explanations(scans: DataFrame, limit: int = EVIDENCE_ROWS) -> DataFrame:
     """The first ``limit`` findings of each document with the reason for their severity."""
-    rows = scans.select(
-        "doc_id", F.posexplode_outer(F.slice("findings", 1, limit)).alias("i", "f")
-    ).where(F.col("f.category").isNotNull())
+    rows = scans.select("doc_id", F.posexplode(F.slice("findings", 1, limit)).alias("i", "f"))
     return rows.select(
         "doc_id", (F.col("i") + 1).alias("row_no"), "f.category",
         mask_value(F.col("f.value")).alias("masked_value"), "f.severity",

@@ -16,6 +16,7 @@ from docwarden.catalog import (
     DETECTORS, FIRST_CONTEXTUAL, MODEL_ENTITY_LABELS, MODEL_ORG_STOP_VALUES, PATTERNS,
 )
 from docwarden.functions.masking import mask_value
+from docwarden.functions.once import computed_once
 from docwarden.functions.spans import (
     MARK, clean_contextual, has_odd_case, match_copy, match_spans, resolve_overlaps,
 )
@@ -32,12 +33,13 @@ _AADHAAR = next(i for i, p in enumerate(PATTERNS) if p.category == "Aadhaar Numb
 
 
 def spread(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rebalance documents so that one big input split does not scan alone.
+    """Rebalance documents when the input has fewer splits than the cluster has cores.
 
-    Row-wise distribution (no key), so no value can make a partition hot.
+    A large table has many splits and is left alone, so the text is not
+    shuffled. Rows are dealt out without a key: no value can make a task hot.
     """
-    sc = docs.sparkSession.sparkContext
-    return docs.repartition(partitions or max(sc.defaultParallelism, 1))
+    wanted = partitions or docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= wanted else docs.repartition(wanted)
 
 
 def _meta() -> str:
@@ -94,19 +96,16 @@ def scan(docs: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
               'severity', {_meta()}[k.p].sev, 'confidence', {_meta()}[k.p].conf,
               'reason', {_meta()}[k.p].why))"""
     )
-    return resolved.withColumn("findings", findings).drop("_kept", "candidates")
+    return computed_once(resolved, {"findings": findings}).drop("_kept", "candidates")
 
 
 def explode_findings(scans: DataFrame, *keys: str) -> DataFrame:
     """One row per finding: the narrow fact table downstream queries use.
 
-    ``explode_outer`` plus a filter on the generated column, not ``explode``:
-    the optimizer would turn the latter into a size filter on ``findings`` and
-    push it below the projection, detecting everything twice.
+    ``keys`` are the document columns to keep (default: all but the text).
     """
     keys = keys or tuple(c for c in scans.columns if c not in ("text", "findings"))
-    rows = scans.select(*keys, F.explode_outer("findings").alias("f"))
-    return rows.where(F.col("f.category").isNotNull()).select(*keys, "f.*")
+    return scans.select(*keys, F.inline("findings"))
 
 
 def findings_view(facts: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docwarden.catalog import ANSWER_MARKERS, CONTEXT_QUERY, SUMMARY_SECTIONS
 from docwarden.functions.masking import mask_value, redacted
+from docwarden.functions.once import computed_once
 from docwarden.functions.text import strip
 from docwarden.operators.batches import first_per_group
 from docwarden.operators.retrieval import retrieve
@@ -92,8 +93,10 @@ def parse_model_json(replies: DataFrame) -> DataFrame:
     gives null sections, so the caller falls back.
     """
     braces = F.regexp_extract("reply", r"(?s)(\{.*\})", 1)
-    parsed = replies.withColumn(
-        "_v", F.try_parse_json(F.coalesce(F.nullif(braces, F.lit("")), strip(F.col("reply"))))
+    cleaned = F.coalesce(F.nullif(braces, F.lit("")), strip(F.col("reply")))
+    parsed = computed_once(
+        computed_once(replies, {"reply": F.col("reply"), "_c": cleaned}),
+        {"_v": F.try_parse_json("_c")},
     )
 
     def section(name: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docwarden.catalog import (
     CHUNK_OVERLAP, CHUNK_SIZE, KEYWORD_SIGNALS, Pattern, RULER_PHRASES, SEMANTIC_SOURCE,
 )
+from docwarden.functions.once import computed_once
 from docwarden.functions.spans import has_odd_case, match_copy, match_spans
 from docwarden.functions.sqltext import string_array
 from docwarden.functions.text import compact, compact_text, count_of
@@ -139,15 +140,12 @@ def with_chunks(
 ) -> DataFrame:
     """Add ``chunks`` to every document."""
     flat = docs.withColumn("_flat", compact(F.col("text")))
-    return flat.withColumn("chunks", chunk_array(F.col("_flat"), size, overlap)).drop("_flat")
+    return computed_once(flat, {"chunks": chunk_array(F.col("_flat"), size, overlap)}).drop("_flat")
 
 
 def chunk_text(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: doc_id, chunk_no, start, text."""
-    rows = with_chunks(docs, size, overlap).select(
-        "doc_id", F.explode_outer("chunks").alias("c")
-    )
-    return rows.where(F.col("c.text").isNotNull()).select("doc_id", "c.*")
+    return with_chunks(docs, size, overlap).select("doc_id", F.inline("chunks"))
 
 
 def chunk_sentences(docs: DataFrame, max_terms: int = 200, overlap: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from docwarden.catalog import (
     EMPTY_TEXT_NOTE, GENERAL_PROFILE, PROFILE_TERMS, REMEDIATION_ALWAYS, REMEDIATION_PDF,
     REMEDIATION_RULES, SECURITY_RISK_FALLBACK, SECURITY_RISK_RULES, SUMMARY_SECTIONS,
 )
+from docwarden.functions.once import computed_once
 from docwarden.functions.sqltext import any_of, present, quote
 from docwarden.functions.text import compact, count_of
 from docwarden.operators.risk import category_map_text
@@ -30,7 +31,9 @@ def _profile(lowered: Column) -> Column:
 
 def document_profile(docs: DataFrame) -> DataFrame:
     """Add ``profile``: the label whose terms occur most, ties to the first."""
-    best = docs.withColumn("_low", F.lower("text")).withColumn("_best", _profile(F.col("_low")))
+    best = computed_once(
+        docs.withColumn("_low", F.lower("text")), {"_best": _profile(F.col("_low"))}
+    )
     return best.withColumn(
         "profile",
         F.when(F.col("_best.score") > 0, F.col("_best.label")).otherwise(GENERAL_PROFILE),
@@ -42,14 +45,15 @@ def document_excerpt(docs: DataFrame) -> DataFrame:
     compacted = docs.withColumn("_flat", compact(F.col("text")))
     sentence = F.regexp_extract("_flat", r"(.{40,220}?[.!?])(?: |\z)", 1)
     first_three = F.array_join(F.slice(F.split("_flat", "(?<=[.!?]) +", -1), 1, 3), " ")
-    return compacted.withColumns(
+    return computed_once(
+        compacted,
         {
             "excerpt": F.left(
                 F.coalesce(F.nullif(sentence, F.lit("")), F.left("_flat", F.lit(180))),
                 F.lit(220),
             ),
             "lead_sentences": F.left(first_three, F.lit(600)),
-        }
+        },
     ).drop("_flat")
 
 

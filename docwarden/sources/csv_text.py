@@ -16,11 +16,12 @@ _QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
 
 
 def infer_delimiter(text: Column) -> Column:
-    """The delimiter that occurs equally often, at least once, in every sample line.
+    """The delimiter of the header line that most sample lines agree on.
 
-    Among several the most frequent wins, then the order ``, ; tab |``; with
-    none the answer is a comma. Quoted stretches do not count, nor does a last
-    line that the sample cuts off.
+    A delimiter gets one vote per sample line that holds it as often as the
+    header does. Most votes win, then the higher count, then the order
+    ``, ; tab |``; when the header holds none the answer is a comma. Quoted
+    stretches do not count, nor does a last line that the sample cuts off.
     """
     sample = F.regexp_replace(F.left(text, F.lit(SAMPLE_CHARS)), r'"[^"]*"', "")
     lines = F.filter(F.split(sample, r"\r\n|\n|\r", -1), lambda s: s != "")
@@ -32,12 +33,15 @@ def infer_delimiter(text: Column) -> Column:
             whole,
             lambda s: F.length(s) - F.length(F.replace(s, F.lit(delimiter), F.lit(""))),
         )
-        steady = (F.size(counts) > 0) & (F.size(F.array_distinct(counts)) == 1)
-        n = F.when(steady, F.element_at(counts, 1)).otherwise(0)
-        return F.struct(n.alias("n"), F.lit(-rank).alias("rank"), F.lit(delimiter).alias("d"))
+        head = F.coalesce(F.try_element_at(counts, F.lit(1)), F.lit(0))
+        agree = F.size(F.filter(counts, lambda n: n == head))
+        return F.struct(
+            F.when(head > 0, agree).otherwise(0).alias("votes"), head.alias("n"),
+            F.lit(-rank).alias("rank"), F.lit(delimiter).alias("d"),
+        )
 
     best = F.array_max(F.array(*[vote(d, i) for i, d in enumerate(DELIMITERS)]))
-    return F.when(best["n"] > 0, best["d"]).otherwise(",")
+    return F.when(best["votes"] > 0, best["d"]).otherwise(",")
 
 
 def _class(delimiter: Column, extra: str) -> Column:
