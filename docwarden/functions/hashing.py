@@ -62,12 +62,16 @@ def _norm(sparse: Column) -> Column:
 
 def sparse_vector(terms: Column) -> Column:
     """array<(dim, w)> of unit length."""
-    return _named(
-        sparse_sums(term_codes(terms)),
-        lambda s: F.transform(
-            s, lambda x: F.struct(x["dim"].alias("dim"), (x["total"] / _norm(s)).alias("w"))
-        ),
-    )
+
+    def scaled(s: Column) -> Column:
+        return F.transform(
+            s["sums"], lambda x: F.struct(x["dim"].alias("dim"), (x["total"] / s["norm"]).alias("w"))
+        )
+
+    def measured(sums: Column) -> Column:
+        return F.struct(sums.alias("sums"), _norm(sums).alias("norm"))
+
+    return _named(_named(sparse_sums(term_codes(terms)), measured), scaled)
 
 
 def dense_vector(terms: Column) -> Column:

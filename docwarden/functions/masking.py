@@ -44,6 +44,6 @@ def redact(text: Column, cut: Column, findings: Column) -> Column:
 
 def redacted(scans: DataFrame) -> DataFrame:
     """Add ``redacted_text`` next to the original."""
-    cut = scans.withColumn("_cut", pieces(F.col("text")))
+    cut = computed_once(scans, {"_cut": pieces(F.col("text"))})
     safe = redact(F.col("text"), F.col("_cut"), F.col("findings"))
     return computed_once(cut, {"redacted_text": safe}).drop("_cut")

@@ -13,6 +13,8 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     below the projection that defines its columns and repeats their expressions
     there. For costly columns that means doing the work twice. Filters do not
     pass a generator's output, and unused columns are still pruned through it.
+    The same goes for a column that a later lambda uses: it would be moved into
+    the lambda and evaluated per array element.
     """
     kept = [c for c in df.columns if c not in columns]
     row = F.struct(*[value.alias(name) for name, value in columns.items()])

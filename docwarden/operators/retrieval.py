@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docwarden.catalog import CHUNK_OVERLAP, CHUNK_SIZE, DEFAULT_QUERY, POLICY_QUERY
 from docwarden.functions.hashing import dense_vector, similarity, sparse_vector
+from docwarden.functions.once import computed_once
 from docwarden.functions.text import terms
 from docwarden.operators.nlp import with_chunks
 from docwarden.operators.scale import salted_lookup
@@ -61,13 +62,9 @@ def _ranked(
     the best k hold none, the first k chunks are returned.
     """
     asked = F.coalesce(F.nullif(query, F.lit("")), F.lit(DEFAULT_QUERY))
-    prepared = (
-        with_chunks(docs.withColumn("_qt", terms(asked)), size, overlap)
-        .withColumn("_qv", dense_vector(F.col("_qt")))
-        .withColumn(
-            "_terms", F.transform("chunks", lambda c: terms(c["text"]))
-        )
-    )
+    wanted = computed_once(docs, {"_qt": terms(asked)})
+    chunked = with_chunks(computed_once(wanted, {"_qv": dense_vector(F.col("_qt"))}), size, overlap)
+    prepared = chunked.withColumn("_terms", F.transform("chunks", lambda c: terms(c["text"])))
     scored = F.transform(
         F.arrays_zip("chunks", "_terms"),
         lambda z: F.struct(
@@ -75,7 +72,7 @@ def _ranked(
             z["chunks"]["chunk_no"].alias("chunk_no"),
         ),
     )
-    best = prepared.withColumn("_scored", scored).withColumn(
+    best = computed_once(prepared, {"_scored": scored}).withColumn(
         "_best", F.slice(F.sort_array("_scored", asc=False), 1, k)
     )
     positive = F.filter("_best", lambda s: s["score"] > 0)

@@ -560,7 +560,7 @@ def framework_map(spark, d):
 
 @query
 def heatmap(spark, d):
-    return compliance.heatmap_or_placeholder(compliance.risk_heatmap(_assessed(spark, d)))
+    return compliance.risk_heatmap(_assessed(spark, d))
 
 
 @query
