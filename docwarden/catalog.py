@@ -81,7 +81,8 @@ _EMAIL_START = r"(?:(?=[A-Za-z0-9_])(?<!\w)|(?=[.%+-])(?<=\w))"
 PATTERNS = (
     Pattern(
         "Credit Card Number",
-        r"(?<!\d)", r"\d(?:[ -]*+\d){12,18}", r"(?!\d)",
+        # separators are taken only while fewer than 13 digits have been read
+        r"(?<!\d)", r"\d(?:[ -]*+\d){12}\d{0,6}", r"(?!\d)",
         "High", 0.75,
         "13 to 19 digit payment-card-like sequence validated with Luhn when possible.",
         probe=r"\p{Nd}(?:[ -]*+\p{Nd}){12}",
