@@ -73,9 +73,10 @@ def csv_records(text: Column, delimiter: Column) -> Column:
 
 def csv_cells(record: Column, delimiter: Column) -> Column:
     """array<string>: unquoted cells; a blank record has none."""
+    # With a delimiter in front of every cell no match is empty.
     raw = F.regexp_extract_all(
-        record,
-        F.concat(F.lit(r"(?:\A|"), _escaped(delimiter), F.lit(")("), _field(delimiter), F.lit(")")),
+        F.concat(delimiter, record),
+        F.concat(_escaped(delimiter), F.lit("("), _field(delimiter), F.lit(")")),
     )
 
     def unquote(cell: Column) -> Column:
