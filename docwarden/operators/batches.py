@@ -81,18 +81,22 @@ def source_ranges(docs: DataFrame) -> DataFrame:
     )
 
 
-def combine_text(docs: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+def combine_text(
+    docs: DataFrame, ranges: DataFrame | None = None, part_chars: int = PART_CHARS
+) -> DataFrame:
     """The combined text of each batch in parts of about ``part_chars``.
 
     Ordinary batches come as one part, which is the whole combined text. A part
     never holds more than ``part_chars`` plus one document, whatever the size
     of the batch.
     """
-    ranges = source_ranges(docs).select("doc_id", "section_start", "start")
+    placed_at = (source_ranges(docs) if ranges is None else ranges).select(
+        "doc_id", "section_start", "start"
+    )
     section = F.when(
         F.col("start") > F.col("section_start"), F.concat(section_header(), F.col("text"))
     ).otherwise(F.col("text"))
-    placed = docs.join(ranges, "doc_id").select(
+    placed = docs.join(placed_at, "doc_id").select(
         "batch_id", F.floor(F.col("section_start") / part_chars).alias("part_no"),
         "section_start", section.alias("section"),
     )

@@ -5,6 +5,8 @@ Only redacted text and masked values enter what a model may see.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,15 +153,18 @@ def _words(text: Column) -> Column:
     )
 
 
-def merge_answers(answers: DataFrame) -> DataFrame:
+def merge_answers(
+    answers: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
     """Best answer per analysis plus up to two sentences that add new terms.
 
     ``answers``: analysis_id, model_no, answer. Every step is an aggregate or a
     salted look-up: the best answer by (marker words, length, model order), then
     the first sentence with three terms it lacks, then the next one that still
-    brings three terms beyond both.
+    brings three terms beyond both. ``keep`` may store the two intermediate
+    results that are used more than once (``docwarden.session.stored``).
     """
-    unique = (
+    unique = keep(
         answers.withColumn("_norm", normalized(F.col("answer"))).where("_norm <> ''")
         .groupBy("analysis_id", "_norm")
         .agg(F.min(F.struct("model_no", "answer")).alias("f"))
@@ -182,10 +187,12 @@ def merge_answers(answers: DataFrame) -> DataFrame:
         F.posexplode(F.split(strip(F.col("answer")), r"(?<=[.!?])[\s\x1c-\x1f\x85\p{Z}]+", -1))
         .alias("pos", "sentence"),
     ).withColumn("_terms", _words(F.col("sentence")))
-    extra = salted_lookup(
+    others = salted_lookup(
         sentences, best.select("analysis_id", "_best_no", "_base"), ["analysis_id"],
         F.struct("model_no", "pos"), "inner",
     ).where(F.col("model_no") != F.col("_best_no"))
+    # Only sentences with enough terms beyond the best answer can ever be added.
+    extra = keep(others.where(F.size(F.array_except("_terms", "_base")) >= NEW_TERMS))
 
     def first_new(rows: DataFrame, known: Column, name: str) -> DataFrame:
         fresh = rows.where(F.size(F.array_except("_terms", known)) >= NEW_TERMS)

@@ -137,12 +137,14 @@ def category_totals(facts: DataFrame, *keys: str) -> DataFrame:
     counts = facts.groupBy(*keys, "category").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")
     )
-    # At most one row per category is left, so the second grouping is tiny.
-    top = counts.groupBy(*keys).agg(F.max("n").alias("top_n"))
-    joined = counts.join(top, list(keys)) if keys else counts.crossJoin(F.broadcast(top))
-    return joined.select(
-        *keys, "category", "n", "first",
-        F.round(F.col("n") / F.col("top_n"), 6).alias("ratio"),
+    # A group has at most one row per category left, so its list is short.
+    listed = counts.groupBy(*keys).agg(
+        F.collect_list(F.struct("category", "n", "first")).alias("_c")
+    )
+    top = F.array_max(F.transform("_c", lambda c: c["n"]))
+    rows = listed.withColumn("_top", top).select(*keys, "_top", F.inline("_c"))
+    return rows.select(
+        *keys, "category", "n", "first", F.round(F.col("n") / F.col("_top"), 6).alias("ratio")
     )
 
 

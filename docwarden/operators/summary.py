@@ -16,6 +16,9 @@ from docwarden.functions.sqltext import any_of, present, quote
 from docwarden.functions.text import compact, count_of
 from docwarden.operators.risk import category_map_text
 
+HEAD_CHARS = 4_096
+LEAD_CHARS = 600
+
 
 def _profile(lowered: Column) -> Column:
     scored = [
@@ -40,21 +43,49 @@ def document_profile(docs: DataFrame) -> DataFrame:
     ).drop("_low", "_best")
 
 
+def _first_sentence(flat: Column, end: str) -> Column:
+    return F.regexp_extract(flat, rf"(.{{40,220}}?[.!?])(?:{end})", 1)
+
+
+def _lead_sentences(flat: Column) -> Column:
+    """The first three sentences, at most 600 characters.
+
+    Compacted text has single spaces, so joining the sentences again is the same
+    as taking a prefix: two characters past the cap decide where it ends.
+    """
+    start = F.left(flat, F.lit(LEAD_CHARS + 2))
+    parts = F.slice(F.split(start, "(?<=[.!?]) +", -1), 1, 3)
+    return F.left(F.array_join(parts, " "), F.lit(LEAD_CHARS))
+
+
 def document_excerpt(docs: DataFrame) -> DataFrame:
-    """Add ``excerpt`` (first sentence-like stretch) and ``lead_sentences``."""
-    compacted = docs.withColumn("_flat", compact(F.col("text")))
-    sentence = F.regexp_extract("_flat", r"(.{40,220}?[.!?])(?: |\z)", 1)
-    first_three = F.array_join(F.slice(F.split("_flat", "(?<=[.!?]) +", -1), 1, 3), " ")
+    """Add ``excerpt`` (first sentence-like stretch) and ``lead_sentences``.
+
+    Both are nearly always settled by the head of the text, which is tried
+    first. Where it does not settle them the whole text is used, so the result
+    is always that of the whole text: a sentence found in the head and followed
+    by a space is the first one, because any earlier start that runs past the
+    head would also reach the end of that sentence.
+    """
+    headed = computed_once(docs, {"_head": compact(F.left("text", F.lit(HEAD_CHARS)))})
+    whole_in_head = F.length("text") <= HEAD_CHARS
+    tried = computed_once(headed, {"_found": _first_sentence(F.col("_head"), " ")})
+    flat = compact(F.col("text"))
+    late = F.coalesce(
+        F.nullif(_first_sentence(flat, r" |\z"), F.lit("")), F.left(flat, F.lit(180))
+    )
+    head_is_enough = whole_in_head | (F.length("_head") >= LEAD_CHARS + 2)
     return computed_once(
-        compacted,
+        tried,
         {
             "excerpt": F.left(
-                F.coalesce(F.nullif(sentence, F.lit("")), F.left("_flat", F.lit(180))),
-                F.lit(220),
+                F.when(F.col("_found") != "", F.col("_found")).otherwise(late), F.lit(220)
+            ),
+            "lead_sentences": F.when(head_is_enough, _lead_sentences(F.col("_head"))).otherwise(
+                _lead_sentences(flat)
             ),
-            "lead_sentences": F.left(first_three, F.lit(600)),
         },
-    ).drop("_flat")
+    ).drop("_head", "_found")
 
 
 def _observations_sql() -> str:

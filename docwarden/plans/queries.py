@@ -7,7 +7,6 @@ and model traces, and ``labels`` as reviewer feedback.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +21,7 @@ from docwarden.operators import (
     batches, compliance, detect, history, models, monitoring, nlp, qa, retrieval, risk, summary,
 )
 from docwarden.plans.enriched import enriched_documents
+from docwarden.session import scratch_dir, stored
 from docwarden.sources import pages as page_source
 from docwarden.sources import sinks
 from docwarden.sources.csv_text import flatten_csv, infer_delimiter
@@ -649,7 +649,7 @@ def reviewer_decisions(spark, d):
 
 def _scan_history(spark: SparkSession, d: str) -> DataFrame:
     return history.history_rows(
-        _measured(spark, d), risk.assess_groups(_scans(spark, d), "batch_id")
+        stored(_measured(spark, d)), risk.assess_groups(_scans(spark, d), "batch_id")
     )
 
 
@@ -665,7 +665,7 @@ def history_facts(spark, d):
 @query
 def scan_log(spark, d):
     log = sinks.scan_log(
-        _measured(spark, d).withColumn("user_id", F.col("batch_id")),
+        stored(_measured(spark, d).withColumn("user_id", F.col("batch_id"))),
         risk.assess_groups(_scans(spark, d), "batch_id"), "2024-01-01T00:00:00Z",
     )
     return log.select(
@@ -679,7 +679,7 @@ def scan_log(spark, d):
 
 @query
 def analysis_events(spark, d):
-    docs = _measured(spark, d).withColumn("user_id", F.col("batch_id"))
+    docs = stored(_measured(spark, d).withColumn("user_id", F.col("batch_id")))
     lists = sinks.file_lists(docs)
     per_batch = risk.assess_groups(_scans(spark, d), "batch_id").select(
         "batch_id", "risk_level", "risk_score", F.col("n_findings").alias("detections"),
@@ -923,7 +923,7 @@ def merge_answers(spark, d):
         F.col("conv_id").alias("analysis_id"), F.col("turn").alias("model_no"),
         F.col("text").alias("answer"),
     )
-    return models.merge_answers(answers)
+    return models.merge_answers(answers, stored)
 
 
 @query
@@ -961,20 +961,20 @@ def fallback_choice(spark, d):
 
 @query
 def batch_meta(spark, d):
-    return batches.batch_metadata(_measured(spark, d))
+    return batches.batch_metadata(stored(_measured(spark, d)))
 
 
 @query
 def combined_text(spark, d):
-    docs = _docs(spark, d).withColumn("characters", F.length("text"))
-    return batches.combine_text(docs).select(
+    ranges = batches.source_ranges(stored(_measured(spark, d)))
+    return batches.combine_text(_docs(spark, d), ranges).select(
         "batch_id", "part_no", F.length("text").alias("length"), F.md5("text").alias("digest")
     )
 
 
 @query
 def source_ranges(spark, d):
-    return batches.source_ranges(_measured(spark, d)).select(
+    return batches.source_ranges(stored(_measured(spark, d))).select(
         "batch_id", "doc_id", "start", "end"
     )
 
@@ -982,7 +982,7 @@ def source_ranges(spark, d):
 @query
 def map_to_source(spark, d):
     """Findings placed in the combined text and attributed back to files."""
-    ranges = batches.source_ranges(_measured(spark, d))
+    ranges = stored(batches.source_ranges(stored(_measured(spark, d))))
     spans = _facts(spark, d).select("doc_id", "batch_id", "category", "start", "end").join(
         ranges.select("doc_id", F.col("start").alias("_at")), "doc_id"
     ).select(
@@ -998,7 +998,7 @@ def batch_dashboard(spark, d):
         "batch_id", "doc_id", "file_name", "file_type", F.col("n_chars").alias("characters"),
         "n_findings",
     )
-    return batches.batch_dashboard(docs)
+    return batches.batch_dashboard(stored(docs))
 
 
 @query
@@ -1080,15 +1080,6 @@ def export_html(spark, d):
 # --- streams ----------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared one; a local one only in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix="docwarden-")
-    row = spark.range(1).select(F.uuid().alias("u")).first()
-    return f"{shared}/docwarden-{row['u']}"
-
-
 def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
     schema = read_table(spark, d, table).schema
     return (
@@ -1112,7 +1103,7 @@ def stream_scan(spark, d):
     docs = _stream(spark, d, "documents").select("doc_id", "lang", "text")
     spread = docs.repartition(spark.sparkContext.defaultParallelism)
     rows = jobs.stream_scan(spread).select("doc_id", "lang", "risk_level", "risk_score", "n_findings")
-    return _run_to_table(rows, _scratch(spark))
+    return _run_to_table(rows, scratch_dir(spark))
 
 
 @query

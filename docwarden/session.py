@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "docwarden", master: str | None = None) -> SparkSession:
@@ -19,8 +22,24 @@ def build_session(app_name: str = "docwarden", master: str | None = None) -> Spa
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names for intermediate tables."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    """A fresh folder name below the shared one the cluster names.
+
+    Only a local-mode session, as in tests, may do without such a folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return folder
+    if not shared:
+        return tempfile.mkdtemp(prefix="docwarden-")
+    return f"{shared.rstrip('/')}/docwarden-{uuid.uuid4()}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the shared folder and read it back.
+
+    For narrow results that several later steps use: the scan behind them runs
+    once, and lost executors cannot make it run again.
+    """
+    folder = f"{scratch_dir(df.sparkSession)}/table"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
