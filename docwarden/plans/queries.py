@@ -128,8 +128,9 @@ def _audits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _traces(spark: SparkSession, d: str) -> DataFrame:
-    calls = read_table(spark, d, "events").select(
+def _trace_rows(events: DataFrame) -> DataFrame:
+    """Events in the shape of model calls, as trace facts."""
+    calls = events.select(
         F.col("event_id").alias("id"), "user_id",
         F.concat(F.lit("a"), F.col("user_id").cast("string")).alias("analysis_id"),
         F.when(F.col("event_type") == "view", "qa").otherwise("summary").alias("feature"),
@@ -143,6 +144,10 @@ def _traces(spark: SparkSession, d: str) -> DataFrame:
     return monitoring.trace_rows(calls)
 
 
+def _traces(spark: SparkSession, d: str) -> DataFrame:
+    return _trace_rows(read_table(spark, d, "events"))
+
+
 def _feedback(spark: SparkSession, d: str) -> DataFrame:
     verdict = (
         F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "Correct")
@@ -440,6 +445,11 @@ def qa_category(spark, d):
     )
 
 
+@query
+def qa_audit_note(spark, d):
+    return qa.answer_all(_summarized(spark, d), ["Write an audit note"]).select("doc_id", "answer")
+
+
 @query
 def qa_local_flag(spark, d):
     """The local-question test over every conversation turn."""
@@ -1106,10 +1116,49 @@ def stream_scan(spark, d):
     return _run_to_table(rows, scratch_dir(spark))
 
 
+@query
+def stream_persist(spark, d):
+    """Analyses from a stream of repeating ids, appended once each."""
+    analyses = _stream(spark, d, "documents").select(
+        F.concat(F.lit("a"), (F.col("doc_id") % 97).cast("string")).alias("analysis_id"),
+        _doc_time().alias("created_at"),
+    )
+    folder = scratch_dir(spark)
+    jobs.stream_persist(
+        analyses, f"{folder}/rows", f"{folder}/state", "30 days", available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("analysis_id")
+
+
 @query
 def stream_monitor(spark, d):
-    """Windowed monitor; the same aggregate as on a stream, over the whole table."""
-    return jobs.monitor(_traces(spark, d), "1 day").select(
+    """Windowed monitor on the event stream; every window is kept in the result table."""
+    rows = jobs.monitor(_trace_rows(_stream(spark, d, "events")), "1 day")
+    folder = scratch_dir(spark)
+    (
+        rows.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state")
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows").select(
         _stamp("window_start").alias("window_start"), "calls", "fallbacks", "max_latency_ms",
         "fallback_rate",
     )
+
+
+@query
+def monitor_windows(spark, d):
+    """The same monitor as a batch aggregate, by hour."""
+    return jobs.monitor(_traces(spark, d), "1 hour").select(
+        _stamp("window_start").alias("window_start"), "calls", "fallbacks", "max_latency_ms",
+        "fallback_rate",
+    )
+
+
+@query
+def scan_monitor(spark, d):
+    """Documents, findings and high-risk documents per hour of scan time."""
+    scans = _assessed(spark, d).withColumn("created_at", _doc_time())
+    return jobs.scan_monitor(scans).select(
+        _stamp("window_start").alias("window_start"), "documents", "findings", "high_risk"
+    )

@@ -18,6 +18,14 @@ def append_facts(rows: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
+def audit_events(rows: DataFrame, event_type: str, *details: str) -> DataFrame:
+    """Audit facts (user_id, event_type, details JSON, created_at) from any rows."""
+    return rows.select(
+        "user_id", F.lit(event_type).alias("event_type"),
+        F.to_json(F.struct(*details)).alias("details"), "created_at",
+    )
+
+
 def file_lists(docs: DataFrame, files_per_part: int = FILES_PER_PART) -> DataFrame:
     """Files of each batch in bounded, ordered lists.
 
