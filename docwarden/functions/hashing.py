@@ -8,12 +8,11 @@ vector, its length or its dot product with a query vector.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docwarden.catalog import HASH_DIMENSIONS
+from docwarden.functions.once import named
 
 
 def _byte(digest: Column, index: int) -> Column:
@@ -71,12 +70,12 @@ def sparse_vector(terms: Column) -> Column:
     def measured(sums: Column) -> Column:
         return F.struct(sums.alias("sums"), _norm(sums).alias("norm"))
 
-    return _named(_named(sparse_sums(term_codes(terms)), measured), scaled)
+    return named(named(sparse_sums(term_codes(terms)), measured), scaled)
 
 
 def dense_vector(terms: Column) -> Column:
     """The same vector as array<double> of 128 values."""
-    return _named(
+    return named(
         F.map_from_entries(sparse_vector(terms)),
         lambda m: F.transform(
             F.sequence(F.lit(0), F.lit(HASH_DIMENSIONS - 1)),
@@ -86,15 +85,37 @@ def dense_vector(terms: Column) -> Column:
 
 
 def similarity(terms: Column, query_vector: Column) -> Column:
-    """Dot product of the text's unit vector with a dense unit query vector."""
-    return _named(
-        sparse_sums(term_codes(terms)),
-        lambda s: F.aggregate(
-            s, F.lit(0.0), lambda a, x: a + x["total"] * query_vector[x["dim"]]
-        ) / _norm(s),
-    )
+    """Dot product of the text's unit vector with a dense unit query vector.
+
+    The fold keeps four numbers: Spark copies a fold's state at every step, so a
+    growing array there would cost far more than the sums.
+    """
 
+    def closed(a: Column) -> Column:
+        weight = F.when(a["dim"] >= 0, query_vector[a["dim"]]).otherwise(F.lit(0.0))
+        return F.struct(
+            (a["squares"] + a["run"] * a["run"]).alias("squares"),
+            (a["dot"] + a["run"] * weight).alias("dot"),
+        )
 
-def _named(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    def step(a: Column, c: Column) -> Column:
+        dim, sign = F.floor(c / 2).cast("int"), F.lit(1) - (c % 2) * 2
+        same = a["dim"] == dim
+        return F.when(
+            same,
+            F.struct(a["dim"].alias("dim"), (a["run"] + sign).alias("run"),
+                     a["squares"].alias("squares"), a["dot"].alias("dot")),
+        ).otherwise(
+            F.struct(dim.alias("dim"), sign.alias("run"), closed(a)["squares"].alias("squares"),
+                     closed(a)["dot"].alias("dot"))
+        )
+
+    def finish(a: Column) -> Column:
+        size = closed(a)["squares"]
+        return F.when(size > 0, closed(a)["dot"] / F.sqrt(size.cast("double"))).otherwise(0.0)
+
+    zero = F.struct(
+        F.lit(-1).alias("dim"), F.lit(0).alias("run"), F.lit(0).alias("squares"),
+        F.lit(0.0).alias("dot"),
+    )
+    return F.aggregate(term_codes(terms), zero, step, finish)

@@ -2,14 +2,14 @@
 
 A match is bracketed with a private-use mark by ``regexp_replace`` and the text
 is split on the mark: odd parts are values, even parts are the gaps, so a
-running sum of lengths gives every offset. Arrays that grow with the number of
-matches are built in blocks, which keeps the folds close to linear for very
-long documents.
+running sum of lengths gives every offset. Spark copies the state of an array
+fold at every step, so running values are taken in short blocks and no fold
+carries an array that grows with the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,11 +19,12 @@ from docwarden.catalog import (
     CONTEXT_MAX_LENGTH, CONTEXT_STOP_MARKERS, CONTEXT_STRIP_CHARS, ODD_CASE_LETTERS, Pattern,
     SPACE,
 )
+from docwarden.functions.once import named
 from docwarden.functions.sqltext import quote
 
 MARK = ""
 MARK_STAND_IN = ""
-BLOCK = 512
+BLOCK = 64
 
 # start, priority, end, value: natural order is by start, then priority.
 SPAN = "struct<s:int,p:int,e:int,v:string>"
@@ -55,33 +56,53 @@ def marked_parts(text: Column, pattern: Pattern) -> Column:
     return F.split(marked, MARK, -1)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running sum or maximum of a non-empty array of whole numbers >= 0."""
+
+    def grown(a: Column, x: Column) -> Column:
+        return F.concat(a, F.array(combine(F.element_at(a, -1), x)))
+
+    def within(block: Column) -> Column:
+        return F.slice(F.aggregate(block, F.array(F.lit(0)), grown), 2, BLOCK)
+
+    def blocks(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))
+        return F.transform(starts, lambda at: within(F.slice(v, at, BLOCK)))
+
+    def with_bases(local: Column) -> Column:
+        ends = F.transform(local, lambda block: F.element_at(block, -1))
+        return F.struct(
+            local.alias("local"), F.aggregate(ends, F.array(F.lit(0)), grown).alias("bases")
+        )
+
+    def joined(x: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                x["local"],
+                lambda block, b: F.transform(block, lambda n: combine(x["bases"][b], n)),
+            )
+        )
+
+    return named(named(named(values, blocks), with_bases), joined)
+
+
 def spans_of_parts(parted: Column) -> Column:
     """Spans of one ``struct<p, parts>``, in text order."""
     priority, parts = parted["p"], parted["parts"]
-
-    def step(a: Column, i: Column) -> Column:
-        start = a["pos"] + F.length(parts[i - 1])
-        end = start + F.length(parts[i])
-        item = F.struct(start.alias("s"), priority.alias("p"), end.alias("e"), parts[i].alias("v"))
-        room = F.size(a["buf"]) < BLOCK
-        return F.struct(
-            end.alias("pos"),
-            F.when(room, F.concat(a["buf"], F.array(item))).otherwise(F.array(item)).alias("buf"),
-            F.when(room, a["full"]).otherwise(F.concat(a["full"], F.array(a["buf"]))).alias("full"),
+    ends = running(F.transform(parts, lambda x: F.length(x)), lambda a, b: a + b)
+
+    def listed(till: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)),
+            lambda i: F.struct(
+                till[i - 1].alias("s"), priority.alias("p"), till[i].alias("e"),
+                parts[i].alias("v"),
+            ),
         )
 
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast(f"array<{SPAN}>").alias("buf"),
-        F.array().cast(f"array<array<{SPAN}>>").alias("full"),
+    return F.when(F.size(parts) > 1, named(ends, listed)).otherwise(
+        F.array().cast(f"array<{SPAN}>")
     )
-    return F.when(
-        F.size(parts) > 1,
-        F.aggregate(
-            F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), zero, step,
-            lambda a: F.flatten(F.concat(a["full"], F.array(a["buf"]))),
-        ),
-    ).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def match_spans(
@@ -115,32 +136,61 @@ def clean_contextual(value: str) -> str:
     )
 
 
-def resolve_overlaps(candidates: str) -> str:
-    """SQL text: greedy pick by (priority, start) among overlapping spans.
+def _pick(run: Column) -> Column:
+    """Greedy choice inside one run, ordered by start."""
+    by_priority = F.sort_array(
+        F.transform(
+            run,
+            lambda r: F.struct(
+                r["p"].alias("p"), r["s"].alias("s"), r["e"].alias("e"), r["v"].alias("v")
+            ),
+        )
+    )
+
+    def add(kept: Column, r: Column) -> Column:
+        clash = F.exists(kept, lambda k: (r["s"] < k["e"]) & (r["e"] > k["s"]))
+        span = F.struct(
+            r["s"].alias("s"), r["p"].alias("p"), r["e"].alias("e"), r["v"].alias("v")
+        )
+        return F.when(clash, kept).otherwise(F.concat(kept, F.array(span)))
+
+    chosen = F.aggregate(by_priority, F.array().cast(f"array<{SPAN}>"), add)
+    return F.when(F.size(run) == 1, run).otherwise(F.sort_array(chosen))
+
+
+def resolve_overlaps(candidates: Column) -> Column:
+    """Greedy pick by (priority, start) among overlapping spans.
 
     Spans sorted by start are cut into runs that do not touch each other; only
     inside a run can one span block another, so the pairwise test never leaves
     the run. The result is ordered by start.
     """
-    pick = f"""
-    CASE WHEN size(a.run) <= 1 THEN a.run ELSE sort_array(aggregate(
-      sort_array(transform(a.run, r -> named_struct('p', r.p, 's', r.s, 'e', r.e, 'v', r.v))),
-      cast(array() AS array<{SPAN}>),
-      (kept, r) -> IF(exists(kept, k -> r.s < k.e AND r.e > k.s), kept,
-                      concat(kept, array(named_struct('s', r.s, 'p', r.p, 'e', r.e, 'v', r.v)))))) END
-    """
-    return f"""
-    aggregate(
-      sort_array({candidates}),
-      named_struct('run', cast(array() AS array<{SPAN}>), 'till', -1,
-                   'buf', cast(array() AS array<array<{SPAN}>>),
-                   'full', cast(array() AS array<array<array<{SPAN}>>>)),
-      (a, c) -> CASE
-        WHEN c.s < a.till THEN named_struct(
-          'run', concat(a.run, array(c)), 'till', greatest(a.till, c.e),
-          'buf', a.buf, 'full', a.full)
-        ELSE named_struct('run', array(c), 'till', c.e,
-          'buf', IF(size(a.buf) < {BLOCK}, concat(a.buf, array({pick})), array({pick})),
-          'full', IF(size(a.buf) < {BLOCK}, a.full, concat(a.full, array(a.buf)))) END,
-      a -> flatten(concat(flatten(a.full), a.buf, array({pick}))))
-    """
+
+    def cut(x: Column) -> Column:
+        spans, till = x["spans"], x["till"]
+        last = F.size(spans)
+        heads = F.filter(
+            F.sequence(F.lit(0), last - 1),
+            lambda i: (i == 0) | (spans[i]["s"] >= till[F.greatest(i - 1, F.lit(0))]),
+        )
+        return named(
+            heads,
+            lambda h: F.flatten(
+                F.transform(
+                    h,
+                    lambda at, j: _pick(
+                        F.slice(
+                            spans, at + 1, F.coalesce(F.try_element_at(h, j + 2), last) - at
+                        )
+                    ),
+                )
+            ),
+        )
+
+    def with_reach(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda c: c["e"]), lambda a, b: F.greatest(a, b))
+        return F.struct(spans.alias("spans"), reach.alias("till"))
+
+    return F.when(F.size(candidates) < 2, candidates).otherwise(
+        named(named(F.sort_array(candidates), with_reach), cut)
+    )

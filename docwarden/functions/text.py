@@ -61,7 +61,7 @@ def safe_file_name(name: Column) -> Column:
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("export"))
 
 
-PIECE = 16_384
+PIECE = 4_096
 
 
 def pieces(text: Column, size: int = PIECE) -> Column:

@@ -86,16 +86,18 @@ def candidates(docs: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
 def scan(docs: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
     """Add ``findings``: non-overlapping detections ordered by start."""
     resolved = candidates(docs, only).withColumn(
-        "_kept", F.expr(resolve_overlaps("candidates"))
+        "_kept", resolve_overlaps(F.col("candidates"))
     )
-    value = f"""IF(contains(text, '{MARK}') AND k.p < {FIRST_CONTEXTUAL},
-                   substring(text, k.s + 1, k.e - k.s), k.v)"""
-    findings = F.expr(
-        f"""transform(_kept, k -> named_struct(
+
+    def listed(value: str) -> str:
+        return f"""transform(_kept, k -> named_struct(
               'category', {_meta()}[k.p].c, 'value', {value}, 'start', k.s, 'end', k.e,
               'severity', {_meta()}[k.p].sev, 'confidence', {_meta()}[k.p].conf,
               'reason', {_meta()}[k.p].why))"""
-    )
+
+    # Texts that hold the mark were matched on a copy; quote the original there.
+    original = f"IF(k.p < {FIRST_CONTEXTUAL}, substring(text, k.s + 1, k.e - k.s), k.v)"
+    findings = F.expr(f"IF(contains(text, '{MARK}'), {listed(original)}, {listed('k.v')})")
     return computed_once(resolved, {"findings": findings}).drop("_kept", "candidates")
 
 
