@@ -25,7 +25,8 @@ def test_entry(spark):
 
 def test_only_known_queries_lack_sql():
     # compared with plain-Python expectations in the other test files
-    assert set(QUERIES) - set(SQL) == {"question_evidence", "sentence_chunks", "merge_answers"}
+    own = {name for name in QUERIES if not name.startswith(("op", "pipeline"))}
+    assert own - set(SQL) == {"question_evidence", "sentence_chunks", "merge_answers"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
