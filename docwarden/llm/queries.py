@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.llm.jaccard_join import jaccard_classes
+from docwarden.llm.mixing import mix
 from docwarden.llm.toxicity import toxicity
 
 
@@ -19,12 +20,19 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_classes(_table(spark, folder, "documents"))
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = mix(_table(spark, folder, "documents"))
+    return drawn.select("doc_id", "size", "source_size", "target", "taken",
+                        F.transform("draws", lambda d: d.shard).alias("shards"))
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
 }
 

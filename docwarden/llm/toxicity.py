@@ -34,11 +34,11 @@ PREFIX_BYTES = (4, 5, 6)
 #: Labelled texts the machine is fitted on, at most.
 MAX_TRAINING = 20_000
 #: Buckets the machine keeps, at most.
-MAX_TERMS = 1024
+MAX_TERMS = 512
 #: Chi-squared value of a bucket from which it is kept.
-LEAST_CHI2 = 12.0
+LEAST_CHI2 = 30.0
 FACTORS = 4
-STEPS = 200
+STEPS = 400
 
 
 @dataclass
@@ -127,7 +127,7 @@ def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, seed:
     rate = np.clip(y.mean(), 1e-4, 1 - 1e-4)
     state = [np.array([np.log(rate / (1 - rate))]), np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, FACTORS))]
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in state]
-    penalty = (0.0, 1e-5, 1e-4)
+    penalty = (0.0, 1e-5, 1e-3)
     for step in range(1, STEPS + 1):
         m = Machine(np.zeros(0), float(state[0][0]), state[1], state[2])
         error = (m.score(rows, terms, n) - y) / n
