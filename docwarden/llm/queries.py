@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docwarden.llm.jaccard_join import jaccard_classes
 from docwarden.llm.mixing import mix
+from docwarden.llm.shards import kd_shards, number_place, text_place
 from docwarden.llm.toxicity import toxicity
 
 
@@ -16,6 +17,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    dims = {
+        "lang": text_place(F.col("lang")), "source": text_place(F.col("source")),
+        "length": F.log2(number_place(F.col("n_chars")) + 2),
+    }
+    placed = kd_shards(docs, dims, shards=8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_classes(_table(spark, folder, "documents"))
 
@@ -31,6 +44,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
