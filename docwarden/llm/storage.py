@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of one Arrow batch handed to a Python worker.
 BATCH_BYTES = 8 << 20
 
@@ -27,11 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Write a narrow table that several steps use to the shared folder and read it back.
 
-    Lineage ends there: a lost executor makes nothing before it run again.
+    Lineage ends there: a lost executor makes nothing before it run again. So the shuffle files
+    of the job that wrote the table are dropped with it, and disk use is that of one step.
     """
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def bounded_batches(spark: SparkSession) -> None:
