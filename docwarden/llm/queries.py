@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docwarden.llm.decontaminate import contaminated, split_item
 from docwarden.llm.jaccard_join import jaccard_classes
 from docwarden.llm.mixing import mix
 from docwarden.llm.shards import kd_shards, number_place, text_place
@@ -29,6 +30,13 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    question, answer = split_item(F.col("text"))
+    return contaminated(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark"),
+        question=question, answer=answer)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_classes(_table(spark, folder, "documents"))
 
@@ -45,6 +53,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
