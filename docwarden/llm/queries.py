@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docwarden.llm.decontaminate import contaminated, split_item
 from docwarden.llm.jaccard_join import jaccard_classes
 from docwarden.llm.mixing import mix
+from docwarden.llm.rabitq import nearest
 from docwarden.llm.shards import kd_shards, number_place, text_place
 from docwarden.llm.toxicity import toxicity
 
@@ -41,6 +42,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_classes(_table(spark, folder, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     drawn = mix(_table(spark, folder, "documents"))
     return drawn.select("doc_id", "size", "source_size", "target", "taken",
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
 }
