@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docwarden.llm.decontaminate import contaminated, split_item
+from docwarden.llm.html_text import main_texts
 from docwarden.llm.jaccard_join import jaccard_classes
 from docwarden.llm.mixing import mix
 from docwarden.llm.rabitq import nearest
 from docwarden.llm.shards import kd_shards, number_place, text_place
 from docwarden.llm.toxicity import toxicity
+from docwarden.llm.url_filter import Rule, judged
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +58,20 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+RULES = [
+    Rule("net", "/", False), Rule("example.net", "/en/", True),
+    Rule("example.com", "/de/", False), Rule("org", "/fr/", True),
+]
+
+
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(_table(spark, folder, "pages"), RULES)
+
+
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -63,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLE: dict[str, str] = {}
