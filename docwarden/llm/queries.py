@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docwarden.llm.decontaminate import contaminated, split_item
 from docwarden.llm.html_text import main_texts
 from docwarden.llm.jaccard_join import jaccard_classes
+from docwarden.llm.line_dedup import dedup_report
 from docwarden.llm.mixing import mix
 from docwarden.llm.rabitq import nearest
 from docwarden.llm.shards import kd_shards, number_place, text_place
@@ -72,6 +73,10 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return main_texts(_table(spark, folder, "pages"))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_report(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_html_extraction": op9_html_extraction,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {}
