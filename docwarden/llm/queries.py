@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docwarden.llm.decontaminate import contaminated, split_item
 from docwarden.llm.html_text import main_texts
 from docwarden.llm.jaccard_join import jaccard_classes
+from docwarden.llm.licenses import license_spans
 from docwarden.llm.line_dedup import dedup_report
 from docwarden.llm.mixing import mix
 from docwarden.llm.rabitq import nearest
@@ -41,6 +42,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         question=question, answer=answer)
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_spans(_table(spark, folder, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_classes(_table(spark, folder, "documents"))
 
@@ -80,6 +85,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_mixing": op6_mixing,
