@@ -37,6 +37,8 @@ from docwarden.llm.tokens import mix, pieces, shingle_sets, words
 FREQUENT = 16
 #: Most frequent n-grams whose order is sent to the executors (at most 16 bytes each).
 MAX_FREQUENT = 1 << 20
+#: Rounds of counting; the last takes all n-grams of the texts that still need it.
+COUNTS = 4
 #: Members up to which a group is paired directly.
 PAIRED = 16
 #: N-grams of one fragment of a set, about.
@@ -88,9 +90,12 @@ def _profiles(size: int, percent: int):
     return lambda batches: _flushed(rows(batches), schema, 2_000)
 
 
-def _counted(n: int, percent: int) -> int:
-    """How many of a set's lowest n-grams the first count takes: the prefix and half as much."""
-    return min(n, _prefix(n, percent) * 3 // 2) if n else 0
+def _counted(n: int, percent: int, again: int = 0) -> int:
+    """How many of a set's lowest n-grams are counted: first the prefix and half as much, then
+    twice as many each time, all in the last round."""
+    if not n or again >= COUNTS - 1:
+        return n
+    return min(n, (_prefix(n, percent) * 3 // 2) << again)
 
 
 def _counts(arrays):
@@ -117,17 +122,17 @@ def _count_low(batches):
         np.frombuffer(x, np.uint64) for b in batches for x in b.column(0).to_pylist() if x)
 
 
-def _count_rest(size: int, percent: int, frequent):
-    """Count the other n-grams of texts whose first places are mostly frequent n-grams."""
+def _count_more(size: int, percent: int, again: int, frequent):
+    """Count further n-grams of texts whose n-grams counted so far are mostly frequent ones."""
 
-    def rest(batches):
+    def more(batches):
         hot = np.sort(frequent.value[0])
         for _, s in _sets(batches, size):
-            k = _counted(len(s), percent)
+            k = _counted(len(s), percent, again - 1)
             if k < len(s) and k - int(_member(hot, s[:k]).sum()) < _prefix(len(s), percent):
-                yield s[k:]
+                yield s[k : _counted(len(s), percent, again)]
 
-    return lambda batches: _counts(rest(batches))
+    return lambda batches: _counts(more(batches))
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -225,17 +230,17 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     """The pairs (a, b) whose summed partial overlaps reach the threshold."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     fragments = texts.mapInArrow(
-        _fragments(size, percent, id_filter(ids)), "id long, parts int, part int, grams array<long>"
-    ).dropDuplicates(["id", "parts", "part"])
-    fragments = stored(fragments)
+        _fragments(size, percent, id_filter(ids)), "id long, parts int, part int, grams array<long>")
     larger = F.ceil(F.greatest("na", "nb") / F.lit(FRAGMENT))
     parts = F.pow(F.lit(2), F.ceil(F.log2(larger))).cast("int")
     cut = pairs.withColumn("parts", parts).withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     left = fragments.select(F.col("id").alias("a"), "parts", "part", F.col("grams").alias("ga"))
     right = fragments.select(F.col("id").alias("b"), "parts", "part", F.col("grams").alias("gb"))
+    # both joins read one exchange of the fragments; an id that occurs again repeats its counts
     partial = cut.join(left, ["a", "parts", "part"]).join(right, ["b", "parts", "part"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o"))
+        "a", "b", "na", "nb", "part", F.size(F.array_intersect("ga", "gb")).cast("long").alias("o")
+    ).groupBy("a", "b", "na", "nb", "part").agg(F.max("o").alias("o"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return total.where(
         100 * F.col("o") >= percent * (F.col("na").cast("long") + F.col("nb") - F.col("o"))
@@ -282,9 +287,14 @@ def jaccard_classes(
 
     first = stored(count(profile.select("low").mapInArrow(_count_low, "gram long, c long")))
     frequent = _frequent(spark, [first])
-    more = stored(count(
-        texts.mapInArrow(_count_rest(size, percent, frequent), "gram long, c long")))
-    frequent = _frequent(spark, [first, more])
+    counted = [first]
+    for again in range(1, COUNTS):
+        more = stored(count(
+            texts.mapInArrow(_count_more(size, percent, again, frequent), "gram long, c long")))
+        if more.isEmpty():
+            break
+        counted.append(more)
+        frequent = _frequent(spark, counted)
 
     postings = stored(texts.mapInArrow(
         _postings(size, percent, frequent), "gram long, id long, n int, place int"))
