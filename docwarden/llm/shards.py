@@ -68,9 +68,9 @@ def _cuts(units: DataFrame, goals: DataFrame) -> dict[int, tuple[int, bool]]:
         shift -= bits
         prefix = F.expr(f"key div {1 << (shift + bits)}") if shift + bits < 63 else F.lit(0).cast("long")
         digit = F.expr(f"(key div {1 << shift}) % {1 << bits}").cast("long")
+        # one row per cell, made on the driver: no more rows than there are shards
         sums = units.withColumns({"lead_": prefix, "digit": digit}).join(
-            at, (F.col("cell") == F.col("g")) & (F.col("lead_") == F.col("lead"))
-        ).groupBy("g", "goal", "lead", "below", "digit").agg(F.sum("w").alias("w"))
+            F.broadcast(at), F.col("cell") == F.col("g")).where("lead_ = lead").groupBy("g", "goal", "lead", "below", "digit").agg(F.sum("w").alias("w"))
         upto = Window.partitionBy("g").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)
         before = F.col("below") + F.coalesce(F.sum("w").over(upto), F.lit(0))
         # the first digit always qualifies: goals are above 0 and above what lies below the prefix
@@ -98,14 +98,14 @@ def kd_shards(
     narrow = stored(docs.select(
         key.alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("crc"), F.xxhash64(raw).alias("h"), F.xxhash64(key, raw).alias("spread"),
-        *[c.cast("double").alias(f"d_{name}") for name, c in dims.items()]))
+        *[F.coalesce(c.cast("double"), F.lit(-1.0)).alias(f"d_{name}") for name, c in dims.items()]))
     names = [f"d_{name}" for name in dims]
     whole = narrow.agg(F.sum("size").alias("w"), F.count("*").alias("rows"), *_ranges(names)).first()
     total = whole.w or 0
     if shards is None:
         shards = max(1, -(-total // target_bytes))
-    units = stored(_units(narrow, names, max(1.0, total / shards / GROUP_SHARE)))
-    celled = units.withColumn("cell", F.lit(0).cast("long"))
+    units = _units(narrow, names, max(1.0, total / shards / GROUP_SHARE))
+    celled = stored(units.withColumn("cell", F.lit(0).cast("long")))
     cells = {0: shards}  # first shard of a cell, and how many shards it stands for
     while any(n > 1 for n in cells.values()):
         celled, cells = _split_cells(celled, cells, names, whole)
@@ -122,6 +122,8 @@ def _split_cells(celled: DataFrame, cells: dict[int, int], names: list[str], who
     spark = celled.sparkSession
     stats = celled.groupBy("cell").agg(F.sum("w").alias("w"), *_ranges(names)).collect()
     plan, goals = [], []
+    known = {r.cell for r in stats}
+    cells = {cell: n if cell in known else 1 for cell, n in cells.items()}  # without rows: no split
     for r in stats:
         n = cells[r.cell]
         if n == 1:
@@ -135,18 +137,20 @@ def _split_cells(celled: DataFrame, cells: dict[int, int], names: list[str], who
         lo, hi = r[f"lo_{names[dim]}"], r[f"hi_{names[dim]}"]
         plan.append((r.cell, dim, float(lo), float(hi - lo)))
         goals.append((r.cell, r.w * (n // 2) / n))
+    if not plan:
+        return celled, cells
     table = spark.createDataFrame(plan, "cell long, dim int, lo double, span double")
     place = F.element_at(F.array(*names), F.col("dim") + 1)
     scaled = F.when(F.col("span") > 0, F.floor((place - F.col("lo")) / F.col("span") * (2**31 - 1))).otherwise(0)
     # 31 bits of the place on the widest dimension, then 32 bits of the text's hash
     tie = F.shiftrightunsigned(F.xxhash64("h", "part"), 32)
-    keyed = celled.join(table, "cell", "left").withColumn(
+    keyed = celled.join(F.broadcast(table), "cell", "left").withColumn(
         "key", scaled.cast("long") * F.lit(2**32) + tie).drop("dim", "lo", "span")
     cuts = _cuts(keyed.where("key IS NOT NULL"), spark.createDataFrame(goals, "g long, goal double"))
     rows = [(cell, at, left, cells[cell] // 2) for cell, (at, left) in cuts.items()]
     cut = spark.createDataFrame(rows, "cell long, at long, at_left boolean, left_shards long")
     goes_right = (F.col("key") > F.col("at")) | ((F.col("key") == F.col("at")) & ~F.col("at_left"))
-    moved = keyed.join(cut, "cell", "left").withColumn(
+    moved = keyed.join(F.broadcast(cut), "cell", "left").withColumn(
         "cell", F.col("cell") + F.when(goes_right, F.col("left_shards")).otherwise(0))
     split = {}
     for cell, n in cells.items():
