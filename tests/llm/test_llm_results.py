@@ -54,6 +54,9 @@ def near_texts(seed, groups=6, copies=14):
             for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
                 own[rng.randrange(len(own))] = rng.choice(vocabulary).upper()
             texts.append(" ".join(own))
+    long = [rng.choice(vocabulary) for _ in range(5000)]
+    for k in (0, 40, 90, 150):  # more than one fragment
+        texts.append(" ".join(long[k:]) + " end" * k)
     texts += ["", None, "one", "ONE", "one two", " ".join(vocabulary[:50] * 2)]
     rng.shuffle(texts)
     return texts
@@ -84,7 +87,6 @@ def components_by_force(texts, size, percent):
 def test_jaccard_classes(spark, monkeypatch, seed, paired, frequent):
     monkeypatch.setattr(jaccard_join, "PAIRED", paired)
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
-    monkeypatch.setattr(jaccard_join, "FRAGMENT", 32)
     texts = near_texts(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {tuple(r) for r in jaccard_join.jaccard_classes(docs).collect()}
