@@ -1,6 +1,5 @@
 import random
 
-import expected
 from docwarden.functions.hashing import dense_vector
 from docwarden.functions.text import piece_substring, pieces, terms
 from docwarden.operators import models, nlp, retrieval
@@ -13,42 +12,73 @@ PARAGRAPH = (
 )
 
 
-def test_chunks_match_plain_python(docs):
+def test_chunks_cover_the_text(docs):
     rng = random.Random(3)
-    texts = ["", " ", "a", *("".join(rng.choice("ab é\n.") for _ in range(n))
+    texts = ["", " ", "a", *("".join(rng.choice("ab \u00e9\n.") for _ in range(n))
                               for n in (59, 60, 61, 110, 500, 899, 900, 901, 1680, 1681, 5000))]
     for size, overlap in ((900, 120), (60, 10), (10, 30), (7, 7)):
         rows = nlp.chunk_text(docs(*texts), size, overlap).orderBy("doc_id", "chunk_no").collect()
         for i, text in enumerate(texts):
-            assert [r.text for r in rows if r.doc_id == i] == expected.chunk(text, size, overlap)
-
-
-def test_hash_vector_matches_plain_python(docs):
-    row = docs(PARAGRAPH).select(dense_vector(terms(F.col("text"))).alias("v")).first()
-    assert max(abs(a - b) for a, b in zip(row.v, expected.vector(PARAGRAPH))) < 1e-12
-
-
-def test_retrieval_matches_plain_python(spark, sf, docs):
+            flat = " ".join(text.split())
+            cut = [r.text for r in rows if r.doc_id == i]
+            assert all(c and len(c) <= size and c == c.strip() and c in flat for c in cut)
+            at = 0
+            for c in cut:  # in order, and no word character between two chunks is lost
+                begin = flat.index(c, max(0, at - overlap - 2))
+                assert not flat[at:begin].strip()
+                at = max(at, begin + len(c))
+            assert not flat[at:].strip()
+            if overlap < size < len(flat):
+                assert abs(len(cut) - (len(flat) - overlap) / (size - overlap)) <= 1
+            elif len(flat) <= size:
+                assert cut == ([flat] if flat else [])
+
+
+def test_chunk_values(docs):
+    rows = nlp.chunk_text(docs("abcdefghij"), 4, 1).orderBy("chunk_no").collect()
+    assert [r.text for r in rows] == ["abcd", "defg", "ghij"]
+
+
+def test_hash_vector(docs):
+    """Unit length, one component per distinct word, blind to word order and case."""
+    texts = [PARAGRAPH, " ".join(reversed(PARAGRAPH.upper().split())), "password", "of it", "password password"]
+    rows = docs(*texts).select("doc_id", dense_vector(terms(F.col("text"))).alias("v")).collect()
+    v = {r.doc_id: r.v for r in rows}
+    assert all(len(x) == 128 for x in v.values())
+    assert all(abs(sum(c * c for c in v[i]) - 1) < 1e-12 for i in (0, 1, 2, 4))
+    assert max(abs(a - b) for a, b in zip(v[0], v[1])) < 1e-12
+    assert v[2] == v[4] and sorted(map(abs, v[2]))[-2:] == [0.0, 1.0]
+    assert not any(v[3])
+
+
+def test_retrieval_ranks_chunks(spark, sf, docs):
     source = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {r.doc_id: r.text for r in source.collect()}
+    cut = {}
+    for r in nlp.chunk_text(source).collect():
+        cut.setdefault(r.doc_id, []).append(r.text)
     for query in ("sensitive data compliance", "the and what", ""):
-        rows = retrieval.retrieve(source, query, 4).select("doc_id", "context").collect()
-        asked = query or "sensitive data compliance security risk remediation"
-        for r in rows:
-            assert [c.text for c in r.context] == expected.retrieve(texts[r.doc_id], asked)
+        for r in retrieval.retrieve(source, query, 4).select("doc_id", "context").collect():
+            scores = [c.score for c in r.context]
+            assert len(r.context) <= 4 and all(c.text in cut[r.doc_id] for c in r.context)
+            assert len(r.context) == len({c.chunk_no for c in r.context})
+            if any(s > 0 for s in scores):
+                assert scores == sorted(scores, reverse=True) and min(scores) > 0
+            else:  # nothing related: the first chunks
+                assert [c.text for c in r.context] == cut[r.doc_id][:4]
     small = retrieval.retrieve(docs(PARAGRAPH), "pricing password compliance", 1, 60, 10).first()
-    assert [c.text for c in small.context] == expected.retrieve(
-        PARAGRAPH, "pricing password compliance", 1, 60, 10)
+    assert [c.text for c in small.context] == ["idential pricing strategy and password handling must be revi"]
 
 
 def test_question_evidence_uses_each_question(spark, docs):
     asked = spark.createDataFrame([(1, 0, "lunch planning"), (2, 0, "office events")],
                                   "question_id bigint, doc_id bigint, question string")
-    rows = retrieval.question_evidence(asked, docs(PARAGRAPH * 12)).collect()
-    for r in rows:
-        question = {1: "lunch planning", 2: "office events"}[r.question_id]
-        assert r.text == expected.retrieve(PARAGRAPH * 12, question, 3)[r["rank"] - 1]
-    assert len(rows) == 6
+    text = "Lunch planning is today. " + "x " * 900 + "The office events follow. " + "y " * 900
+    rows = retrieval.question_evidence(asked, docs(text)).collect()
+    best = {r.question_id: r.text.lower() for r in rows if r["rank"] == 1}
+    assert "lunch planning" in best[1] and "office events" in best[2]
+    for q in (1, 2):
+        ranks = sorted(r["rank"] for r in rows if r.question_id == q)
+        assert ranks == list(range(1, len(ranks) + 1)) and len(ranks) <= 3
 
 
 def test_vector_topk_is_exact(spark, sf):
@@ -111,33 +141,40 @@ def test_scorer_hook(docs):
     assert [r.signals[0].score for r in rows] == [3.0, 3000.0]
 
 
+#: Answers of several models and the merged answer, worked out by hand.
 ANSWERS = [
-    ["Sensitive data and compliance risk were detected.",
-     "Remediation should include redaction and access review."],
-    ["same text.", "SAME text!", "  same, text "],
-    ["", "!!", "only one"],
-    ["aaaa bbbb cccc dddd risk. eeee ffff gggg. hhhh iiii jjjj kkkk.",
-     "eeee ffff gggg. llll mmmm nnnn. oooo pppp llll. qqqq rrrr ssss tttt. uuuu vvvv wwww.",
-     "llll mmmm nnnn. xxxx yyyy zzzz aaab."],
-    ["risk privacy short", "risk privacy a bit longer text"],
-    ["???"],
+    (["Sensitive data and compliance risk were detected.", "Remediation should include redaction and access review."],
+     "Sensitive data and compliance risk were detected.\n\nAdditional useful detail: "
+     "Remediation should include redaction and access review."),
+    (["same text.", "SAME text!", "  same, text "], "same text."),
+    (["", "!!", "only one"], "only one"),
+    (["aaaa bbbb cccc dddd risk. eeee ffff gggg. hhhh iiii jjjj kkkk.",
+      "eeee ffff gggg. llll mmmm nnnn. oooo pppp llll. qqqq rrrr ssss tttt. uuuu vvvv wwww.",
+      "llll mmmm nnnn. xxxx yyyy zzzz aaab."],
+     "aaaa bbbb cccc dddd risk. eeee ffff gggg. hhhh iiii jjjj kkkk.\n\nAdditional useful detail: "
+     "llll mmmm nnnn. qqqq rrrr ssss tttt."),
+    (["risk privacy short", "risk privacy a bit longer text"], "risk privacy a bit longer text"),
+    (["???"], None),
 ]
 
 
-def test_merge_answers_matches_plain_python(spark, sf):
-    rows = [(i, m, a) for i, answers in enumerate(ANSWERS) for m, a in enumerate(answers)]
+def test_merge_answers(spark, sf):
+    rows = [(i, m, a) for i, (answers, _) in enumerate(ANSWERS) for m, a in enumerate(answers)]
     schema = "analysis_id bigint, model_no bigint, answer string"
     got = {r.analysis_id: r.answer
            for r in models.merge_answers(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {i: expected.merge_answers(a) for i, a in enumerate(ANSWERS)
-                   if expected.merge_answers(a) is not None}
+    assert got == {i: merged for i, (_, merged) in enumerate(ANSWERS) if merged is not None}
     turns = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr(
         "conv_id AS analysis_id", "turn AS model_no", "text AS answer")
-    by_conv = {}
-    for r in turns.orderBy("analysis_id", "model_no").collect():
-        by_conv.setdefault(r.analysis_id, []).append(r.answer)
+    given = {}
+    for r in turns.collect():
+        given.setdefault(r.analysis_id, []).append(r.answer)
     got = {r.analysis_id: r.answer for r in models.merge_answers(turns).collect()}
-    assert got == {k: expected.merge_answers(v) for k, v in by_conv.items()}
+    assert set(got) == set(given)
+    for k, merged in got.items():  # one answer whole, then at most two sentences of the others
+        base, _, more = merged.partition("\n\nAdditional useful detail: ")
+        assert any(base == a or base == a.rstrip() for a in given[k])
+        assert not more or all(s in " ".join(given[k]) for s in more.split(". ")[:1])
 
 
 def test_parse_model_json(spark):
