@@ -1,8 +1,8 @@
 """Multi-document scans: batch metadata, virtual combined text, attribution.
 
 A batch may hold a large share of all documents, so nothing here builds one
-row, string or list per batch. Lists of files and combined text come in parts
-of bounded size (one part for ordinary batches), numbered in document order.
+row, string or list per batch: counts are one row per batch, files and text
+sections one row per document, whatever the size of the batch.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from docwarden.operators.risk import section_header
 from docwarden.operators.scale import ordered_prefix, salted_lookup
 
-FILES_PER_PART = 10_000
-PART_CHARS = 8_000_000
+#: Documents of one block of a fingerprint. Part of the digest's definition.
+FINGERPRINT_BLOCK = 4_096
+#: Characters of a document that its analysis fingerprint covers by default.
+FINGERPRINT_CHARS = 500
 
 
 def _ranked(docs: DataFrame) -> DataFrame:
@@ -32,29 +34,16 @@ def batch_totals(docs: DataFrame) -> DataFrame:
     )
 
 
-def batch_metadata(docs: DataFrame, files_per_part: int = FILES_PER_PART) -> DataFrame:
-    """Totals plus the ``file: status`` listing, one row per listing part.
+def batch_files(docs: DataFrame) -> DataFrame:
+    """The ``file: status`` listing, one row per document.
 
-    ``docs``: batch_id, doc_id, file_name, file_type, characters, pages,
-    ocr_status (null when the file type has none).
+    ``docs``: batch_id, doc_id, file_name, file_type, ocr_status (null when the
+    file type has none).
     """
-    listed = _ranked(docs).groupBy(
-        "batch_id", F.floor(F.col("position") / files_per_part).alias("part_no")
-    ).agg(
-        F.array_sort(
-            F.collect_list(
-                F.when(F.col("ocr_status").isNotNull(), F.struct("doc_id", "file_name", "ocr_status"))
-            )
-        ).alias("statuses")
-    )
-    line = F.transform(
-        "statuses", lambda s: F.concat(s["file_name"], F.lit(": "), s["ocr_status"])
-    )
-    rows = salted_lookup(listed, batch_totals(docs), ["batch_id"], F.col("part_no"), "inner")
-    return rows.select(
-        "batch_id", "part_no", "files", "file_types", "characters", "pages",
-        F.when(F.size("statuses") > 0, F.array_join(line, "; ")).otherwise("not_applicable")
-        .alias("ocr_status"),
+    status = F.coalesce("ocr_status", F.lit("not_applicable"))
+    return docs.select(
+        "batch_id", "doc_id", "file_name", "file_type", status.alias("ocr_status"),
+        F.concat("file_name", F.lit(": "), status).alias("listing"),
     )
 
 
@@ -81,14 +70,11 @@ def source_ranges(docs: DataFrame) -> DataFrame:
     )
 
 
-def combine_text(
-    docs: DataFrame, ranges: DataFrame | None = None, part_chars: int = PART_CHARS
-) -> DataFrame:
-    """The combined text of each batch in parts of about ``part_chars``.
+def combine_text(docs: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """The combined text of each batch as sections, one per document.
 
-    Ordinary batches come as one part, which is the whole combined text. A part
-    never holds more than ``part_chars`` plus one document, whatever the size
-    of the batch.
+    ``section`` is the document's header, if its batch has several documents,
+    and its text; it begins at ``section_start`` of the combined text.
     """
     placed_at = (source_ranges(docs) if ranges is None else ranges).select(
         "doc_id", "section_start", "start"
@@ -96,19 +82,16 @@ def combine_text(
     section = F.when(
         F.col("start") > F.col("section_start"), F.concat(section_header(), F.col("text"))
     ).otherwise(F.col("text"))
-    placed = docs.join(placed_at, "doc_id").select(
-        "batch_id", F.floor(F.col("section_start") / part_chars).alias("part_no"),
-        "section_start", section.alias("section"),
+    return docs.join(placed_at, "doc_id").select(
+        "batch_id", "doc_id", "section_start", section.alias("section")
     )
-    return placed.groupBy("batch_id", "part_no").agg(
-        F.min("section_start").alias("part_start"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("section_start", "section"))),
-                lambda s: s["section"],
-            ),
-            "",
-        ).alias("text"),
+
+
+def join_sections(sections: DataFrame) -> DataFrame:
+    """One combined text per batch. Only for batches known to fit one row."""
+    ordered = F.array_sort(F.collect_list(F.struct("section_start", "doc_id", "section")))
+    return sections.groupBy("batch_id").agg(
+        F.array_join(F.transform(ordered, lambda s: s["section"]), "").alias("text")
     )
 
 
@@ -152,58 +135,60 @@ def batch_dashboard(docs: DataFrame) -> DataFrame:
     )
 
 
-def _fingerprint(docs: DataFrame, piece: Column, files_per_part: int) -> DataFrame:
-    """sha256 over the user id and one binary piece per document, in order.
+def _fingerprint(docs: DataFrame, piece: Column) -> DataFrame:
+    """Digest of a batch from digests of its documents, in document order.
 
-    Batches up to ``files_per_part`` documents are hashed in one go. Larger ones
-    are hashed part by part and the part digests are hashed again, because one
-    digest over everything would need one task to read the whole batch.
+    Each document's binary piece is hashed; the hex digests of every
+    ``FINGERPRINT_BLOCK`` consecutive documents are joined and hashed; the user
+    id and the joined block digests are hashed again. The formula is the same
+    for one document and for millions, and no task reads a whole batch.
     """
-    parts = _ranked(docs.select("batch_id", "user_id", "doc_id", piece.alias("piece"))).groupBy(
-        "batch_id", "user_id", F.floor(F.col("position") / files_per_part).alias("part_no")
-    ).agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece"))).alias("pieces"))
-    joined = F.aggregate(
-        "pieces",
-        F.col("user_id").cast("string").cast("binary"),
-        lambda acc, p: F.concat(acc, p["piece"]),
-    )
-    digests = parts.select(
-        "batch_id", "user_id", "part_no", F.sha2(joined, 256).alias("digest")
+    leaves = _ranked(
+        docs.select("batch_id", "user_id", "doc_id", F.sha2(piece, 256).alias("leaf"))
     )
-    return digests.groupBy("batch_id", "user_id").agg(
-        F.array_sort(F.collect_list(F.struct("part_no", "digest"))).alias("d")
-    ).select(
+
+    def joined(order: str, digest: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.struct(order, digest)))
+        return F.array_join(F.transform(rows, lambda r: r[digest]), "")
+
+    blocks = leaves.groupBy(
+        "batch_id", "user_id", F.floor(F.col("position") / FINGERPRINT_BLOCK).alias("block")
+    ).agg(F.sha2(joined("doc_id", "leaf"), 256).alias("digest"))
+    return blocks.groupBy("batch_id", "user_id").agg(joined("block", "digest").alias("d")).select(
         "batch_id", "user_id",
-        F.when(F.size("d") == 1, F.element_at("d", 1)["digest"]).otherwise(
-            F.sha2(F.array_join(F.transform("d", lambda x: x["digest"]), ""), 256)
-        ).alias("fingerprint"),
+        F.sha2(F.concat(F.col("user_id").cast("string"), "d"), 256).alias("fingerprint"),
     )
 
 
-def upload_fingerprint(files: DataFrame, files_per_part: int = FILES_PER_PART) -> DataFrame:
+def upload_fingerprint(files: DataFrame) -> DataFrame:
     """Over user id, then name, byte length and content digest of each file."""
     name_and_size = F.concat("file_name", F.octet_length("content").cast("string"))
     piece = F.concat(name_and_size.cast("binary"), F.unhex(F.sha2("content", 256)))
-    return _fingerprint(files, piece, files_per_part)
+    return _fingerprint(files, piece)
 
 
-def analysis_fingerprint(docs: DataFrame, files_per_part: int = FILES_PER_PART) -> DataFrame:
-    """Over user id, then name, text length and first 500 characters of each document."""
-    piece = F.concat(
-        "file_name", F.length("text").cast("string"), F.left("text", F.lit(500))
-    ).cast("binary")
-    return _fingerprint(docs, piece, files_per_part)
+def analysis_fingerprint(docs: DataFrame, chars: int | None = FINGERPRINT_CHARS) -> DataFrame:
+    """Over user id, then name, text length and first ``chars`` characters of each
+    document; None takes the whole text."""
+    head = F.col("text") if chars is None else F.left("text", F.lit(chars))
+    piece = F.concat("file_name", F.length("text").cast("string"), head).cast("binary")
+    return _fingerprint(docs, piece)
 
 
-def persist_once(analyses: DataFrame, stored: DataFrame) -> DataFrame:
-    """Analyses whose id is not stored yet, one row per id."""
-    return analyses.dropDuplicates(["analysis_id"]).join(
-        stored.select("analysis_id"), "analysis_id", "left_anti"
-    )
+def persist_once(analyses: DataFrame, stored: DataFrame, *order: str) -> DataFrame:
+    """Analyses whose id is not stored yet, the first row per id by ``order``.
 
-
-def with_position(docs: DataFrame) -> DataFrame:
-    return _ranked(docs)
+    Without ``order`` the smallest row, all columns compared, is kept, so that
+    reruns keep the same one.
+    """
+    columns = [c for c in analyses.columns if c != "analysis_id"]
+    keys = [*order, *[c for c in columns if c not in order]]
+    fresh = analyses.join(stored.select("analysis_id"), "analysis_id", "left_anti")
+    if not keys:
+        return fresh.distinct()
+    first = fresh.groupBy("analysis_id").agg(F.min(F.struct(*keys)).alias("_row"))
+    return first.select("analysis_id", *[F.col(f"_row.{c}") for c in columns]).select(
+        *analyses.columns)
 
 
 def first_per_group(rows: DataFrame, keys: list[str], order: list[Column], keep: int) -> DataFrame:

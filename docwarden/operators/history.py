@@ -40,23 +40,24 @@ def history_rows(docs: DataFrame, batch_risk: DataFrame) -> DataFrame:
     )
 
 
-def analysis_events(parts: DataFrame) -> DataFrame:
-    """``document_analyzed`` audit events, one per file-list part of a batch.
+def analysis_events(analyses: DataFrame) -> DataFrame:
+    """``document_analyzed`` audit events, one per batch.
 
-    ``parts``: user_id, batch_id, file_count, file_names, risk_level, risk_score,
-    detections, categories, created_at. A batch of one is named after its file.
+    ``analyses``: user_id, batch_id, file_count, first_file, risk_level,
+    risk_score, detections, categories, created_at. A batch of one is named
+    after its file; the files of larger ones are rows of ``batch_files``.
     """
-    combined = F.when(F.col("file_count") == 1, F.element_at("file_names", 1)).otherwise(
+    combined = F.when(F.col("file_count") == 1, F.col("first_file")).otherwise(
         "multi_document_analysis"
     )
     details = F.to_json(
         F.struct(
-            "file_count", "file_names", combined.alias("combined_file_name"), "risk_level",
+            "file_count", combined.alias("combined_file_name"), "risk_level",
             "risk_score", "detections", _category_map("categories").alias("categories"),
         )
     )
-    return parts.select(
-        "user_id", "batch_id", "part_no", F.lit("document_analyzed").alias("event_type"),
+    return analyses.select(
+        "user_id", "batch_id", F.lit("document_analyzed").alias("event_type"),
         details.alias("details"), "created_at",
     )
 

@@ -15,7 +15,6 @@ from docwarden.functions.masking import mask_value
 from docwarden.functions.sqltext import quote
 from docwarden.functions.text import strip
 from docwarden.operators.risk import category_map_text
-from docwarden.operators.scale import salted_lookup
 
 
 def _has(*words: str) -> str:
@@ -112,10 +111,8 @@ def answer_all(summarized: DataFrame, questions: Iterable[str]) -> DataFrame:
 
 
 def answer_questions(questions: DataFrame, summarized: DataFrame) -> DataFrame:
-    """Answer ``(question_id, doc_id, question)`` rows; hot documents are salted."""
-    joined = salted_lookup(
-        questions, answer_basis(summarized), ["doc_id"], F.col("question_id"), "inner"
-    )
+    """Answer ``(question_id, doc_id, question)`` rows; adaptive execution splits hot documents."""
+    joined = answer_basis(summarized).join(questions, "doc_id")
     return _route(joined)
 
 

@@ -61,10 +61,23 @@ def _ranked(
     Equal scores go by chunk text, descending. Only positive scores count; when
     the best k hold none, the first k chunks are returned.
     """
+    return _rank_chunks(_chunk_terms(docs, size, overlap), query, k, score)
+
+
+def _chunk_terms(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Add the chunks of each document and their terms, once per document."""
+    return computed_once(
+        with_chunks(docs, size, overlap),
+        {"_terms": F.transform("chunks", lambda c: terms(c["text"]))},
+    )
+
+
+def _rank_chunks(
+    chunked: DataFrame, query: Column, k: int, score: Callable[[Column], Column]
+) -> DataFrame:
     asked = F.coalesce(F.nullif(query, F.lit("")), F.lit(DEFAULT_QUERY))
-    wanted = computed_once(docs, {"_qt": terms(asked)})
-    chunked = with_chunks(computed_once(wanted, {"_qv": dense_vector(F.col("_qt"))}), size, overlap)
-    prepared = chunked.withColumn("_terms", F.transform("chunks", lambda c: terms(c["text"])))
+    wanted = computed_once(chunked, {"_qt": terms(asked)})
+    prepared = computed_once(wanted, {"_qv": dense_vector(F.col("_qt"))})
     scored = F.transform(
         F.arrays_zip("chunks", "_terms"),
         lambda z: F.struct(
@@ -109,20 +122,31 @@ def context_rows(retrieved: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def policy_evidence(policies: DataFrame, k: int = 3) -> DataFrame:
-    """Best policy excerpts for the fixed compliance query."""
+def policy_evidence(
+    policies: DataFrame, k: int = 3, chars: int | None = POLICY_EXCERPT_CHARS
+) -> DataFrame:
+    """Best policy excerpts for the fixed compliance query; None keeps whole chunks."""
     rows = context_rows(retrieve(policies, POLICY_QUERY, k))
-    return rows.withColumn("text", F.left("text", F.lit(POLICY_EXCERPT_CHARS)))
+    return rows if chars is None else rows.withColumn("text", F.left("text", F.lit(chars)))
 
 
 def question_evidence(
-    questions: DataFrame, docs: DataFrame, k: int = 3
+    questions: DataFrame, docs: DataFrame, k: int = 3, size: int = CHUNK_SIZE,
+    overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Top chunks of the asked document for ``(question_id, doc_id, question)`` rows."""
-    joined = salted_lookup(
-        questions, docs.select("doc_id", "text"), ["doc_id"], F.col("question_id"), "inner"
+    """Top chunks of the asked document for ``(question_id, doc_id, question)`` rows.
+
+    Documents are cut into chunks and terms once, then joined with their
+    questions; adaptive execution splits documents with very many questions.
+    Callers limit ``docs`` to asked documents before costly columns are made.
+    """
+    prepared = _chunk_terms(docs.select("doc_id", "text"), size, overlap)
+    joined = prepared.select("doc_id", "chunks", "_terms").join(questions, "doc_id")
+    ranked = _rank_chunks(
+        joined, F.col("question"), k,
+        lambda t: similarity(t, F.col("_qv")) + _lexical_overlap(t, F.col("_qt")),
     )
-    return context_rows(retrieve(joined, F.col("question"), k), "question_id", "doc_id")
+    return context_rows(ranked, "question_id", "doc_id")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -112,8 +112,8 @@ def assess_groups(scans: DataFrame, *keys: str) -> DataFrame:
     high = F.col("category").isin(*HIGH_CATEGORIES)
     grouped = by_category.groupBy(*keys).agg(
         F.sum("docs").alias("n_documents"),
-        F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n_findings"),
-        F.sum(F.when(high, F.col("n")).otherwise(0)).cast("int").alias("n_high"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_findings"),
+        F.sum(F.when(high, F.col("n")).otherwise(0)).alias("n_high"),
         F.sum("chars").alias("text_chars"),
         F.sum("headers").alias("headers"),
         F.collect_list(
@@ -125,7 +125,7 @@ def assess_groups(scans: DataFrame, *keys: str) -> DataFrame:
         *keys, "n_documents", "n_findings", "n_high",
         "text_chars + IF(n_documents > 1, headers, 0) AS n_chars",
         "transform(sort_array(found), x -> named_struct('category', x.category, "
-        "'n', cast(-x.k AS int))) AS ranked",
+        "'n', -x.k)) AS ranked",
         "transform(array_sort(found, (a, b) -> CASE WHEN a.first < b.first THEN -1 ELSE 1 END), "
         "x -> x.category) AS categories",
     )

@@ -425,15 +425,21 @@ def qa_router(spark, d):
     )
 
 
-@query
-def qa_questions(spark, d):
-    """Questions as a table: every labelled document asks one."""
-    asked = read_table(spark, d, "labels").select(
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "labels").select(
         "doc_id", F.col("doc_id").alias("question_id"),
         F.array(*[F.lit(x) for x in QUESTIONS])[(F.col("doc_id") % len(QUESTIONS)).cast("int")]
         .alias("question"),
     )
-    return qa.answer_questions(asked, _summarized(spark, d)).select(
+
+
+@query
+def qa_questions(spark, d):
+    """Questions as a table: every labelled document asks one."""
+    asked = _asked(spark, d)
+    docs = _docs(spark, d).join(asked.select("doc_id"), "doc_id", "left_semi")
+    summarized = summary.summarize(risk.assess(detect.scan(docs)))
+    return qa.answer_questions(asked, summarized).select(
         "doc_id", "matched_category", "is_local", "answer"
     )
 
@@ -466,15 +472,10 @@ def latest_turns(spark, d):
 
 @query
 def question_evidence(spark, d):
-    asked = read_table(spark, d, "labels").select(
-        "doc_id", F.col("doc_id").alias("question_id"),
-        F.array(*[F.lit(x) for x in QUESTIONS])[(F.col("doc_id") % len(QUESTIONS)).cast("int")]
-        .alias("question"),
-    )
-    docs = redacted(_scans(spark, d)).select("doc_id", F.col("redacted_text").alias("text"))
-    return retrieval.question_evidence(asked, docs).select(
-        "doc_id", "rank", "chunk_no", F.left("text", F.lit(280)).alias("excerpt")
-    )
+    asked = _asked(spark, d)
+    docs = _docs(spark, d).join(asked.select("doc_id"), "doc_id", "left_semi")
+    safe = redacted(detect.scan(docs)).select("doc_id", F.col("redacted_text").alias("text"))
+    return retrieval.question_evidence(asked, safe).select("doc_id", "rank", "chunk_no", "text")
 
 
 # --- text -------------------------------------------------------------------
@@ -507,8 +508,11 @@ def sentence_chunks(spark, d):
 @query
 def terms(spark, d):
     """Document and occurrence counts of every term."""
-    return retrieval.document_terms(_docs(spark, d)).groupBy("term").agg(
-        F.count("*").alias("occurrences"), F.countDistinct("doc_id").alias("documents")
+    counted = retrieval.document_terms(_docs(spark, d)).groupBy("term", "doc_id").agg(
+        F.count("*").alias("n")
+    )
+    return counted.groupBy("term").agg(
+        F.sum("n").alias("occurrences"), F.count("*").alias("documents")
     )
 
 
@@ -597,14 +601,18 @@ def review_rows(spark, d):
 
 @query
 def policy_check(spark, d):
-    """Every document against a policy text chosen by its batch."""
-    policies = read_table(spark, d, "benchmark").select(
-        F.col("item_id").alias("policy_id"),
-        F.when(F.col("item_id") % 3 == 0, F.lit(""))
-        .when(F.col("item_id") % 3 == 1,
-              F.concat(F.col("text"), F.lit(" Redact and restrict sensitive fields before use.")))
+    """Every document against the policy texts of its batch; every item is used."""
+    items = read_table(spark, d, "benchmark").select(
+        (F.col("item_id") % 40).alias("policy_id"), "item_id",
+        F.when(F.col("item_id") % 3 == 1,
+               F.concat(F.col("text"), F.lit(" Redact and restrict sensitive fields before use.")))
         .otherwise(F.col("text")).alias("text"),
     )
+    # the policy of a batch is made of all items with its number, a bounded few of them
+    ordered = F.array_sort(F.collect_list(F.struct("item_id", "text")))
+    policies = items.groupBy("policy_id").agg(
+        F.array_join(F.transform(ordered, lambda i: i["text"]), "\n").alias("text")
+    )
     docs = _assessed(spark, d).withColumn("policy_id", F.col("batch_id"))
     return compliance.policy_check(docs, policies)
 
@@ -659,7 +667,7 @@ def reviewer_decisions(spark, d):
 
 def _scan_history(spark: SparkSession, d: str) -> DataFrame:
     return history.history_rows(
-        stored(_measured(spark, d)), risk.assess_groups(_scans(spark, d), "batch_id")
+        _measured(spark, d), risk.assess_groups(_scans(spark, d), "batch_id")
     )
 
 
@@ -672,42 +680,50 @@ def history_facts(spark, d):
     )
 
 
+def _logged(spark: SparkSession, d: str) -> DataFrame:
+    return _measured(spark, d).withColumn("user_id", F.col("batch_id"))
+
+
 @query
 def scan_log(spark, d):
+    users = read_table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.concat(F.col("c_name"), F.lit("@example.com")).alias("email")
+    )
     log = sinks.scan_log(
-        stored(_measured(spark, d).withColumn("user_id", F.col("batch_id"))),
-        risk.assess_groups(_scans(spark, d), "batch_id"), "2024-01-01T00:00:00Z",
+        _logged(spark, d), risk.assess_groups(_scans(spark, d), "batch_id"),
+        "2024-01-01T00:00:00Z", users,
     )
     return log.select(
-        "timestamp_utc", "batch_id", "part_no", "file_count",
-        _joined("file_names", ",").alias("file_names"), _joined("file_types", ",").alias("types"),
-        "detections", "high_severity_detections",
+        "timestamp_utc", "batch_id", "user_email", "file_count",
+        _joined("file_types", ",").alias("types"), "detections", "high_severity_detections",
         F.expr("aggregate(map_values(categories), 0L, (a, x) -> a + x)").alias("category_total"),
-        "risk_level", F.size("ocr_status").alias("n_status"),
+        "risk_level",
     )
 
 
+@query
+def scan_log_files(spark, d):
+    return sinks.scan_log_files(_logged(spark, d))
+
+
 @query
 def analysis_events(spark, d):
-    docs = stored(_measured(spark, d).withColumn("user_id", F.col("batch_id")))
-    lists = sinks.file_lists(docs)
+    first = _logged(spark, d).groupBy("user_id", "batch_id").agg(
+        F.min_by("file_name", "doc_id").alias("first_file")
+    )
     per_batch = risk.assess_groups(_scans(spark, d), "batch_id").select(
         "batch_id", "risk_level", "risk_score", F.col("n_findings").alias("detections"),
         F.col("ranked").alias("categories"), F.col("n_documents").alias("file_count"),
     )
-    parts = lists.join(per_batch, "batch_id").select(
-        "user_id", "batch_id", "part_no", "file_count",
-        F.transform("files", lambda f: f["file_name"]).alias("file_names"), "risk_level",
-        "risk_score", "detections", "categories",
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
+    analyses = first.join(per_batch, "batch_id").withColumn(
+        "created_at", F.lit("2024-01-01 00:00:00").cast("timestamp")
     )
-    return history.analysis_events(parts).select(
-        "batch_id", "part_no", "event_type",
+    return history.analysis_events(analyses).select(
+        "batch_id", "event_type",
         F.get_json_object("details", "$.combined_file_name").alias("combined"),
         F.get_json_object("details", "$.file_count").cast("bigint").alias("file_count"),
         F.get_json_object("details", "$.detections").cast("bigint").alias("detections"),
         F.get_json_object("details", "$.risk_level").alias("risk_level"),
-        F.get_json_object("details", "$.file_names[0]").alias("first_file"),
     )
 
 
@@ -913,7 +929,8 @@ def _model_items(spark: SparkSession, d: str) -> DataFrame:
             *[F.struct(F.lit(m).alias("model_no"), F.lit(s).alias("section"), F.col(c).alias("items"))
               for m in (0, 1)
               for s, c in (("Compliance observations", "observations"),
-                           ("Security risks", "security_risks"))]
+                           ("Security risks", "security_risks"),
+                           ("Suggested remediation steps", "remediation"))]
         )),
     ).select("analysis_id", "model_no", "section", F.posexplode("items").alias("pos", "item"))
     louder = F.concat(F.upper("item"), F.when(F.col("pos") == 1, " AND MORE").otherwise("!!"))
@@ -933,23 +950,20 @@ def merge_answers(spark, d):
         F.col("conv_id").alias("analysis_id"), F.col("turn").alias("model_no"),
         F.col("text").alias("answer"),
     )
-    return models.merge_answers(answers, stored)
+    return models.merge_answers(answers)
 
 
 @query
 def parse_model_json(spark, d):
+    body = F.to_json(F.struct(
+        F.col("observations").alias("Compliance observations"),
+        F.col("security_risks").alias("Security risks"),
+        F.col("remediation").alias("Suggested remediation steps")))
     replies = _summarized(spark, d).select(
         "doc_id",
-        F.when(F.col("doc_id") % 3 == 0, F.lit("no json here"))
-        .when(F.col("doc_id") % 3 == 1, F.concat(
-            F.lit("Sure:\n"), F.to_json(F.struct(
-                F.col("observations").alias("Compliance observations"),
-                F.lit("one risk").alias("Security risks"))), F.lit("\nbye")))
-        .otherwise(F.to_json(F.struct(
-            F.lit(5).alias("Compliance observations"),
-            F.col("security_risks").alias("Security risks"),
-            F.array(F.lit(" "), F.lit("step")).alias("Suggested remediation steps"))))
-        .alias("reply"),
+        F.when(F.col("doc_id") % 3 == 0, body)
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Sure:\n"), body, F.lit("\nbye")))
+        .otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("reply"),
     )
     return models.parse_model_json(replies).select("doc_id", F.inline("sections")).select(
         "doc_id", "section", _joined("items").alias("items")
@@ -971,20 +985,26 @@ def fallback_choice(spark, d):
 
 @query
 def batch_meta(spark, d):
-    return batches.batch_metadata(stored(_measured(spark, d)))
+    return batches.batch_totals(_measured(spark, d))
+
+
+@query
+def batch_files(spark, d):
+    return batches.batch_files(_measured(spark, d)).select("batch_id", "doc_id", "listing")
 
 
 @query
 def combined_text(spark, d):
-    ranges = batches.source_ranges(stored(_measured(spark, d)))
+    ranges = batches.source_ranges(_measured(spark, d))
     return batches.combine_text(_docs(spark, d), ranges).select(
-        "batch_id", "part_no", F.length("text").alias("length"), F.md5("text").alias("digest")
+        "batch_id", "doc_id", "section_start", F.length("section").alias("length"),
+        F.md5("section").alias("digest"),
     )
 
 
 @query
 def source_ranges(spark, d):
-    return batches.source_ranges(stored(_measured(spark, d))).select(
+    return batches.source_ranges(_measured(spark, d)).select(
         "batch_id", "doc_id", "start", "end"
     )
 
@@ -992,7 +1012,7 @@ def source_ranges(spark, d):
 @query
 def map_to_source(spark, d):
     """Findings placed in the combined text and attributed back to files."""
-    ranges = stored(batches.source_ranges(stored(_measured(spark, d))))
+    ranges = batches.source_ranges(_measured(spark, d))
     spans = _facts(spark, d).select("doc_id", "batch_id", "category", "start", "end").join(
         ranges.select("doc_id", F.col("start").alias("_at")), "doc_id"
     ).select(
@@ -1008,7 +1028,7 @@ def batch_dashboard(spark, d):
         "batch_id", "doc_id", "file_name", "file_type", F.col("n_chars").alias("characters"),
         "n_findings",
     )
-    return batches.batch_dashboard(stored(docs))
+    return batches.batch_dashboard(docs)
 
 
 @query
@@ -1043,13 +1063,11 @@ def persist_once(spark, d):
 
 @query
 def csv_flatten(spark, d):
-    """Every customer as a small ragged CSV text."""
+    """Every customer, with all its columns, as a small ragged CSV text."""
+    cells = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    full = F.concat_ws(";", *[F.col(c).cast("string") for c in cells])
     text = F.concat(
-        F.lit("id;name;;segment\n"),
-        F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", F.lit("x")), F.lit("\n\n"),
-        F.concat_ws(";", F.col("c_custkey").cast("string"), "c_name", F.lit(""), "c_mktsegment",
-                    F.lit("extra")),
-        F.lit("\n"),
+        F.lit("id;name;;balance;segment\n"), full, F.lit("\n\n"), full, F.lit(";extra\n"),
     )
     rows = read_table(spark, d, "customer").select("c_custkey", text.alias("t")).withColumn(
         "d", infer_delimiter(F.col("t"))
@@ -1059,19 +1077,23 @@ def csv_flatten(spark, d):
 
 @query
 def page_assembly(spark, d):
-    """Pages in threes as documents; the short ones fall back to other text."""
+    """Pages in threes as documents."""
     pages = read_table(spark, d, "pages").select(
         F.floor(F.col("page_id") / 3).alias("doc_id"), (F.col("page_id") % 3 + 1).alias("page_no"),
-        F.when(F.floor(F.col("page_id") / 3) % 4 == 0, "").otherwise(F.col("html")).alias("text"),
-        "url",
+        F.col("html").alias("text"),
     )
-    short = pages.where((F.col("page_no") == 1) | (F.col("doc_id") % 8 != 0))
-    ocr = pages.where(F.col("doc_id") % 12 == 0).select(
-        "doc_id", "page_no", F.col("url").alias("text")
+    return page_source.assemble_pages(pages).select(
+        "doc_id", F.md5("text").alias("digest"), "pages", "characters", "extraction_method", "ocr_status",
     )
-    return page_source.assemble_pages(short.drop("url"), ocr).select(
-        "doc_id", "part_no", F.md5("text").alias("digest"), "pages", "characters",
-        "extraction_method", "ocr_status",
+
+
+@query
+def page_fallback(spark, d):
+    """URLs as embedded text: pages with short ones fall back to their html."""
+    pages = read_table(spark, d, "pages")
+    one = lambda c: pages.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_no"), F.col(c).alias("text"))
+    return page_source.assemble_pages(one("url"), one("html")).select(
+        "doc_id", F.md5("text").alias("digest"), "pages", "characters", "extraction_method", "ocr_status",
     )
 
 
@@ -1111,17 +1133,19 @@ def _run_to_table(rows: DataFrame, folder: str) -> DataFrame:
 def stream_scan(spark, d):
     """The scan plan on a document stream, written to and read back from a table."""
     docs = _stream(spark, d, "documents").select("doc_id", "lang", "text")
-    spread = docs.repartition(spark.sparkContext.defaultParallelism)
-    rows = jobs.stream_scan(spread).select("doc_id", "lang", "risk_level", "risk_score", "n_findings")
+    rows = jobs.stream_scan(docs).select(
+        "doc_id", "lang", "risk_level", "risk_score", "n_findings",
+        F.md5("redacted_text").alias("redacted_digest"),
+    )
     return _run_to_table(rows, scratch_dir(spark))
 
 
 @query
 def stream_persist(spark, d):
-    """Analyses from a stream of repeating ids, appended once each."""
-    analyses = _stream(spark, d, "documents").select(
-        F.concat(F.lit("a"), (F.col("doc_id") % 97).cast("string")).alias("analysis_id"),
-        _doc_time().alias("created_at"),
+    """Analyses of conversations from a stream of their turns, appended once each."""
+    analyses = _stream(spark, d, "conversations").select(
+        F.concat(F.lit("a"), F.col("conv_id").cast("string")).alias("analysis_id"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60).alias("created_at"),
     )
     folder = scratch_dir(spark)
     jobs.stream_persist(
@@ -1132,18 +1156,12 @@ def stream_persist(spark, d):
 
 @query
 def stream_monitor(spark, d):
-    """Windowed monitor on the event stream; every window is kept in the result table."""
-    rows = jobs.monitor(_trace_rows(_stream(spark, d, "events")), "1 day")
-    folder = scratch_dir(spark)
-    (
-        rows.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
-        .trigger(availableNow=True).start().awaitTermination()
-    )
-    return spark.read.schema(rows.schema).parquet(f"{folder}/rows").select(
+    """Windowed monitor on the event stream: windows come once the watermark has passed them."""
+    rows = jobs.monitor(_trace_rows(_stream(spark, d, "events")), "1 day").select(
         _stamp("window_start").alias("window_start"), "calls", "fallbacks", "max_latency_ms",
         "fallback_rate",
     )
+    return _run_to_table(rows, scratch_dir(spark))
 
 
 @query

@@ -7,50 +7,44 @@ from pyspark.sql import functions as F
 
 from docwarden.functions.text import strip
 
-PAGES_PER_PART = 10_000
 MIN_TEXT = 50
 
 
-def _joined(pages: DataFrame, label: str, per_part: int) -> DataFrame:
-    """One row per document part: page texts under their headers, in order."""
+def _joined(pages: DataFrame, label: str, name: str) -> DataFrame:
+    """One row per document: page texts under their headers, in order."""
     section = F.concat(
         F.lit(f"\n--- {label} "), F.col("page_no").cast("string"), F.lit(" ---\n"),
         F.coalesce("text", F.lit("")),
     )
     ordered = F.array_sort(F.collect_list(F.struct("page_no", section.alias("section"))))
-    return pages.groupBy(
-        "doc_id", F.floor((F.col("page_no") - 1) / per_part).cast("int").alias("part_no")
-    ).agg(
-        F.array_join(F.transform(ordered, lambda p: p["section"]), "\n").alias("text"),
-        F.count("*").alias("pages"),
+    return pages.groupBy("doc_id").agg(
+        F.array_join(F.transform(ordered, lambda p: p["section"]), "\n").alias(name),
+        F.count("*").alias(f"{name}_pages"),
     )
 
 
 def assemble_pages(
-    pages: DataFrame, ocr_pages: DataFrame | None = None, per_part: int = PAGES_PER_PART
+    pages: DataFrame, ocr_pages: DataFrame | None = None, min_text: int = MIN_TEXT
 ) -> DataFrame:
-    """doc_id, part_no, text, pages, characters, extraction_method, ocr_status.
+    """doc_id, text, pages, characters, extraction_method, ocr_status, a row per document.
 
-    ``pages`` and ``ocr_pages``: doc_id, page_no (from 1), text. A document of
-    up to ``per_part`` pages is one part; longer ones come as ordered parts, so
-    no task ever holds more pages than that. OCR text takes over when the
-    embedded text is shorter than 50 characters, which only a document of a few
-    pages (one part) can be.
+    ``pages`` and ``ocr_pages``: doc_id, page_no (from 1), text. OCR text takes
+    over when the whole embedded text is shorter than ``min_text`` characters; a
+    document that only has OCR pages has an empty embedded text. As elsewhere, a
+    document's text is one row, so its pages are joined in one.
     """
-    own = _joined(pages, "Page", per_part)
-    short = F.length(strip(F.col("text"))) < MIN_TEXT
+    own = _joined(pages, "Page", "text")
     if ocr_pages is None:
-        joined = own.withColumn("_ocr", F.lit(None).cast("string"))
+        joined = own.withColumns({"_ocr": F.lit(None).cast("string"), "_ocr_pages": F.lit(0)})
     else:
-        ocr = _joined(ocr_pages, "OCR Page", per_part).select(
-            "doc_id", "part_no", F.col("text").alias("_ocr")
-        )
-        joined = own.join(ocr, ["doc_id", "part_no"], "left")
-    short = short & (F.col("part_no") == 0)
+        joined = own.join(_joined(ocr_pages, "OCR Page", "_ocr"), "doc_id", "full")
+    own_text = F.coalesce("text", F.lit(""))
+    short = F.length(strip(own_text)) < min_text
     use_ocr = short & (strip(F.coalesce("_ocr", F.lit(""))) != "")
-    text = F.when(use_ocr, F.col("_ocr")).otherwise(F.col("text"))
+    text = F.when(use_ocr, F.col("_ocr")).otherwise(own_text)
     return joined.select(
-        "doc_id", "part_no", strip(text).alias("text"), "pages",
+        "doc_id", strip(text).alias("text"),
+        F.coalesce("text_pages", "_ocr_pages").alias("pages"),
         F.length(text).alias("characters"),
         F.when(use_ocr, "ocr").otherwise("embedded_text").alias("extraction_method"),
         _status(short).alias("ocr_status"),

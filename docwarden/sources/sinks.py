@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from docwarden.functions.masking import redacted
 from docwarden.functions.text import escape_html
-from docwarden.operators.batches import FILES_PER_PART, with_position
-from docwarden.operators.scale import salted_lookup
+from docwarden.operators.batches import batch_files
 
 
 def append_facts(rows: DataFrame, path: str) -> None:
@@ -18,64 +17,42 @@ def append_facts(rows: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def audit_events(rows: DataFrame, event_type: str, *details: str) -> DataFrame:
-    """Audit facts (user_id, event_type, details JSON, created_at) from any rows."""
-    return rows.select(
-        "user_id", F.lit(event_type).alias("event_type"),
-        F.to_json(F.struct(*details)).alias("details"), "created_at",
-    )
-
-
-def file_lists(docs: DataFrame, files_per_part: int = FILES_PER_PART) -> DataFrame:
-    """Files of each batch in bounded, ordered lists.
-
-    ``docs``: batch_id, doc_id, user_id, file_name, file_type, ocr_status.
-    """
-    return with_position(docs).groupBy(
-        "batch_id", "user_id", F.floor(F.col("position") / files_per_part).alias("part_no")
-    ).agg(
-        F.array_sort(
-            F.collect_list(F.struct("doc_id", "file_name", "file_type", "ocr_status"))
-        ).alias("files")
-    )
-
-
 def scan_log(
-    docs: DataFrame, batch_risk: DataFrame, created_at: str, files_per_part: int = FILES_PER_PART
+    docs: DataFrame, batch_risk: DataFrame, created_at: str, users: DataFrame | None = None
 ) -> DataFrame:
     """Scan log lines: metadata and counts only, never raw values.
 
-    One line per batch and file-list part (one part for ordinary batches); the
-    counts on each line are those of the whole batch.
+    One line per batch; its files are the rows of ``scan_log_files``. ``docs``:
+    batch_id, doc_id, user_id, file_name, file_type, ocr_status. With ``users``
+    (id, email) lines carry the address of the user.
     """
+    heads = docs.groupBy("batch_id", "user_id").agg(
+        F.array_sort(F.collect_set("file_type")).alias("file_types")
+    )
     risk = batch_risk.select(
         "batch_id", F.col("n_documents").alias("file_count"),
         F.col("n_findings").alias("detections"),
         F.col("n_high").alias("high_severity_detections"), "ranked", "risk_level",
     )
-    joined = salted_lookup(
-        file_lists(docs, files_per_part), risk, ["batch_id"], F.col("part_no"), "inner"
-    )
+    joined = heads.join(risk, "batch_id")
+    email = F.lit(None).cast("string")
+    if users is not None:
+        known = users.select(F.col("id").alias("user_id"), F.col("email").alias("_email"))
+        joined, email = joined.join(known, "user_id", "left"), F.col("_email")
     return joined.select(
-        F.lit(created_at).alias("timestamp_utc"), "user_id", "batch_id", "part_no", "file_count",
-        F.transform("files", lambda f: f["file_name"]).alias("file_names"),
-        F.array_sort(F.array_distinct(F.transform("files", lambda f: f["file_type"])))
-        .alias("file_types"),
-        "detections", "high_severity_detections",
+        F.lit(created_at).alias("timestamp_utc"), "user_id", email.alias("user_email"), "batch_id",
+        "file_count", "file_types", "detections", "high_severity_detections",
         F.map_from_entries(F.transform("ranked", lambda r: F.struct(r["category"], r["n"])))
         .alias("categories"),
         "risk_level",
-        F.map_from_entries(
-            F.transform(
-                "files",
-                lambda f: F.struct(
-                    f["file_name"], F.coalesce(f["ocr_status"], F.lit("not_applicable"))
-                ),
-            )
-        ).alias("ocr_status"),
     )
 
 
+def scan_log_files(docs: DataFrame) -> DataFrame:
+    """Names, types and OCR status of the files behind the log lines, a row each."""
+    return batch_files(docs).select("batch_id", "doc_id", "file_name", "file_type", "ocr_status")
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 

@@ -52,11 +52,11 @@ def test_combined_text_and_ranges(spark):
     docs = texts(spark)
     rows = docs.orderBy("doc_id").collect()
     whole = {b: combined([r for r in rows if r.batch_id == b]) for b in (0, 1)}
-    one = {r.batch_id: r.text for r in batches.combine_text(docs).collect()}
-    assert one == whole
-    parts = batches.combine_text(docs, part_chars=100).orderBy("batch_id", "part_no").collect()
-    assert len(parts) > 3
-    assert {b: "".join(p.text for p in parts if p.batch_id == b) for b in (0, 1)} == whole
+    sections = batches.combine_text(docs)
+    assert sections.count() == len(rows)
+    for r in sections.collect():
+        assert whole[r.batch_id][r.section_start:].startswith(r.section)
+    assert {r.batch_id: r.text for r in batches.join_sections(sections).collect()} == whole
     for r in batches.source_ranges(docs).collect():
         text = next(d.text for d in rows if d.doc_id == r.doc_id)
         assert whole[r.batch_id][r.start:r.end] == text
@@ -79,34 +79,58 @@ def test_scanning_documents_attributes_findings(spark):
     assert ("solo.txt", "PAN Number") in got and ("f3.txt", "Email Address") in got
 
 
-def test_metadata_and_logs_come_in_parts(spark):
+def test_counts_and_files_are_separate(spark):
     docs = measured(spark, 60)
-    whole = {r.batch_id: r for r in batches.batch_metadata(docs).collect()}
-    parts = batches.batch_metadata(docs, files_per_part=7).orderBy("batch_id", "part_no").collect()
-    assert len(parts) > len(whole)
-    for b, w in whole.items():
-        mine = [p for p in parts if p.batch_id == b]
-        joined = "; ".join(p.ocr_status for p in mine if p.ocr_status != "not_applicable")
-        assert (joined or "not_applicable") == w.ocr_status
-        assert {p.files for p in mine} == {w.files}
+    counts = {r.batch_id: r for r in batches.batch_totals(docs).collect()}
+    files = batches.batch_files(docs).collect()
+    assert len(files) == 60 and len(counts) == docs.select("batch_id").distinct().count()
+    for b, c in counts.items():
+        assert c.files == sum(f.batch_id == b for f in files)
+    assert {f.listing.split(": ")[1] for f in files} == {"completed", "not_applicable"}
+
+
+def by_formula(user, pieces):
+    """Digest of the document digests in blocks."""
+    leaves = [hashlib.sha256(p).hexdigest() for p in pieces]
+    size = batches.FINGERPRINT_BLOCK
+    blocks = [hashlib.sha256("".join(leaves[i:i + size]).encode()).hexdigest() for i in range(0, len(leaves), size)]
+    return hashlib.sha256((str(user) + "".join(blocks)).encode()).hexdigest()
 
 
 def test_fingerprints(spark):
     docs = texts(spark)
     rows = [r for r in docs.orderBy("doc_id").collect() if r.batch_id == 0]
-    h = hashlib.sha256(b"9")
-    u = hashlib.sha256(b"9")
-    for r in rows:
-        for bit in (r.file_name, str(len(r.text)), r.text[:500]):
-            h.update(bit.encode())
-        u.update(r.file_name.encode() + str(len(r.text.encode())).encode())
-        u.update(hashlib.sha256(r.text.encode()).digest())
+    analysis = [f"{r.file_name}{len(r.text)}{r.text[:500]}".encode() for r in rows]
+    upload = [f"{r.file_name}{len(r.text.encode())}".encode() + hashlib.sha256(r.text.encode()).digest() for r in rows]
     got = {r.batch_id: r.fingerprint for r in batches.analysis_fingerprint(docs).collect()}
-    assert got[0] == h.hexdigest()
+    assert got[0] == by_formula(9, analysis)
     files = docs.withColumn("content", F.col("text").cast("binary"))
-    assert {r.batch_id: r.fingerprint for r in batches.upload_fingerprint(files).collect()}[0] == u.hexdigest()
-    split = {r.batch_id: r.fingerprint for r in batches.analysis_fingerprint(docs, 3).collect()}
-    assert split[0] != got[0] and split[1] == got[1]
+    assert {r.batch_id: r.fingerprint for r in batches.upload_fingerprint(files).collect()}[0] == by_formula(9, upload)
+
+
+def test_one_fingerprint_formula_for_every_size(spark):
+    for n in (1, 10, 10_001):
+        docs = spark.range(n).select(
+            F.lit(0).alias("batch_id"), F.lit(9).alias("user_id"), F.col("id").alias("doc_id"),
+            F.concat(F.lit("f"), F.col("id").cast("string")).alias("file_name"),
+            F.repeat(F.lit("ab"), F.lit(300)).alias("text"))
+        pieces = [f"f{i}600{'ab' * 250}".encode() for i in range(n)]
+        assert batches.analysis_fingerprint(docs.repartition(7)).first().fingerprint == by_formula(9, pieces)
+        whole = [f"f{i}600{'ab' * 300}".encode() for i in range(n)]
+        assert batches.analysis_fingerprint(docs, chars=None).first().fingerprint == by_formula(9, whole)
+
+
+def test_counts_beyond_int_range(spark):
+    """A group of more findings than an INT holds."""
+    one = "named_struct('category', 'PAN Number', 'start', 0)"
+    kinds = "array<struct<category:string,start:int>>"
+    docs = spark.range(3000).selectExpr(
+        "0 AS batch_id", "id AS doc_id", "'f' AS file_name", "'TXT' AS file_type", "'x' AS text",
+        f"cast(array({one}) AS {kinds}) AS findings")
+    many = risk.assess_groups(docs, "batch_id").first()
+    assert (many.n_findings, many.n_high) == (3000, 3000)
+    schema = dict(risk.assess_groups(docs, "batch_id").dtypes)
+    assert schema["n_findings"] == schema["n_high"] == "bigint" and "n:bigint" in schema["ranked"]
 
 
 def test_batch_dashboard(spark):
@@ -121,6 +145,8 @@ def test_persist_once(spark):
     new = spark.createDataFrame([("a",), ("a",), ("b",)], "analysis_id string")
     old = spark.createDataFrame([("b",)], "analysis_id string")
     assert [r.analysis_id for r in batches.persist_once(new, old).collect()] == ["a"]
+    timed = spark.createDataFrame([("a", 2, "late"), ("a", 1, "z"), ("a", 1, "y")], "analysis_id string, at int, v string")
+    assert [tuple(r) for r in batches.persist_once(timed, old, "at").collect()] == [("a", 1, "y")]
 
 
 def test_history_rows_repeat_batch_risk(spark):

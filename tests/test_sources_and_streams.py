@@ -85,10 +85,12 @@ def test_pages_and_ocr(spark):
     assert rows[2].text == f"--- Page 1 ---\n{'x' * 60}\n\n--- Page 2 ---\nsecond"
     assert rows[2].ocr_status == "not_needed" and rows[2].pages == 2
     assert (rows[3].extraction_method, rows[3].ocr_status) == ("embedded_text", "ocr_dependencies_missing")
-    many = spark.range(25).select(F.lit(9).alias("doc_id"), (F.col("id") + 1).cast("int").alias("page_no"),
-                                  F.lit("t").alias("text"))
-    parts = pages.assemble_pages(many, per_part=10).orderBy("part_no").collect()
-    assert [p.pages for p in parts] == [10, 10, 5]
+    many = spark.range(10_001).select(F.lit(9).alias("doc_id"), (F.col("id") + 1).cast("int").alias("page_no"),
+                                      F.lit("t").alias("text"))
+    whole = pages.assemble_pages(many).collect()
+    assert [p.pages for p in whole] == [10_001] and whole[0].text.endswith("--- Page 10001 ---\nt")
+    only_ocr = pages.assemble_pages(own.where("doc_id = 2"), ocr.where("doc_id = 1")).where("doc_id = 1").first()
+    assert (only_ocr.text, only_ocr.extraction_method) == ("--- OCR Page 1 ---\nOCR email scan@example.com", "ocr")
 
 
 def test_sinks(spark, docs, tmp_path):
@@ -97,10 +99,12 @@ def test_sinks(spark, docs, tmp_path):
     assert {r.redacted_text for r in spark.read.parquet(str(tmp_path / "red")).collect()} == {
         "PAN [REDACTED PAN NUMBER]", "<b> & [REDACTED EMAIL ADDRESS]"}
     listed = docs("PAN ABCDE1234F", "<b> & a@b.com").withColumn("ocr_status", F.lit(None).cast("string"))
-    log = sinks.scan_log(listed, risk.assess_groups(scans, "batch_id"), "2024-01-01T00:00:00Z")
+    users = spark.createDataFrame([(1, "one@example.org")], "id int, email string")
+    log = sinks.scan_log(listed, risk.assess_groups(scans, "batch_id"), "2024-01-01T00:00:00Z", users)
     sinks.write_jsonl(log, str(tmp_path / "log"))
     line = json.loads(next(p for p in (tmp_path / "log").iterdir() if p.suffix == ".json").read_text())
-    assert line["file_names"] == ["file_0.txt", "file_1.txt"] and line["detections"] == 2
+    assert line["file_count"] == 2 and line["detections"] == 2 and line["user_email"] == "one@example.org"
+    assert sinks.scan_log_files(listed).count() == 2
     assert line["categories"] == {"PAN Number": 1, "Email Address": 1}
     assert "ABCDE1234F" not in json.dumps(line)
     html = sinks.html_page(docs("<a> & 'b'"), "T", "text").first().html
