@@ -13,6 +13,7 @@ from docwarden.llm.jaccard_join import jaccard_classes
 from docwarden.llm.licenses import license_spans
 from docwarden.llm.line_dedup import dedup_report
 from docwarden.llm.mixing import mix
+from docwarden.llm.oracle import ORACLE
 from docwarden.llm.rabitq import nearest
 from docwarden.llm.shards import kd_shards, number_place, text_place
 from docwarden.llm.toxicity import toxicity
@@ -79,7 +80,8 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup_report(_table(spark, folder, "documents"))
+    found = dedup_report(_table(spark, folder, "documents"))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,4 +104,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

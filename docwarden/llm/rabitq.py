@@ -87,8 +87,8 @@ def best_in_block(ids, x, codes, norm, cosine, query_ids, queries, turn, k: int)
 
 
 def _products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in one fixed order for every caller."""
-    return np.add.reduce(x * q[None, :], axis=1)
+    """Inner products in double precision, summed from the first component to the last."""
+    return np.cumsum(x * q[None, :], axis=1)[:, -1]
 
 
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
