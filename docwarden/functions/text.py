@@ -15,6 +15,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
+def first_items(items: Column | str, limit: int | None) -> Column:
+    """The first ``limit`` items of an array; None keeps all."""
+    items = F.col(items) if isinstance(items, str) else items
+    return items if limit is None else F.slice(items, 1, limit)
+
+
+def first_chars(text: Column | str, limit: int | None) -> Column:
+    """The first ``limit`` characters; None keeps the whole text."""
+    text = F.col(text) if isinstance(text, str) else text
+    return text if limit is None else F.left(text, F.lit(limit))
+
+
 def compact(text: Column) -> Column:
     """Collapse whitespace runs to one space and trim."""
     return F.btrim(F.regexp_replace(text, f"[{SPACE}]+", " "), F.lit(" "))

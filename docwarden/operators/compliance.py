@@ -18,7 +18,7 @@ from docwarden.catalog import (
 )
 from docwarden.functions.masking import mask_value
 from docwarden.functions.sqltext import any_of, present, quote, string_array
-from docwarden.functions.text import whole_percent
+from docwarden.functions.text import first_items, whole_percent
 from docwarden.operators.risk import group_counts
 
 EVIDENCE_ROWS = 80
@@ -100,9 +100,9 @@ def recommended_actions(facts: DataFrame) -> DataFrame:
     return facts.withColumn("next_action", F.expr(action_for("category")))
 
 
-def severity_explanations(scans: DataFrame, limit: int = EVIDENCE_ROWS) -> DataFrame:
-    """The first ``limit`` findings of each document with the reason for their severity."""
-    rows = scans.select("doc_id", F.posexplode(F.slice("findings", 1, limit)).alias("i", "f"))
+def severity_explanations(scans: DataFrame, limit: int | None = EVIDENCE_ROWS) -> DataFrame:
+    """The first ``limit`` findings of each document (None: all) with the reason for their severity."""
+    rows = scans.select("doc_id", F.posexplode(first_items("findings", limit)).alias("i", "f"))
     return rows.select(
         "doc_id", (F.col("i") + 1).alias("row_no"), "f.category",
         mask_value(F.col("f.value")).alias("masked_value"), "f.severity",
@@ -247,10 +247,14 @@ def final_report(
     summarized: DataFrame,
     title: str = "Document compliance report",
     ai_status: str = "Standard analysis",
+    evidence_rows: int | None = REPORT_EVIDENCE,
 ) -> DataFrame:
-    """Add ``report``: the section-ordered text report of each document."""
+    """Add ``report``: the section-ordered text report of each document.
+
+    It shows the first ``evidence_rows`` findings; None shows all.
+    """
     masked = F.transform(
-        F.slice("findings", 1, REPORT_EVIDENCE),
+        first_items("findings", evidence_rows),
         lambda f: F.concat(
             F.lit("- "), F.col("file_name"), F.lit(": "), f["category"], F.lit(" | "),
             mask_value(f["value"]), F.lit(" | "), f["severity"], F.lit(" | "), f["reason"],

@@ -35,11 +35,11 @@ _AADHAAR = next(i for i, p in enumerate(PATTERNS) if p.category == "Aadhaar Numb
 def spread(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rebalance documents when the input has fewer splits than the cluster has cores.
 
-    A large table has many splits and is left alone, so the text is not
+    A table of at least as many files is left alone, so the text is not
     shuffled. Rows are dealt out without a key: no value can make a task hot.
     """
     wanted = partitions or docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= wanted else docs.repartition(wanted)
+    return docs if len(docs.inputFiles()) >= wanted else docs.repartition(wanted)
 
 
 def _meta() -> str:
@@ -87,18 +87,19 @@ def scan(docs: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
     """Add ``findings``: non-overlapping detections ordered by start."""
     resolved = candidates(docs, only).withColumn(
         "_kept", resolve_overlaps(F.col("candidates"))
+    ).withColumn(
+        "_found", F.expr(f"transform(_kept, k -> named_struct('k', k, 'm', {_meta()}[k.p]))")
     )
 
     def listed(value: str) -> str:
-        return f"""transform(_kept, k -> named_struct(
-              'category', {_meta()}[k.p].c, 'value', {value}, 'start', k.s, 'end', k.e,
-              'severity', {_meta()}[k.p].sev, 'confidence', {_meta()}[k.p].conf,
-              'reason', {_meta()}[k.p].why))"""
+        return f"""transform(_found, f -> named_struct(
+              'category', f.m.c, 'value', {value}, 'start', f.k.s, 'end', f.k.e,
+              'severity', f.m.sev, 'confidence', f.m.conf, 'reason', f.m.why))"""
 
     # Texts that hold the mark were matched on a copy; quote the original there.
-    original = f"IF(k.p < {FIRST_CONTEXTUAL}, substring(text, k.s + 1, k.e - k.s), k.v)"
-    findings = F.expr(f"IF(contains(text, '{MARK}'), {listed(original)}, {listed('k.v')})")
-    return computed_once(resolved, {"findings": findings}).drop("_kept", "candidates")
+    original = f"IF(f.k.p < {FIRST_CONTEXTUAL}, substring(text, f.k.s + 1, f.k.e - f.k.s), f.k.v)"
+    findings = F.expr(f"IF(contains(text, '{MARK}'), {listed(original)}, {listed('f.k.v')})")
+    return computed_once(resolved, {"findings": findings}).drop("_found", "_kept", "candidates")
 
 
 def explode_findings(scans: DataFrame, *keys: str) -> DataFrame:

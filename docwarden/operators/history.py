@@ -82,13 +82,13 @@ def feedback_events(feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def latest(
-    rows: DataFrame, limit: int, order: str = "created_at", user_id: int | None = None
+    rows: DataFrame, limit: int | None, order: str = "created_at", user_id: int | None = None
 ) -> DataFrame:
-    """The latest rows, optionally of one user."""
+    """The latest rows, optionally of one user; without ``limit`` all of them, in no order."""
     if user_id is not None:
         rows = rows.where(F.col("user_id") == user_id)
     keys = [F.col(order).desc()] + ([F.col("id").desc()] if order != "id" else [])
-    return rows.orderBy(*keys).limit(limit)
+    return rows if limit is None else rows.orderBy(*keys).limit(limit)
 
 
 def user_documents(history: DataFrame, user_id: int, limit: int = HISTORY_LIMIT) -> DataFrame:

@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 from docwarden.catalog import ANSWER_MARKERS, CONTEXT_QUERY, SUMMARY_SECTIONS
 from docwarden.functions.masking import mask_value, redacted
 from docwarden.functions.once import computed_once
-from docwarden.functions.text import strip
+from docwarden.functions.text import first_chars, strip
 from docwarden.operators.batches import first_per_group
 from docwarden.operators.retrieval import retrieve
 from docwarden.operators.scale import salted_lookup
 
 CONTEXT_CHARS = 12_000
 MAX_ITEMS = 5
-MAX_ADDITIONS = 2
 NEW_TERMS = 3
 EXTRA_DETAIL = "\n\nAdditional useful detail: "
 
 
-def prepare_context(assessed: DataFrame, query: Column | str = CONTEXT_QUERY) -> DataFrame:
-    """Add masked_findings, redacted_context and context (top 4 redacted chunks)."""
+def prepare_context(
+    assessed: DataFrame, query: Column | str = CONTEXT_QUERY, chars: int | None = CONTEXT_CHARS
+) -> DataFrame:
+    """Add masked_findings, redacted_context (the first ``chars`` characters, None: all) and
+    context (top 4 redacted chunks)."""
     masked = F.transform(
         "findings",
         lambda f: F.struct(
@@ -37,7 +39,7 @@ def prepare_context(assessed: DataFrame, query: Column | str = CONTEXT_QUERY) ->
     )
     safe = redacted(assessed).withColumn("masked_findings", masked).drop("text")
     ranked = retrieve(safe.withColumnRenamed("redacted_text", "text"), query)
-    return ranked.withColumn("redacted_context", F.left("text", F.lit(CONTEXT_CHARS))).drop("text")
+    return ranked.withColumn("redacted_context", first_chars("text", chars)).drop("text")
 
 
 def _sections_text() -> Column:
@@ -128,8 +130,8 @@ def normalized(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
 
 
-def merge_summaries(items: DataFrame) -> DataFrame:
-    """Merge model summaries: repeats dropped, model order kept, five per section.
+def merge_summaries(items: DataFrame, keep: int | None = MAX_ITEMS) -> DataFrame:
+    """Merge model summaries: repeats dropped, model order kept, ``keep`` per section (None: all).
 
     ``items``: analysis_id, section, model_no, pos, item. Repeats are dropped by
     a map-side combined aggregate, so many copies of one item cost nothing.
@@ -139,8 +141,8 @@ def merge_summaries(items: DataFrame) -> DataFrame:
     ).agg(
         F.min(F.struct("model_no", "pos", "item")).alias("f")
     )
-    kept = first_per_group(
-        distinct, ["analysis_id", "section"], [F.col("f.model_no"), F.col("f.pos")], MAX_ITEMS
+    kept = distinct if keep is None else first_per_group(
+        distinct, ["analysis_id", "section"], [F.col("f.model_no"), F.col("f.pos")], keep
     )
     return kept.groupBy("analysis_id", "section").agg(
         F.transform(F.array_sort(F.collect_list("f")), lambda f: f["item"]).alias("items")

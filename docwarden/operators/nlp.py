@@ -11,7 +11,7 @@ from docwarden.catalog import (
 from docwarden.functions.once import computed_once
 from docwarden.functions.spans import has_odd_case, match_copy, match_spans
 from docwarden.functions.sqltext import string_array
-from docwarden.functions.text import compact, compact_text, count_of
+from docwarden.functions.text import compact, count_of, first_chars, first_items
 
 RULER_LIMIT = 25
 SIGNAL_LIMIT = 5
@@ -66,15 +66,15 @@ def ruler_signals(docs: DataFrame, limit: int = RULER_LIMIT) -> DataFrame:
     )
 
 
-def semantic_input(docs: DataFrame) -> DataFrame:
-    """Compacted text as handed to an external label scorer."""
+def semantic_input(docs: DataFrame, chars: int | None = MODEL_INPUT_CHARS) -> DataFrame:
+    """Compacted text as handed to an external label scorer; None hands over all of it."""
     return docs.select(
-        "doc_id", compact_text(F.col("text"), MODEL_INPUT_CHARS).alias("model_input")
+        "doc_id", first_chars(compact(F.col("text")), chars).alias("model_input")
     )
 
 
-def semantic_signals(scored: DataFrame) -> DataFrame:
-    """Pair scorer labels with scores, drop unparsable ones, keep the first five.
+def semantic_signals(scored: DataFrame, limit: int | None = SIGNAL_LIMIT) -> DataFrame:
+    """Pair scorer labels with scores, drop unparsable ones, keep the first ``limit``.
 
     ``scored``: doc_id, labels array<string>, scores array<string>, typically
     made with ``mapInPandas`` over ``semantic_input``.
@@ -87,7 +87,7 @@ def semantic_signals(scored: DataFrame) -> DataFrame:
             F.lit(SEMANTIC_SOURCE).alias("source"),
         ),
     )
-    kept = F.slice(F.filter(paired, lambda s: s["score"].isNotNull()), 1, SIGNAL_LIMIT)
+    kept = first_items(F.filter(paired, lambda s: s["score"].isNotNull()), limit)
     return scored.select("doc_id", kept.alias("signals")).select(
         "*",
         F.transform("signals", lambda s: s["label"]).alias("semantic_labels"),

@@ -9,23 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docwarden.functions.text import first_chars
+
 SAMPLE_CHARS = 2_048
 DELIMITERS = (",", ";", "\t", "|")
 
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
 
 
-def infer_delimiter(text: Column) -> Column:
+def infer_delimiter(text: Column, chars: int | None = SAMPLE_CHARS) -> Column:
     """The delimiter of the header line that most sample lines agree on.
 
     A delimiter gets one vote per sample line that holds it as often as the
     header does. Most votes win, then the higher count, then the order
     ``, ; tab |``; when the header holds none the answer is a comma. Quoted
-    stretches do not count, nor does a last line that the sample cuts off.
+    stretches do not count, nor does a last line that the sample of the first
+    ``chars`` characters (None: the whole text) cuts off.
     """
-    sample = F.regexp_replace(F.left(text, F.lit(SAMPLE_CHARS)), r'"[^"]*"', "")
+    sample = F.regexp_replace(first_chars(text, chars), r'"[^"]*"', "")
     lines = F.filter(F.split(sample, r"\r\n|\n|\r", -1), lambda s: s != "")
-    cut = (F.length(text) > SAMPLE_CHARS) & (F.size(lines) > 1)
+    cut = F.lit(False) if chars is None else (F.length(text) > chars) & (F.size(lines) > 1)
     whole = F.when(cut, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
 
     def vote(delimiter: str, rank: int) -> Column:
