@@ -32,8 +32,8 @@ def compact(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, f"[{SPACE}]+", " "), F.lit(" "))
 
 
-def compact_text(text: Column, max_chars: int) -> Column:
-    return F.left(compact(text), F.lit(max_chars))
+def compact_text(text: Column, max_chars: int | None = None) -> Column:
+    return first_chars(compact(text), max_chars)
 
 
 def terms(text: Column) -> Column:

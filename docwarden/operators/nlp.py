@@ -11,7 +11,7 @@ from docwarden.catalog import (
 from docwarden.functions.once import computed_once
 from docwarden.functions.spans import has_odd_case, match_copy, match_spans
 from docwarden.functions.sqltext import string_array
-from docwarden.functions.text import compact, count_of, first_chars, first_items
+from docwarden.functions.text import compact, compact_text, count_of, first_items
 
 RULER_LIMIT = 25
 SIGNAL_LIMIT = 5
@@ -69,7 +69,7 @@ def ruler_signals(docs: DataFrame, limit: int = RULER_LIMIT) -> DataFrame:
 def semantic_input(docs: DataFrame, chars: int | None = MODEL_INPUT_CHARS) -> DataFrame:
     """Compacted text as handed to an external label scorer; None hands over all of it."""
     return docs.select(
-        "doc_id", first_chars(compact(F.col("text")), chars).alias("model_input")
+        "doc_id", compact_text(F.col("text"), chars).alias("model_input")
     )
 
 
