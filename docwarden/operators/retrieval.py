@@ -161,15 +161,17 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact nearest vectors of each collection for that collection's queries.
 
-    ``vectors``: collection, vec_id, embedding; ``queries``: collection, query
-    (one per collection). Collections may be very uneven: the join is salted
-    and the rank filter limits every group before its shuffle.
+    ``vectors``: collection, vec_id, embedding; ``queries``: collection, query,
+    and query_id where a collection has several. Collections may be very
+    uneven: the join is salted and the rank filter limits every group before
+    its shuffle.
     """
+    group = ["collection", *(["query_id"] if "query_id" in queries.columns else [])]
     joined = salted_lookup(vectors, queries, ["collection"], F.col("vec_id"), "inner")
     scored = joined.select(
-        "collection", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("score")
+        *group, "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("score")
     )
-    best = Window.partitionBy("collection").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy(*group).orderBy(F.col("score").desc(), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

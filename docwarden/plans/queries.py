@@ -21,7 +21,8 @@ from docwarden.operators import (
     batches, compliance, detect, history, models, monitoring, nlp, qa, retrieval, risk, summary,
 )
 from docwarden.plans.enriched import enriched_documents
-from docwarden.session import scratch_dir, stored
+from docwarden.session import scratch_dir
+from docwarden.sources import files as file_source
 from docwarden.sources import pages as page_source
 from docwarden.sources import sinks
 from docwarden.sources.csv_text import flatten_csv, infer_delimiter
@@ -1109,6 +1110,56 @@ def export_html(spark, d):
     return page.select("doc_id", "start", F.md5("html").alias("digest"))
 
 
+@query
+def redacted_export(spark, d):
+    """Redacted texts written to a table and read back."""
+    folder = f"{scratch_dir(spark)}/redacted"
+    sinks.write_redacted(_scans(spark, d), folder)
+    return spark.read.parquet(folder).select(
+        "doc_id", "file_name", F.md5("redacted_text").alias("digest")
+    )
+
+
+@query
+def text_files(spark, d):
+    """Documents as files in UTF-8, UTF-8 with a mark, or Latin-1 where they fit it."""
+    raw = F.encode("text", "UTF-8")
+    fits = F.col("text").rlike(r"^[\x00-\x7f\xa0-\xff]*$")
+    files = read_table(spark, d, "documents").select(
+        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.when(F.col("doc_id") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), raw))
+        .when((F.col("doc_id") % 3 == 2) & fits,
+              F.encode(F.when(fits, F.col("text")).otherwise(""), "ISO-8859-1"))
+        .otherwise(raw).alias("content"),
+    )
+    return file_source.load_text_files(file_source.with_file_type(files)).select(
+        "path", "file_name", "file_type", F.md5("text").alias("digest"), "characters"
+    )
+
+
+@query
+def rejected_files(spark, d):
+    """Pages as files of a type no loader takes."""
+    files = read_table(spark, d, "pages").select(
+        F.concat(F.lit("/in/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+        F.encode("html", "UTF-8").alias("content"),
+    )
+    return file_source.rejected_files(file_source.with_file_type(files))
+
+
+@query
+def semantic_signals(spark, d):
+    """Labels and scores of a scorer, here taken from the columns of each document."""
+    scored = _docs(spark, d).select(
+        "doc_id", F.array("lang", "source", "file_name").alias("labels"),
+        F.array(F.length("text").cast("string"), F.lit("n/a"), F.lit("0.5")).alias("scores"),
+    )
+    return nlp.semantic_signals(scored).select(
+        "doc_id", _joined("semantic_labels").alias("labels"),
+        F.aggregate("signals", F.lit(0.0), lambda a, x: a + x["score"]).alias("total"), "nlp_status",
+    )
+
+
 # --- streams ----------------------------------------------------------------
 
 

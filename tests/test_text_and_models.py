@@ -96,6 +96,17 @@ def test_vector_topk_is_exact(spark, sf):
         assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.collection == label] == list(best)
 
 
+def test_vector_topk_with_several_queries(spark):
+    vectors = spark.createDataFrame(
+        [(c, v, [float(v % 3), float(v // 3), 1.0]) for c in (0, 1) for v in range(9)],
+        "collection int, vec_id int, embedding array<double>")
+    queries = spark.createDataFrame(
+        [(0, 7, [1.0, 0.0, 0.0]), (0, 8, [0.0, 1.0, 0.0]), (1, 7, [0.0, 0.0, 1.0])],
+        "collection int, query_id int, query array<double>")
+    got = {(r.collection, r.query_id, r["rank"]): r.vec_id for r in retrieval.vector_topk(vectors, queries, 1).collect()}
+    assert got == {(0, 7, 1): 2, (0, 8, 1): 6, (1, 7, 1): 0}
+
+
 def test_pieces_cut_long_texts(spark):
     text = "".join(chr(97 + i % 26) for i in range(100)) + "é𝔘x" * 20
     df = spark.createDataFrame([(text,)], "t string").withColumn("c", pieces(F.col("t"), 16))
