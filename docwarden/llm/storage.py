@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.gettempdir()
     return f"{shared.rstrip('/')}/llm-{uuid.uuid4()}"
