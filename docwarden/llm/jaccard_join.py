@@ -87,7 +87,7 @@ def _profiles(size: int, percent: int):
             f2 = int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if n else 0
             yield i, n, f1, f2, s[: _counted(n, percent)].tobytes()
 
-    return lambda batches: _flushed(rows(batches), schema, 2_000)
+    return lambda batches: _flushed(rows(batches), schema, 250)
 
 
 def _counted(n: int, percent: int, again: int = 0) -> int:
@@ -99,12 +99,12 @@ def _counted(n: int, percent: int, again: int = 0) -> int:
 
 
 def _counts(arrays):
-    """Counted n-grams as (gram, how often) batches, summed over each million."""
+    """Counted n-grams as (gram, how often) batches, summed over some hundred thousand."""
     held, size = [], 0
     for s in arrays:
         held.append(s)
         size += len(s)
-        if size > 1_000_000:
+        if size > 250_000:
             yield _count_batch(held)
             held, size = [], 0
     if size:
@@ -165,7 +165,7 @@ def _postings(size: int, percent: int, frequent):
             cold = cold[:p]
             held.append((cold, i, n))
             rows += p
-            if rows > 200_000:
+            if rows > 50_000:
                 yield flush(held)
                 held, rows = [], 0
         if held:
@@ -203,7 +203,7 @@ def _fragments(size: int, percent: int, wanted):
                 for part, cut in enumerate(np.split(s, np.searchsorted(s, bounds))):
                     yield i, parts, part, cut.view(np.int64)
 
-    return lambda batches: _flushed(rows(batches), schema, 500)
+    return lambda batches: _flushed(rows(batches), schema, 250)
 
 
 def range_of_parts(n: int, percent: int) -> list[int]:

@@ -18,9 +18,9 @@ WHITE_SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: White space, ASCII punctuation and control characters; bytes of longer UTF-8 forms are word bytes.
 NOT_ALPHANUMERIC = bytes(b for b in range(128) if not chr(b).isalnum())
 #: Texts are handled in pieces of about so many bytes, to bound the working arrays.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 #: Words hashed at once.
-WORDS_AT_ONCE = 1 << 16
+WORDS_AT_ONCE = 1 << 15
 
 _random = np.random.default_rng(20240917)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)

@@ -101,7 +101,7 @@ def _count_terms(batches):
         for piece in pieces(batch, 0):
             row, bucket = term_buckets(words(piece.column(0), NOT_ALPHANUMERIC))
             held.append((bucket, piece.column(1).to_numpy()[row]))
-            if sum(len(x) for x, _ in held) > 3_000_000:
+            if sum(len(x) for x, _ in held) > 500_000:
                 yield flush()
                 held = []
     if held:
