@@ -18,6 +18,9 @@ Texts stay in place: one pass with Arrow batches, no shuffle of texts or passage
 sent to the executors in parts of at most ``PART_POSTINGS`` postings, one pass over the texts
 each, so its size on an executor has a bound whatever the number of items.
 
+Words of texts and items are compared without case, in every script: other than the operators
+that fold A-Z only by contract, texts with other letters are folded as whole strings first.
+
 Defined cases: null and empty texts match nothing; items with fewer than ``LEAST_WORDS`` words
 match nothing; an item without an answer is judged by its question; repeated rows give repeated
 results for each; empty tables give an empty table; rows with a null id keep it.
@@ -29,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +68,16 @@ class Index:
     answer: list
 
 
+def folded_words(column: pa.Array) -> Words:
+    """Words under full Unicode case folding; by way of upper case, so that ß and SS, ς and Σ or ı and I agree.
+    Texts of ASCII only need no more than the fold of the word hashes."""
+    other = pc.invert(pc.fill_null(pc.string_is_ascii(column), True)).to_numpy(zero_copy_only=False)
+    if other.any():
+        folded = [t.upper().casefold() for t in column.filter(pa.array(other)).to_pylist()]
+        column = pc.replace_with_mask(column, pa.array(other), pa.array(folded, column.type))
+    return words(column, NOT_ALPHANUMERIC)
+
+
 def _ptr(rows: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(rows, np.arange(n + 1))
 
@@ -71,8 +85,8 @@ def _ptr(rows: np.ndarray, n: int) -> np.ndarray:
 def build_index(ids: list, questions: list, answers: list, n_items: int, mean_words: float,
                 seen_terms: np.ndarray, seen_in: np.ndarray) -> Index:
     """Index some items; ``seen_in`` counts the items of the whole benchmark with each term."""
-    q = words(pa.array(questions, pa.string()), NOT_ALPHANUMERIC)
-    a = words(pa.array(answers, pa.string()), NOT_ALPHANUMERIC)
+    q = folded_words(pa.array(questions, pa.string()))
+    a = folded_words(pa.array(answers, pa.string()))
     order = np.argsort(seen_terms)
     seen_terms, seen_in = seen_terms[order], seen_in[order]
     kept, terms, rest, post = [], [], [], []
@@ -200,7 +214,7 @@ def _search(part, threshold: float, overlap: float):
         index = part.value
         for batch in batches:
             for piece in pieces(batch, 1):
-                found = matches(index, words(piece.column(1), NOT_ALPHANUMERIC), threshold, overlap)
+                found = matches(index, folded_words(piece.column(1)), threshold, overlap)
                 if found:
                     ids = piece.column(0).to_pylist()
                     rows = [(ids[r], index.items[k], *v) for (r, k), v in sorted(found.items())]
@@ -226,7 +240,7 @@ def split_item(text: Column) -> tuple[Column, Column]:
 
 def _terms_of(batches):
     for batch in batches:
-        found = words(batch.column(0), NOT_ALPHANUMERIC)
+        found = folded_words(batch.column(0))
         n = np.diff(found.row_ptr)
         row = np.repeat(np.arange(len(n)), n)
         pair = np.unique(np.stack([row.astype(np.uint64), found.hashes], 1), axis=0) if len(row) else np.zeros((0, 2), np.uint64)

@@ -149,6 +149,18 @@ def test_search_misses_nothing():
     assert all(abs(got[x] - expected[x]) < 1e-9 for x in expected)
 
 
+def test_items_in_other_case(spark):
+    items = ["Une étude élémentaire évoque l'œuvre ñandú. Écrite à l'école d'Évreux.",
+             "Straßen über Flüsse müssen größer öffnen. Grüße für Ärzte.",
+             "Το έργος της πόλης ήταν μεγάλο. Ο δρόμος έφυγε."]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f(f"Before it. {t} After it.") for f in (str.upper, str.lower, str) for t in items] + [None, "plain text of nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    question, answer = decontaminate.split_item(F.col("text"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, table, question=question, answer=answer).collect()}
+    assert got == {(3 * k + i, i) for k in range(3) for i in range(3)}
+
+
 # licenses
 
 @settings(max_examples=60, deadline=None)
