@@ -51,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     question, answer = split_item(F.col("text"))
-    found = contaminated(docs, _table(spark, sf_dir, "benchmark"), question=question, answer=answer)
+    found = contaminated(docs, _table(spark, sf_dir, "benchmark"), question=question, answer=answer, one_text=True)
     return _without(docs, stored(found.select("doc_id")))
 
 

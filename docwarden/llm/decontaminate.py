@@ -12,7 +12,9 @@ threshold are summed per item, and only items whose bound reaches it are scored
 that reaches the threshold is missed.
 
 A hit counts if the passage also holds enough of the item's question and of its answer, as shares
-of their word trigrams.
+of their word trigrams. Where an item is one text (``one_text``), its question and answer are only
+parts cut from it, and a hit counts by the share of the trigrams of both together: a change in a
+short last sentence, or a copy without it, costs no more than its words.
 
 Texts stay in place: one pass with Arrow batches, no shuffle of texts or passages. The index is
 sent to the executors in parts of at most ``PART_POSTINGS`` postings, one pass over the texts
@@ -191,7 +193,7 @@ def _share(wanted: tuple[int, np.ndarray], passage: np.ndarray) -> float:
     return float(np.isin(shingles, shingle_hashes(passage, size)).mean()) if size else 1.0
 
 
-def matches(index: Index, found: Words, threshold: float, overlap: float) -> dict:
+def matches(index: Index, found: Words, threshold: float, overlap: float, one_text: bool = False) -> dict:
     """Best (score, question share, answer share, first word) by (row, item)."""
     best: dict = {}
     for row, lo, hi, k in zip(*candidates(index, found, threshold), strict=True):
@@ -201,12 +203,13 @@ def matches(index: Index, found: Words, threshold: float, overlap: float) -> dic
         if score < threshold:
             continue
         question, answer = _share(index.question[k], passage), _share(index.answer[k], passage)
-        if question >= overlap and answer >= overlap:
+        n, m = len(index.question[k][1]), len(index.answer[k][1])
+        if n * question + m * answer >= overlap * (n + m) - 1e-9 if one_text else min(question, answer) >= overlap:
             best[row, k] = max(best.get((row, k), (0.0,)), (score, question, answer, int(lo - found.row_ptr[row])))
     return best
 
 
-def _search(part, threshold: float, overlap: float):
+def _search(part, threshold: float, overlap: float, one_text: bool):
     names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
 
@@ -214,7 +217,7 @@ def _search(part, threshold: float, overlap: float):
         index = part.value
         for batch in batches:
             for piece in pieces(batch, 1):
-                found = matches(index, folded_words(piece.column(1)), threshold, overlap)
+                found = matches(index, folded_words(piece.column(1)), threshold, overlap, one_text)
                 if found:
                     ids = piece.column(0).to_pylist()
                     rows = [(ids[r], index.items[k], *v) for (r, k), v in sorted(found.items())]
@@ -250,10 +253,12 @@ def _terms_of(batches):
 def contaminated(
     docs: DataFrame, items: DataFrame, *, question: Column, answer: Column, doc_id: str = "doc_id",
     text: str = "text", item_id: str = "item_id", threshold: float = 0.6, overlap: float = 0.7,
+    one_text: bool = False,
 ) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap, first_word`` of every hit.
 
-    ``question`` and ``answer`` are columns of ``items``.
+    ``question`` and ``answer`` are columns of ``items``; ``one_text`` says that they are parts of one
+    text, whose overlap is judged as a whole, and not a question with an answer of its own.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -278,7 +283,7 @@ def contaminated(
             [r.item_id for r in rows], [r.q for r in rows], [r.a for r in rows], n_items, length,
             known.column("term").to_numpy().view(np.uint64), known.column("df").to_numpy())
         hits = texts.mapInArrow(
-            _search(spark.sparkContext.broadcast(index), threshold, overlap),
+            _search(spark.sparkContext.broadcast(index), threshold, overlap, one_text),
             "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
         found = hits if found is None else found.unionByName(hits)
     return found

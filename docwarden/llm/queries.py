@@ -40,7 +40,7 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     question, answer = split_item(F.col("text"))
     return contaminated(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark"),
-        question=question, answer=answer)
+        question=question, answer=answer, one_text=True)
 
 
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:

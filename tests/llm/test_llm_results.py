@@ -161,6 +161,25 @@ def test_items_in_other_case(spark):
     assert got == {(3 * k + i, i) for k in range(3) for i in range(3)}
 
 
+def test_near_copies_of_items(spark, tmp_path):
+    rng = random.Random(8)
+    plain = [" ".join(f"w{rng.randint(0, 500)}" for _ in range(30)) + "." for _ in range(4)]
+    items = [f"{t} {end}" for t, end in zip(plain, ["Yes it is.", "42", "The very last words.", "One two three four five."])]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = []
+    for t, whole in zip(plain, items):
+        texts += [whole, t, re.sub(r"\w+\.?$", "changed.", whole), whole.replace(t.split()[9], "other"), " ".join(whole.split()[:15])]
+    docs = spark.createDataFrame([(i, f"Some text. {t} More text.") for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {(5 * i + k, i) for i in range(4) for k in range(4)}
+    got = QUERIES["op2_decontamination"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected
+    import corpus_pipeline
+
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {5 * i + 4 for i in range(4)}
+
+
 # licenses
 
 @settings(max_examples=60, deadline=None)
