@@ -39,7 +39,8 @@ from docwarden.llm.urls import host_of, path_of
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""",
     re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute, its value quoted or bare; read one after another, so no value is searched for names.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: Elements whose content is never text.
 SILENT = frozenset("script style head title template noscript svg math iframe object canvas select "
                    "textarea button audio video datalist".split())
@@ -54,6 +55,16 @@ FURNITURE_WORDS = frozenset(
     "search login complementary contentinfo".split())
 #: The same words for page heads, which an article may have of its own.
 HEAD_WORDS = frozenset({"header", "topbar"})
+#: Words that only say what kind of box a class or an id names: with one of the words above they
+#: still mean furniture ("share-buttons"), while other words make a name of its own ("social-impact").
+BOX_WORDS = frozenset(
+    "area articles bar block box button buttons container content form icons inner item items left links list "
+    "notice outer panel posts right section site slot stories thread top bottom unit widget wrapper".split())
+#: Classes that authors give to text of an article.
+TEXT_CLASSES = frozenset({"alert", "notice", "notices"})
+#: Elements whose id is judged inside an article; other ids there come from headings and names in the text.
+BOXES = frozenset({"div", "ul", "ol"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 MAIN = frozenset({"article", "main"})
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,20 +78,39 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 MAIN_ZONE, OPEN_ZONE, FURNITURE_ZONE = 0, 1, 2
 
 
-def _furniture(name: str, attributes: str, in_main: bool) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Lower-cased names and values of a tag's attributes; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return found
+
+
+def _names_box(token: str) -> bool:
+    """Whether all words of one class or id are for furniture, but for those of boxes and numbers."""
+    parts = {x for x in re.split(r"[^a-z0-9]+", token) if x and not x.isdigit()}
+    return bool(parts & FURNITURE_WORDS) and parts <= FURNITURE_WORDS | BOX_WORDS
+
+
+def _furniture(name: str, attributes: dict[str, str], in_main: bool) -> bool:
     if name in FURNITURE or (name == "header" and not in_main):
         return True
     if not attributes or name in ("html", "body", *MAIN):
         return False
-    for m in ATTRIBUTE.finditer(attributes):
-        key = m[1].lower()
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        found = set(re.split(r"[^a-z0-9]+", value))
-        if found & FURNITURE_WORDS or (not in_main and found & HEAD_WORDS):
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return True
+    classes, own_id = attributes.get("class", "").split(), attributes.get("id", "")
+    roles = set(attributes.get("role", "").split())
+    if roles & FURNITURE_WORDS or (not in_main and roles & HEAD_WORDS):
+        return True
+    if in_main:
+        if any(c not in TEXT_CLASSES and _names_box(c) for c in classes):
             return True
-    return False
+        return name in BOXES and not {"section", "chapter"} & set(classes) and _names_box(own_id)
+    if name in HEADINGS or name == "section":
+        own_id = own_id if name == "section" and _names_box(own_id) else ""
+    found = set(re.split(r"[^a-z0-9]+", " ".join([*classes, own_id])))
+    return bool(found & FURNITURE_WORDS or found & HEAD_WORDS)
 
 
 def page_lines(page: str) -> list[tuple[int, str]]:
@@ -118,7 +148,8 @@ def page_lines(page: str) -> list[tuple[int, str]]:
                 elif name != "head":
                     at = len(page)
             continue
-        if name in INLINE and not (m[3] and not m[1] and _furniture(name, m[3], zone == MAIN_ZONE)):
+        attributes = _attributes(m[3]) if m[3] and not m[1] else {}
+        if name in INLINE and not (attributes and _furniture(name, attributes, zone == MAIN_ZONE)):
             if name == "br":
                 held.append("\n")
             if not (m[1] and stack and any(n == name for n, _ in stack[-8:])):
@@ -138,9 +169,9 @@ def page_lines(page: str) -> list[tuple[int, str]]:
             zone = stack.pop()[1]
         stack.append((name, zone))
         if zone != FURNITURE_ZONE:
-            if _furniture(name, m[3], zone == MAIN_ZONE):
+            if _furniture(name, attributes, zone == MAIN_ZONE):
                 zone = FURNITURE_ZONE
-            elif name in MAIN or re.search(r"""role\s*=\s*["']?main""", m[3] or "", re.I):
+            elif name in MAIN or "main" in attributes.get("role", "").split():
                 zone = MAIN_ZONE
     end_line()
     return lines

@@ -378,6 +378,18 @@ def test_zones():
     assert kept == ["Head & more", "First bold line next", "Second", "one", "two"]
 
 
+def test_attribute_values_are_not_attributes():
+    page = """<article><p style="overflow:hidden">Styled</p><p>A <a href="/hidden-lake">lake</a> and
+      <a href="/p?id=search">a page</a>, <img alt="hidden">seen</p><div data-id="ad">Data</div><div title='role="main" class=ad'>Quoted</div>
+      <section id="related-work"><h2 id="search-algorithms">Search</h2><p class="social-impact">Impact</p></section>
+      <h2 id="comments">Comments</h2><div class="section" id="search">Part</div><p class="alert">Mind this</p>
+      <div class="share-buttons">Share</div><div class="x ad">Advert</div><div id="comments">Nice!</div><p class=promo-box>Buy</p>
+      <p hidden>Not seen</p><div class='related-posts'>More</div></article><div data-role="main" alt="role=main">Open</div>"""
+    kept = [t for z, t in html_text.page_lines(page) if z == html_text.MAIN_ZONE]
+    assert kept == ["Styled", "A lake and a page, seen", "Data", "Quoted", "Search", "Impact", "Comments", "Part", "Mind this"]
+    assert ("Open" in [t for z, t in html_text.page_lines(page) if z == html_text.OPEN_ZONE])
+
+
 def test_differencing_without_article(spark):
     def page(i, *own):
         lines = ["Shop menu", "Weather now", *own, "All rights"]
