@@ -3,15 +3,16 @@
 A page is read as lines, one per block of text. Zones come from its markup: lines inside an
 article or main element, lines inside elements for menus, headers, footers, sidebars, adverts,
 notices, forms and comments, and open lines. Pages are paired by URL: with the first and the last
-page, in path order, of the deepest directory of their host that has another page. The lines of
-a page outside its article are aligned with those of its partners by longest common
-subsequence, and lines that both have in the same order are deleted.
+page, in path order, of the deepest directory above them that has another page, looked for in
+each parent directory in turn up to the whole host. The lines of a page outside its article are
+aligned with those of its partners by longest common subsequence, and lines that both have in the
+same order are deleted.
 
 Differencing alone cannot give whole texts: paragraphs that two articles share would go, and
 menus that differ between pages, or stand on a host's only page, would stay. So lines inside an
 article element are never deleted for being shared, and lines that markup names as page furniture
-are deleted whether shared or not. On a page without an article element, differencing decides
-about every open line.
+are deleted whether shared or not. Differencing decides about every open line, on pages with an
+article element too: their text may stand outside of it.
 
 Partners are one row per directory, with line hashes instead of lines; minima and maxima are
 grouped with map-side combining, so a host with very many pages is no hot group. Texts are not
@@ -238,15 +239,13 @@ def _texts(kept: int):
             out = []
             for row, page in enumerate(batch.column(kept).to_pylist()):
                 lines = page_lines(page or "")
-                has_main = any(z == MAIN_ZONE for z, _ in lines)
                 own = [i for i, (z, _) in enumerate(lines) if z != MAIN_ZONE]
                 deleted = set()
                 hashes = _line_hashes([lines[i][1] for i in own]).tolist()
                 for partner in partners:
                     if partner[row]:
                         deleted |= {own[k] for k in common_lines(hashes, partner[row])}
-                last = MAIN_ZONE if has_main else OPEN_ZONE
-                out.append("\n".join(t for i, (z, t) in enumerate(lines) if z <= last and i not in deleted))
+                out.append("\n".join(t for i, (z, t) in enumerate(lines) if z <= OPEN_ZONE and i not in deleted))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:kept], pa.array(out, pa.string())],
                 [*batch.schema.names[:kept], "text"])
@@ -258,6 +257,14 @@ def directory_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*/)", 1)
 
 
+def directories_above(directory: Column) -> Column:
+    """A directory and its parents, the host ('') first."""
+    parts = F.split(directory, "/")
+    return F.concat(F.array(F.lit("")), F.when(F.size(parts) > 1, F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")),
+    )).otherwise(F.array().cast("array<string>")))
+
+
 def main_texts(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``."""
     bounded_batches(pages.sparkSession)
@@ -272,16 +279,19 @@ def main_texts(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     ends = [f(order).alias(f"{n}_key") for n, f in (("first", F.min), ("last", F.max))]
     ends += [f("lines", order).alias(f"{n}_lines") for n, f in (("first", F.min_by), ("last", F.max_by))]
     by_directory = stored(outside.groupBy("host", "directory").agg(*ends))
-    several = by_directory.where("first_key <> last_key").select(
-        F.col("host").alias("h"), F.col("directory").alias("d"), "first_key", "last_key", "first_lines", "last_lines")
-    by_host = by_directory.groupBy(F.col("host").alias("h2")).agg(
-        F.min("first_key").alias("first_key2"), F.max("last_key").alias("last_key2"),
-        F.min_by("first_lines", "first_key").alias("first_lines2"), F.max_by("last_lines", "last_key").alias("last_lines2"))
-    partners = stored(by_directory.select("host", "directory").join(
-        several, (F.col("host") == F.col("h")) & (F.col("directory") == F.col("d")), "left").join(
-        by_host, F.col("host") == F.col("h2"), "left").select(
+    above = by_directory.select(
+        "host", "directory", F.posexplode(directories_above(F.col("directory"))).alias("depth", "above"),
+        *[f"{n}_{c}" for c in ("key", "lines") for n in ("first", "last")])
+    several = stored(above.groupBy(F.col("host").alias("h"), F.col("above").alias("d")).agg(
+        F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"),
+        F.min_by("first_lines", "first_key").alias("first_lines"), F.max_by("last_lines", "last_key").alias("last_lines"),
+    ).where("first_key <> last_key"))
+    deepest = above.select("host", "directory", "depth", "above").join(
+        several.select("h", "d"), (F.col("host") == F.col("h")) & (F.col("above") == F.col("d"))).groupBy(
+        "host", "directory").agg(F.max_by("above", "depth").alias("above"))
+    partners = stored(deepest.join(several, (F.col("host") == F.col("h")) & (F.col("above") == F.col("d"))).select(
         F.col("host").alias("p_host"), F.col("directory").alias("p_directory"),
-        *[F.coalesce(c, f"{c}2").alias(c) for c in ("first_key", "last_key", "first_lines", "last_lines")]))
+        "first_key", "last_key", "first_lines", "last_lines"))
     joined = placed.join(
         partners, (F.col("host") == F.col("p_host")) & (F.col("directory") == F.col("p_directory")), "left")
     others = [F.when(F.col(f"{n}_key") != order, F.col(f"{n}_lines")).alias(f"{n}_lines") for n in ("first", "last")]

@@ -347,6 +347,19 @@ def test_propagation_follows_links(spark):
             assert got[h].verdict == ("block" if suspect else "allow")
 
 
+def test_verdict_does_not_depend_on_other_linkers(spark, tmp_path):
+    link = lambda t: f'<a href="https://{t}/p">x</a>'
+    rows = [("bad.net", "")]
+    rows += [(f"farm{i}.info", link("bad.net")) for i in range(60)]
+    rows += [("half.info", link("bad.net") + link("plain1.info") + link("plain2.info"))]
+    rows += [("wide.info", link("bad.net") + "".join(link(f"to{i}.info") for i in range(200)))]
+    rows += [("lone.info", link("alone.net") + "".join(link(f"to{i}.info") for i in range(999))), ("alone.net", "")]
+    pages = spark.createDataFrame([(i, f"https://{h}/x/{i}", t) for i, (h, t) in enumerate(rows)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.host: r.verdict for r in QUERIES["op8_url_filter"](spark, str(tmp_path)).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"bad.net", "alone.net"} | {f"farm{i}.info" for i in range(60)}
+
+
 def test_rules_on_pages(spark, sf):
     rows = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op8_url_filter"](spark, sf).collect():
@@ -401,6 +414,19 @@ def test_differencing_without_article(spark):
     assert got == {1: "Alpha text\nMore alpha", 2: "Beta text", 3: "Gamma text", 4: "Alone"}
 
 
+def test_differencing_beside_an_article(spark):
+    def page(i, path, card, *own):
+        lines = ["Shop menu", *own, "All rights"]
+        return i, f"https://h.org{path}", f"<body><article>{card}</article>" + "".join(f"<div>{x}</div>" for x in lines)
+
+    rows = [page(1, "/a/x/1", "Card", "Alpha text", "Local"), page(2, "/a/y/2", "Card", "Beta text", "Local"),
+            page(3, "/b/3", "Card", "Gamma text"), page(4, "/c/4", "Card", "Delta text"), (5, "https://one.org/p", "<main>In</main><p>Out")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    # "Local" is shared in /a/ only, which neither the own directory nor the ends of the host tell
+    assert got == {1: "Card\nAlpha text", 2: "Card\nBeta text", 3: "Card\nGamma text", 4: "Card\nDelta text", 5: "In\nOut"}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_common_lines_are_longest(a, b):
