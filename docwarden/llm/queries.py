@@ -72,7 +72,7 @@ RULES = [
 
 
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return judged(_table(spark, folder, "pages"), RULES)
+    return judged(_table(spark, folder, "pages"), RULES, by_own_links=True)
 
 
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,11 @@ the trusted seeds along links; distrust is that of the blocked seeds along rever
 whoever links to blocked hosts is suspect. A host is blocked if its distrust exceeds its trust
 by ``margin`` of what a pure seed holds without any link.
 
+Personalised PageRank divides a blocked host's distrust among all hosts that link to it, so the
+more there are, the less each gets. With ``by_own_links`` a linker's distrust is instead the mean
+over its own links of what they lead to: whoever links to blocked hosts only is blocked, however
+many others do so, and one such link among a thousand counts a thousandth.
+
 Host edges are grouped from the pages' absolute links before they are joined; a round joins one
 row per host with the edges and sums by host, so a host with very many pages or links is combined
 before each shuffle. Rounds stop when scores move by less than ``tolerance`` in sum.
@@ -63,11 +68,16 @@ def host_edges(pages: DataFrame, *, url: str, html: str) -> DataFrame:
 
 
 def propagate(
-    seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6
+    seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6,
+    shared_by: str = "src",
 ) -> DataFrame:
-    """``host, score``: personalised PageRank of ``seeds`` (host, seed) along ``edges`` (src, dst, links)."""
-    out = edges.groupBy("src").agg(F.sum("links").alias("all_links"))
-    weighted = stored(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("all_links")).alias("w")))
+    """``host, score``: personalised PageRank of ``seeds`` (host, seed) along ``edges`` (src, dst, links).
+
+    Scores go from ``src`` to ``dst`` by the share of a link among those of ``src``, or among those
+    of the column ``shared_by`` names.
+    """
+    out = edges.groupBy(shared_by).agg(F.sum("links").alias("all_links"))
+    weighted = stored(edges.join(out, shared_by).select("src", "dst", (F.col("links") / F.col("all_links")).alias("w")))
     start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("start"))
     scores = stored(start.select("host", F.col("start").alias("score")))
     if weighted.isEmpty():
@@ -88,7 +98,7 @@ def propagate(
 
 def judged(
     pages: DataFrame, rules: list[Rule], *, page_id: str = "page_id", url: str = "url", html: str = "html",
-    damping: float = 0.85, margin: float = 0.5,
+    damping: float = 0.85, margin: float = 0.5, by_own_links: bool = False,
 ) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every row of ``pages``."""
     u = F.col(f"`{url}`")
@@ -99,7 +109,8 @@ def judged(
     edges = stored(host_edges(pages, url=url, html=html))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     trust = propagate(hosts.select("host", F.col("allowed").alias("seed")), edges, damping=damping)
-    distrust = propagate(hosts.select("host", F.col("blocked").alias("seed")), back, damping=damping)
+    distrust = propagate(hosts.select("host", F.col("blocked").alias("seed")), back, damping=damping,
+                         shared_by="dst" if by_own_links else "src")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     scores = stored(
         hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left")
