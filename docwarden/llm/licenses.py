@@ -5,7 +5,8 @@ enough of a template's words, counted over the whole text at once, is aligned wi
 words that occur once in both are anchors, the longest increasing run of anchors is kept, and the
 gaps between anchors are aligned in the same way, gaps without anchors by their equal ends.
 Coverage is the share of the template's words that are matched; a stretch counts from
-``coverage`` on. Where templates overlap in a text, the one with most matched words stays.
+``coverage`` on, if the words that tell the license (its name, NC, SA, ND, its version) are all matched
+and no word of another variant stands between them. Where templates overlap in a text, the one with most matched words stays.
 
 Texts stay in place: one pass with Arrow batches, no shuffle. The templates are a parameter of
 bounded size.
@@ -17,6 +18,7 @@ theirs; an empty table gives an empty table; rows with a null id keep it.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
 import numpy as np
@@ -74,7 +76,61 @@ NOTICES: tuple[tuple[str, str], ...] = (
      "copy of the MPL was not distributed with this file, You can obtain one at "
      "http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
+     "permitted provided that the following conditions are met: 1. Redistributions of source code must "
+     "retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+     "and the following disclaimer in the documentation and/or other materials provided with the "
+     "distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be "
+     "used to endorse or promote products derived from this software without specific prior written "
+     "permission."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 "
+     "International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons "
+     "Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons "
+     "Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the "
+     "terms of the GNU Affero General Public License as published by the Free Software Foundation, either "
+     "version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the "
+     "terms of the GNU General Public License as published by the Free Software Foundation; either "
+     "version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the "
+     "terms of the GNU Lesser General Public License as published by the Free Software Foundation; either "
+     "version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the "
+     "terms of the GNU Lesser General Public License as published by the Free Software Foundation, either "
+     "version 3 of the License, or (at your option) any later version."),
+    # heads of whole license texts
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND "
+     "CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software "
+     "Foundation, Inc."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software "
+     "Foundation, Inc."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free "
+     "Software Foundation, Inc."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free "
+     "Software Foundation, Inc."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software "
+     "Foundation, Inc."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual "
+     "or legal entity that creates, contributes to the creation of, or owns Covered Software."),
 )
+#: Words that make a license another one where a notice has them and a template has not.
+VARIANTS = frozenset("affero lesser library nc nd sa noncommercial noderivatives noderivs sharealike".split())
+#: Words of a template that must be matched, whatever its coverage.
+TELLING = VARIANTS | frozenset("apache bsd by cc commons eclipse endorse gnu isc later mit mozilla promote".split())
+#: Templates that name a version by a digit have one of these words.
+VERSIONED = frozenset("bsd cc creative v version".split())
 #: Words of a text looked at for each word of a template.
 STRETCH = 1.5
 
@@ -134,6 +190,18 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
+def _telling(template: str) -> set[str]:
+    """Words of a template that tell its license from others."""
+    own = set(re.findall("[a-z0-9]+", template.lower()))
+    versions = {w for w in own if w in "123456789"} if own & VERSIONED else set()
+    # list numbers of a text whose head names the version once
+    return own & TELLING | (versions if len(versions) == 1 or "definitions" not in own else {"2"})
+
+
+def _hashes(some) -> set[int]:
+    return set(words(pa.array(sorted(some), pa.string()), NOT_ALPHANUMERIC).hashes.tolist())
+
+
 class Templates:
     """Word hashes of the notices and which notices hold a word."""
 
@@ -145,6 +213,8 @@ class Templates:
             if len(found.of(k)):
                 self.names.append(name)
                 self.words.append(found.of(k).tolist())
+        self.telling = [_hashes(_telling(t)) for k, (_, t) in enumerate(notices) if len(found.of(k))]
+        self.variants = _hashes(VARIANTS)
         every = [np.unique(np.array(w, np.uint64)) for w in self.words]
         self.vocab = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         self.holds = np.stack([np.isin(self.vocab, w) for w in every]) if every else np.zeros((0, 0), bool)
@@ -181,10 +251,20 @@ class Templates:
                 around = align(found.hashes[lo:hi].tolist(), template)
                 if len(around) > len(pairs):
                     p, pairs = lo, around
+                if not self._tells(k, found.hashes[p:].__getitem__, pairs):
+                    continue
                 first, done = p + pairs[0][0], p + pairs[-1][0]
                 out.append((r, k, first, done, len(pairs)))
         return self._apart(out, found)
 
+    def _tells(self, k: int, word, pairs) -> bool:
+        """Whether all telling words of a template are matched and no word of a variant stands between."""
+        template = self.words[k]
+        if not self.telling[k] <= {template[j] for _, j in pairs}:
+            return False
+        span = {int(word(i)) for i in range(pairs[0][0], pairs[-1][0])}
+        return not (span & self.variants) - set(template)
+
     def _apart(self, spans, found: Words):
         kept: dict[int, list] = {}
         for s in sorted(spans, key=lambda s: (s[0], -s[4], -s[4] / len(self.words[s[1]]), s[2], s[1])):

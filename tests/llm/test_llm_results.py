@@ -204,6 +204,30 @@ def test_notices_in_texts(spark):
     assert got == {(0, "MIT"): 1, (1, "MIT"): 1, (2, "MIT"): 2, (4, "CC-BY-NC-4.0"): 1, (5, "GPL-3.0"): 1}
 
 
+def test_variants_are_told_apart():
+    bsd = max((t for n, t in licenses.NOTICES if n == "BSD-2-Clause"), key=len)
+    third = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+             "promote products derived from this software without specific prior written permission.")
+    cases = {
+        f"{bsd} {third}": ["BSD-3-Clause"], bsd: ["BSD-2-Clause"], "Licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0"],
+        "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"], "Licensed under CC BY 4.0": ["CC-BY-4.0"], "Licensed under CC BY 3.0": [],
+        "Licensed under the Eclipse Public License, Version 2.0": ["EPL-2.0"],
+        "Licensed under the Other Public License, Version 2.0": [], "Licensed under the Apache License, Version 2": ["Apache-2.0"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        "This work is licensed under the GNU Library General Public License, version 2.": [],
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.": ["GPL-3.0"],
+    }
+    templates = licenses.Templates(licenses.NOTICES, 0.8)
+    found = tokens.words(pa.array(list(cases)), tokens.NOT_ALPHANUMERIC)
+    got = [[] for _ in cases]
+    for row, k, *_ in templates.found_in(found):
+        got[row].append(templates.names[k])
+    assert got == list(cases.values())
+    for name, text in licenses.NOTICES:
+        found = tokens.words(pa.array([text]), tokens.NOT_ALPHANUMERIC)
+        assert [templates.names[s[1]] for s in templates.found_in(found)] == [name]
+
+
 # nearest neighbours
 
 def test_nearest_recall_and_scores(spark, sf):
