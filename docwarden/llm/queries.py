@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docwarden.llm.conversations import damaged, repair_report
 from docwarden.llm.decontaminate import contaminated, split_item
 from docwarden.llm.html_text import main_texts
 from docwarden.llm.jaccard_join import jaccard_classes
+from docwarden.llm.lattice import near_vectors
 from docwarden.llm.licenses import license_spans
 from docwarden.llm.line_dedup import dedup_report
+from docwarden.llm.manifest import every_fifth, manifest
 from docwarden.llm.mixing import mix
 from docwarden.llm.oracle import ORACLE
 from docwarden.llm.rabitq import nearest
@@ -84,6 +87,19 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    return repair_report(damaged(rows), rows.select("conv_id"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(_table(spark, folder, "documents"), tampered=every_fifth())
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
 
