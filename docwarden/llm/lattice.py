@@ -6,10 +6,10 @@ and probes the neighbouring cells nearest to its projection (of the 240 at the l
 vectors meet if one's cell is the other's cell or one of its probes.
 
 * Equal vectors are one class with a weight, so copies are never paired.
-* First only cell hashes, ids and 64 sign bits travel. Cells with one vector go; in the others,
-  vectors that have no partner within ``SIGN_BITS_APART`` bits go, which spares fetching vectors for
-  chance meetings (at cosine 0.9 a pair is lost with a probability of about 1 in 10,000).
-* Vectors of the cells that stay are fetched and compared in blocks, in double precision. A block
+* First only cell hashes, ids and 128 sign bits travel. Entries that have no partner in their cell
+  within ``SIGN_BITS_APART`` bits go, which spares fetching vectors for chance meetings (at cosine
+  0.9 a pair is lost with a probability of about 1 in 10,000).
+* Vectors of the entries that stay are fetched and compared in blocks, in double precision. A block
   returns, for each vector, its number of links and the smallest vector it is connected with, never
   pairs. A pair that meets several times counts in the first table where it does, which both
   vectors' cells and probes tell.
@@ -38,8 +38,9 @@ from docwarden.llm.storage import bounded_batches, stored
 #: Tables, probes per table, and spread of a unit vector's projection. A pair at cosine 0.9 meets
 #: in one table with probability 0.67.
 TABLES, PROBES, SCALE = 5, 8, 0.7
-#: Differing sign bits of 64 up to which two vectors are compared; 9.2 are expected at cosine 0.9.
-SIGN_BITS_APART = 20
+#: Differing sign bits of 128 up to which two vectors are compared; 18.4 are expected at cosine 0.9,
+#: with a deviation of 4, and 64 at a right angle.
+SIGN_BITS_APART = 34
 #: Rows of a cell that meet in one task.
 BLOCK = 2048
 #: Pairs compared at once inside a task.
@@ -82,7 +83,7 @@ class Tables:
     def __init__(self, dim: int, tables: int, probes: int, scale: float, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.projection = rng.normal(size=(dim, 8 * tables)) * scale
-        self.signs = rng.normal(size=(dim, 64))
+        self.signs = rng.normal(size=(dim, 128))
         self.factors = rng.integers(1, 2**63, 9, dtype=np.uint64) | np.uint64(1)
         self.tables, self.probes, self.neighbours = tables, probes, shortest_vectors()
 
@@ -96,7 +97,7 @@ class Tables:
         return mix(total).view(np.int64)
 
     def coded(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cells (n x tables), probes (n x tables x probes) and sign bits (n) of unit vectors."""
+        """Cells (n x tables), probes (n x tables x probes) and sign bits (n x 2) of unit vectors."""
         y = unit @ self.projection
         cells = np.empty((len(unit), self.tables), np.int64)
         probed = np.empty((len(unit), self.tables, self.probes), np.int64)
@@ -107,7 +108,7 @@ class Tables:
             if self.probes:
                 near = np.argpartition(-((z - point) @ self.neighbours.T), self.probes - 1, axis=1)[:, : self.probes]
                 probed[:, t] = self._hash(t, point[:, None] + self.neighbours[near])
-        bits = np.packbits(unit @ self.signs > 0, axis=1).view(np.int64)[:, 0]
+        bits = np.packbits(unit @ self.signs > 0, axis=1).view(np.int64)
         return cells, probed, bits
 
 
@@ -130,8 +131,8 @@ def _coded(dim: int, make: tuple):
                 x = x / np.abs(x).max(1, keepdims=True)
                 cells, probed, bits = tables.coded(x / np.linalg.norm(x, axis=1, keepdims=True))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, _lists(cells), _lists(probed), pa.array(bits)],
-                    [*batch.schema.names, "cells", "probed", "bits"])
+                    [*batch.columns, _lists(cells), _lists(probed), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
+                    [*batch.schema.names, "cells", "probed", "bits", "more"])
 
     return run
 
@@ -163,10 +164,13 @@ def _likely(apart: int):
     def run(batches):
         for block in runs(batches, "cell", "i", "j"):
             (left, right), same = _sides(block)
-            bits, own = block.column("bits").to_numpy().view(np.uint64), block.column("own").to_numpy()
+            bits, more = (block.column(c).to_numpy().view(np.uint64) for c in ("bits", "more"))
+            own = block.column("own").to_numpy()
             found = np.zeros(len(bits), bool)
             for rows, columns in _near_pairs(left, right, same):
-                near = np.bitwise_count(bits[rows][:, None] ^ bits[columns][None, :]) <= apart
+                off = np.bitwise_count(bits[rows][:, None] ^ bits[columns][None, :])
+                off += np.bitwise_count(more[rows][:, None] ^ more[columns][None, :])
+                near = off <= apart
                 near &= (own[rows][:, None] | own[columns][None, :]) & (rows[:, None] != columns[None, :])
                 found[rows] |= near.any(1)
                 found[columns] |= near.any(0)
@@ -244,12 +248,13 @@ def first_met(cells, probed, ids, own, cell, p: np.ndarray, q: np.ndarray) -> np
 
 
 def _meetings(rows: DataFrame, block: int) -> DataFrame:
-    """Rows (cell, id, own, ...) of cells where somebody can meet an owner, dealt to pairs of blocks
-    (``i``, ``j``, the row's own being ``part``) and sorted by them."""
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("rows"), F.count_if("own").alias("owners")).where(
-        "rows > 1 AND owners > 0").select("cell", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = rows.join(sizes, "cell").withColumn("part", part)
+    """Rows (cell, id, own, ...), large cells dealt to pairs of blocks (``i``, ``j``, the row's own
+    being ``part``), sorted by them."""
+    large = rows.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > block).select(
+        "cell", F.ceil(F.col("rows") / block).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(large, "cell", "left").withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"i": F.least("part", "with"), "j": F.greatest("part", "with")}).drop("parts", "with")
     return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
@@ -281,13 +286,13 @@ def near_vectors(
         F.monotonically_increasing_id().alias("class"), "id", "weight", "vec"))
     coded = stored(named.select(F.col("class").alias("id"), "weight", "vec").mapInArrow(
         _coded(dim, (tables, probes, scale)),
-        "id long, weight long, vec array<double>, cells array<long>, probed array<long>, bits long"))
-    entries = coded.select("id", "bits", F.explode(F.concat(
+        "id long, weight long, vec array<double>, cells array<long>, probed array<long>, bits long, more long"))
+    entries = coded.select("id", "bits", "more", F.explode(F.concat(
         F.transform("cells", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("own"))),
         F.transform("probed", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("own"))))).alias("e"))
-    entries = stored(entries.select("e.cell", "e.own", "id", "bits"))
+    entries = stored(entries.select("e.cell", "e.own", "id", "bits", "more"))
     likely = stored(_meetings(entries, block).mapInArrow(_likely(SIGN_BITS_APART), "cell long, id long, own boolean").distinct())
-    met = stored(_meetings(likely.join(coded.drop("bits"), "id"), block).mapInArrow(
+    met = stored(_meetings(likely.join(coded.drop("bits", "more"), "id"), block).mapInArrow(
         _linked(dim, tables, least), "id long, links long, other long"))
     numbers = met.groupBy("id").agg(F.sum("links").alias("links"))
     # from classes to vectors: components of classes, each named by its smallest vector id
