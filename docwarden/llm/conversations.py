@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docwarden.llm.ranks import ranked, runs
+from docwarden.llm.ranks import ranked
 from docwarden.llm.storage import bounded_batches, stored
 
 SEGMENT = 512
@@ -141,24 +141,38 @@ def _solved(costs: Costs, segment: int):
     types = [pa.string(), pa.int64(), repair, *[pa.int64()] * 7, pa.string(), pa.string()]
     schema = pa.schema(list(zip(names, types)))
 
+    def solved(tree: str, seg: int, n: int, turns: list[tuple[str, int]], numbers: list[int | None]) -> dict:
+        number = [t for t in numbers if t is not None]
+        initials = "".join(i for i, _ in turns)
+        if n <= segment:
+            cost, audit = search(turns, costs=costs)
+            repairs = [{"start": 0, "end": 0, "cost": cost, "audit": audit}]
+        else:
+            found = ((s, e, search(turns, s, (e,), costs)) for s in range(4) for e in range(4))
+            repairs = [{"start": s, "end": e, "cost": f[0], "audit": f[1]} for s, e, f in found if f]
+        faults = [sum(f == k for _, f in turns) for k in (1, 2, 3)]
+        illegal = sum(initials[i: i + 2] not in LEGAL for i in range(len(initials) - 1))
+        # by number, so equal ones are neighbours
+        distinct = sum(i == 0 or number[i] != number[i - 1] for i in range(len(number)))
+        ends = (number[0], number[-1]) if number else (None, None)
+        return dict(zip(names, [tree, seg, repairs, *faults, illegal, distinct, *ends, initials[0], initials[-1]]))
+
     def run(batches):
-        for rows in runs(batches, "tree", "seg"):
-            turns = list(zip(rows.column("initial").to_pylist(), rows.column("fault").to_pylist()))
-            number = [t for t in rows.column("turn").to_pylist() if t is not None]
-            initials = "".join(i for i, _ in turns)
-            if rows.column("n")[0].as_py() <= segment:
-                cost, audit = search(turns, costs=costs)
-                repairs = [{"start": 0, "end": 0, "cost": cost, "audit": audit}]
-            else:
-                found = ((s, e, search(turns, s, (e,), costs)) for s in range(4) for e in range(4))
-                repairs = [{"start": s, "end": e, "cost": f[0], "audit": f[1]} for s, e, f in found if f]
-            faults = [sum(f == k for _, f in turns) for k in (1, 2, 3)]
-            illegal = sum(initials[i: i + 2] not in LEGAL for i in range(len(initials) - 1))
-            # by number, so equal ones are neighbours
-            distinct = sum(i == 0 or number[i] != number[i - 1] for i in range(len(number)))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, [
-                rows.column("tree")[0].as_py(), rows.column("seg")[0].as_py(), repairs, *faults, illegal, distinct,
-                number[0] if number else None, number[-1] if number else None, initials[0], initials[-1]]))], schema)
+        head, turns, numbers = None, [], []
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("tree", "seg", "n", "initial", "fault", "turn"))
+            for tree, seg, n, initial, fault, number in zip(*columns):
+                if head != (tree, seg, n):
+                    if head:
+                        out.append(solved(*head, turns, numbers))
+                    head, turns, numbers = (tree, seg, n), [], []
+                turns.append((initial, fault))
+                numbers.append(number)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if head:
+            yield pa.RecordBatch.from_pylist([solved(*head, turns, numbers)], schema)
 
     return run, ("tree string, seg long, repairs array<struct<start:int,end:int,cost:long,audit:string>>, blank long, "
                  "duplicate long, truncated long, illegal long, turns long, low long, high long, first string, last string")
@@ -255,15 +269,17 @@ def _repaired(batches):
             put(edits.inserted())
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["kind"] == 0:
+        segments = batch.column("segment")
+        columns = (batch.column(c).to_pylist() for c in ("tree", "kind", "role", "text"))
+        for at, (name, kind, role, text) in enumerate(zip(*columns)):
+            if kind == 0:
                 end()
-                tree, summary, edits, place = row["tree"], _Summary(), None, 0
-            elif row["kind"] == 1:
-                summary.add(row["segment"])
+                tree, summary, edits, place = name, _Summary(), None, 0
+            elif kind == 1:
+                summary.add(segments[at].as_py())
             else:
                 edits = edits or begun()
-                put(edits.turn(row["role"], row["text"]))
+                put(edits.turn(role, text))
             if len(out) >= TURNS_AT_ONCE:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
@@ -316,7 +332,9 @@ def repair(
     judged = facts.join(first, ["tree", "digest"], "left").select(
         "tree", F.floor(F.col("idx") / segment).alias("seg"), "idx", "n", "turn", "initial", fault.alias("fault"))
     solve, schema = _solved(costs, segment)
-    segments = stored(judged.repartition("tree", "seg").sortWithinPartitions("tree", "seg", "idx").mapInArrow(solve, schema))
+    # few bytes, much work: partitions of the session's number, not of an advisory size
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segments = stored(judged.repartition(partitions, "tree", "seg").sortWithinPartitions("tree", "seg", "idx").mapInArrow(solve, schema))
     heads = conversations.select(_tree(F.col("conv_id")).alias("tree")).distinct().withColumn("kind", F.lit(0))
     found = segments.select(
         "tree", F.lit(1).alias("kind"), F.col("seg").alias("idx"),
@@ -334,13 +352,14 @@ def _reported(batches):
     row, running = None, None
     for batch in batches:
         out = []
-        for x in batch.to_pylist():
-            if x["place"] < 0:
+        columns = (batch.column(c).to_pylist() for c in ("place", "role", "text"))
+        for at, (place, role, text) in enumerate(zip(*columns)):
+            if place < 0:
                 if row:
                     out.append(row | {"repaired_sha256": running.hexdigest()})
-                row, running = {c: x[c] for c in names[:-1]}, hashlib.sha256()
+                row, running = {c: batch.column(c)[at].as_py() for c in names[:-1]}, hashlib.sha256()
             else:
-                running.update(f"{chr(10) if x['place'] else ''}{x['role']}:{x['text']}".encode())
+                running.update(f"{chr(10) if place else ''}{role}:{text}".encode())
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
     if row:
