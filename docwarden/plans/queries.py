@@ -27,7 +27,7 @@ from docwarden.sources import pages as page_source
 from docwarden.sources import sinks
 from docwarden.sources.csv_text import flatten_csv, infer_delimiter
 from docwarden.sources.tables import read_table
-from docwarden.streaming import jobs
+from docwarden.streaming import jobs, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1202,7 +1202,7 @@ def stream_persist(spark, d):
     jobs.stream_persist(
         analyses, f"{folder}/rows", f"{folder}/state", "30 days", available_now=True
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select("analysis_id")
+    return keyed.read_keyed(spark, f"{folder}/rows").select("analysis_id")
 
 
 @query

@@ -7,8 +7,6 @@ bounded by the watermark.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,6 +15,7 @@ from docwarden.functions.masking import redacted
 from docwarden.operators.detect import scan
 from docwarden.operators.monitoring import is_fallback
 from docwarden.operators.risk import assess
+from docwarden.streaming.keyed import append_new
 
 
 def read_stream(
@@ -30,50 +29,14 @@ def stream_scan(docs: DataFrame) -> DataFrame:
     return redacted(assess(scan(docs))).drop("text")
 
 
-#: Key-hash partitions of a table that is appended to once per key.
-KEY_PARTS = 64
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
-def append_new(
-    batch: DataFrame, target: str, batch_id: int = 0, run: str = "", key: str = "analysis_id",
-    order: str = "created_at",
-) -> None:
-    """Append rows whose key is not in the target yet, the first row per key by ``order``.
-
-    The target is laid out by run, batch and key-hash partition. A batch reads
-    keys of its own key partitions only, and writes a folder of its own: a
-    batch that failed half-way is overwritten by its retry.
-    """
-    spark = batch.sparkSession
-    others = [c for c in batch.columns if c != key]
-    keys = [order, *[c for c in others if c != order]] if order in others else others
-    first = batch.groupBy(key).agg(F.min(F.struct(*keys)).alias("_row")).select(
-        key, *[F.col(f"_row.{c}") for c in others]
-    ).withColumn("key_part", F.pmod(F.xxhash64(key), F.lit(KEY_PARTS)).cast("int"))
-    own = f"r{hashlib.sha256(run.encode()).hexdigest()[:12]}"
-    if _exists(spark, target):
-        parts = [r.key_part for r in first.select("key_part").distinct().collect()]
-        stored = spark.read.option("basePath", target).parquet(target).where(
-            F.col("key_part").isin(parts) & ~((F.col("run") == own) & (F.col("batch_id") == batch_id))
-        )
-        first = first.join(stored.select(key), key, "left_anti")
-    first.write.mode("overwrite").partitionBy("key_part").parquet(
-        f"{target}/run={own}/batch_id={batch_id}"
-    )
-
-
 def stream_persist(
     analyses: DataFrame, target: str, checkpoint: str, delay: str = "1 hour", available_now=False
 ):
     """Append each analysis once.
 
     Duplicates inside the watermark are dropped by state; replayed micro-batches
-    and later repeats are caught against the target table.
+    and later repeats are caught by the key index of the target table, which
+    ``keyed.read_keyed`` reads.
     """
     once = analyses.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(
         ["analysis_id"]

@@ -10,7 +10,7 @@ from docwarden.operators import detect, monitoring, risk
 from docwarden.plans.enriched import enriched_documents
 from docwarden.sources import files, pages, sinks
 from docwarden.sources.csv_text import csv_row_documents, flatten_csv, infer_delimiter
-from docwarden.streaming import jobs
+from docwarden.streaming import jobs, keyed
 
 
 @pytest.mark.parametrize("data", [
@@ -157,7 +157,7 @@ def test_stream_persist_writes_each_analysis_once(spark, tmp_path):
     _events(spark, [("c", at + datetime.timedelta(hours=3), "s", "p", 3), ("a", at, "s", "p", 1)], src)
     jobs.stream_persist(jobs.read_stream(spark, src, schema), out, str(tmp_path / "c1"),
                         available_now=True).awaitTermination()
-    assert sorted(r.analysis_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    assert sorted(r.analysis_id for r in keyed.read_keyed(spark, out).collect()) == ["a", "b", "c"]
 
 
 def test_stream_monitor_drops_late_rows(spark, tmp_path):
