@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(app_name: str = "docwarden", master: str | None = None) -> SparkSession:
     builder = (
@@ -27,7 +29,8 @@ def scratch_dir(spark: SparkSession) -> str:
     Only a local-mode session, as in tests, may do without such a folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not shared and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     if not shared:
         return tempfile.mkdtemp(prefix="docwarden-")
@@ -38,8 +41,18 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
     For narrow results that several later steps use: the scan behind them runs
-    once, and lost executors cannot make it run again.
+    once, and lost executors cannot make it run again. So the shuffle files of
+    the job that wrote the table go with it.
     """
-    folder = f"{scratch_dir(df.sparkSession)}/table"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = f"{scratch_dir(spark)}/table"
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)

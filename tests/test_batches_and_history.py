@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from docwarden.operators import batches, detect, history, risk, scale
 from pyspark.sql import functions as F
 
@@ -16,15 +18,25 @@ def measured(spark, n, hot=0.5):
     )
 
 
-def test_ordered_prefix_over_buckets(spark):
-    df = measured(spark, 500)
-    got = scale.ordered_prefix(df, "batch_id", "doc_id",
-                               {"before": F.col("characters"), "rank": F.lit(1)}, bucket=64).toPandas()
-    for _, g in got.sort_values("doc_id").groupby("batch_id"):
+@pytest.mark.parametrize("order", ["doc_id", "hashed", "named"])
+@pytest.mark.parametrize("partitions", [None, 1, 7])
+def test_ordered_prefix_over_range_partitions(spark, order, partitions):
+    df = measured(spark, 500).withColumns({
+        "hashed": F.xxhash64("doc_id"), "named": F.md5(F.col("doc_id").cast("string")),
+        "batch_id": F.when(F.col("batch_id") > 0, F.col("batch_id"))})
+    got = scale.ordered_prefix(df, "batch_id", order, {"before": F.col("characters"), "rank": F.lit(1)}, partitions).toPandas()
+    assert len(got) == 500
+    for _, g in got.sort_values(order).groupby("batch_id", dropna=False):
         assert list(g["before"]) == list(g.characters.cumsum() - g.characters)
         assert list(g["rank"]) == list(range(len(g)))
 
 
+def test_one_batch_of_all_rows_is_cut_into_even_parts(spark):
+    df = spark.range(40_000).select(F.lit(1).alias("batch_id"), F.xxhash64("id").alias("doc_id"))
+    sizes = [r["count"] for r in scale.range_cut(df, "batch_id", "doc_id", partitions=16).groupBy("_part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 40_000 / 16
+
+
 def test_salted_lookup_keeps_every_row(spark):
     rows = measured(spark, 300)
     totals = rows.groupBy("batch_id").agg(F.count("*").alias("n")).where("batch_id < 4")
