@@ -21,22 +21,47 @@ TRACE_LIMIT = 200
 ADMIN_LIMIT = 100
 
 
+#: What is known about a file, by name and type. A type of file has only some of them.
+METADATA = {
+    "pages": "int", "characters": "int", "extraction_method": "string", "ocr_status": "string",
+    "rows": "int", "columns": "int",
+}
+
+
+def metadata_payload(docs: DataFrame) -> Column:
+    """A variant of those ``METADATA`` columns that ``docs`` has, without nulls."""
+    there = [F.col(c) for c in METADATA if c in docs.columns]
+    return F.parse_json(F.to_json(F.struct(*there)) if there else F.lit("{}"))
+
+
+def metadata_field(name: str, payload: str = "metadata") -> Column:
+    """One value of a payload, null where the payload has none or one of another type."""
+    return F.try_variant_get(payload, f"$.{name}", METADATA[name])
+
+
+def with_metadata(history: DataFrame, *names: str) -> DataFrame:
+    """Add decoded payload columns, all by default."""
+    return history.withColumns({name: metadata_field(name) for name in names or METADATA})
+
+
 def history_rows(docs: DataFrame, batch_risk: DataFrame) -> DataFrame:
     """One row per document carrying the risk and counts of its whole batch.
 
     ``docs``: batch_id, doc_id, user_id, file_name, file_type, ocr_status,
-    created_at. ``batch_risk``: ``assess_groups(scans, "batch_id")``.
+    created_at, and any other ``METADATA`` columns, which become the payload.
+    ``batch_risk``: ``assess_groups(scans, "batch_id")``.
     """
     risk = batch_risk.select(
         "batch_id", "risk_level", "risk_score", F.col("n_findings").alias("detections"),
         F.col("n_high").alias("high_severity_detections"),
         F.col("ranked").alias("categories"),
     )
-    joined = salted_lookup(docs, risk, ["batch_id"], F.col("doc_id"), "inner")
+    carried = docs.withColumn("metadata", metadata_payload(docs))
+    joined = salted_lookup(carried, risk, ["batch_id"], F.col("doc_id"), "inner")
     return joined.select(
         F.col("doc_id").alias("id"), "batch_id", "user_id", "file_name", "file_type", "risk_level",
         "risk_score", "detections", "high_severity_detections", "categories",
-        F.coalesce("ocr_status", F.lit("not_applicable")).alias("ocr_status"), "created_at",
+        F.coalesce("ocr_status", F.lit("not_applicable")).alias("ocr_status"), "metadata", "created_at",
     )
 
 
@@ -94,7 +119,7 @@ def latest(
 def user_documents(history: DataFrame, user_id: int, limit: int = HISTORY_LIMIT) -> DataFrame:
     return latest(history, limit, user_id=user_id).select(
         "id", "file_name", "file_type", "risk_level", "risk_score", "detections",
-        "high_severity_detections", "categories", "ocr_status", "created_at",
+        "high_severity_detections", "categories", "ocr_status", "metadata", "created_at",
     )
 
 
@@ -165,8 +190,10 @@ def admin_audits(audits: DataFrame, users: DataFrame, limit: int = ADMIN_LIMIT)
     return newest.join(F.broadcast(named), "user_id", "left")
 
 
-def history_view(history: DataFrame) -> DataFrame:
-    """Display projection: categories as ``name: n`` text."""
+def history_view(history: DataFrame, details: bool = False) -> DataFrame:
+    """Display projection: categories as ``name: n`` text; with ``details`` the payload too."""
+    shown = [metadata_field(c).alias(c.replace("_", " ").capitalize()) for c in METADATA
+             if c != "ocr_status"] if details else []
     return history.select(
         F.col("created_at").alias("Date"), F.col("file_name").alias("Document"),
         F.col("file_type").alias("Type"), F.col("risk_level").alias("Risk"),
@@ -177,7 +204,7 @@ def history_view(history: DataFrame) -> DataFrame:
                 "categories", lambda c: F.concat(c["category"], F.lit(": "), c["n"])
             ), ", ",
         ).alias("Categories"),
-        F.col("ocr_status").alias("OCR"),
+        F.col("ocr_status").alias("OCR"), *shown,
     )
 
 

@@ -21,10 +21,10 @@ from docwarden.operators import (
     batches, compliance, detect, history, models, monitoring, nlp, qa, retrieval, risk, summary,
 )
 from docwarden.plans.enriched import enriched_documents
-from docwarden.session import scratch_dir
+from docwarden.session import scratch_dir, stored
 from docwarden.sources import files as file_source
 from docwarden.sources import pages as page_source
-from docwarden.sources import sinks
+from docwarden.sources import facts, sinks
 from docwarden.sources.csv_text import flatten_csv, infer_delimiter
 from docwarden.sources.tables import read_table
 from docwarden.streaming import jobs, keyed
@@ -118,6 +118,7 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
             F.struct(F.col("o_orderpriority").alias("category"), n.alias("n"))
         ).alias("categories"),
         F.lit("not_applicable").alias("ocr_status"),
+        F.parse_json(F.to_json(F.struct((n + 1).alias("rows"), F.lit(3).alias("columns")))).alias("metadata"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
     )
 
@@ -681,6 +682,67 @@ def history_facts(spark, d):
     )
 
 
+def _payload_history(spark: SparkSession, d: str) -> DataFrame:
+    """Scan history whose files are text, paged or tabular in turn, appended twice by one run."""
+    kind = F.col("doc_id") % 3
+    docs = _measured(spark, d).withColumns({
+        "file_type": F.when(kind == 0, "TXT").when(kind == 1, "PDF").otherwise("CSV"),
+        "pages": F.when(kind == 1, F.col("pages")),
+        "extraction_method": F.when(kind == 1, "embedded_text"),
+        "ocr_status": F.when(kind == 1, F.col("ocr_status")),
+        "rows": F.when(kind == 2, (F.col("characters") % 90).cast("int")),
+        "columns": F.when(kind == 2, (F.col("doc_id") % 7).cast("int")),
+    })
+    written = stored(history.history_rows(docs, risk.assess_groups(_scans(spark, d), "batch_id")))
+    folder = f"{scratch_dir(spark)}/history"
+    for _ in range(2):
+        facts.append_facts(written, folder, "first")
+    return facts.read_facts(spark, folder, written.schema)
+
+
+@query
+def history_payload(spark, d):
+    """Typed values of the payload, back from the table that was written twice."""
+    return history.with_metadata(_payload_history(spark, d).drop("ocr_status")).select(
+        "id", "file_type", "risk_level", *history.METADATA,
+        F.col("created_date").cast("string").alias("created_date"), "run",
+    )
+
+
+@query
+def history_payload_search(spark, d):
+    """Files found by a value of their payload."""
+    view = history.history_view(_payload_history(spark, d), details=True)
+    return history.search_rows(view, '"Extraction method":"EMBEDDED_TEXT"').select(
+        F.col("Document").alias("document"), F.col("Pages").alias("pages"), F.col("Characters").alias("characters"),
+    )
+
+
+@query
+def fact_generations(spark, d):
+    """Users written before and after columns were added, read with what the columns meant before."""
+    users = _users(spark, d)
+    folder = f"{scratch_dir(spark)}/users"
+    facts.append_facts(users.where("id % 2 = 0").drop("full_name"), folder, "old")
+    facts.append_facts(users.where("id % 2 = 1").withColumns({
+        "auth_provider": F.when(F.col("id") % 3 == 0, "google"), "logins": F.col("id") % 5}), folder, "new")
+    return facts.read_facts(
+        spark, folder, "id bigint, email string, full_name string, auth_provider string",
+        {"full_name": "''", "auth_provider": "'password'"},
+    ).select("id", "email", "full_name", "auth_provider", "role", "logins")
+
+
+@query
+def facts_by_date(spark, d):
+    """History of some days, read from those days' folders."""
+    folder = f"{scratch_dir(spark)}/days"
+    rows = _history(spark, d).select("id", "user_id", "risk_level", "created_at").withColumn(
+        "created_at", F.date_trunc("year", "created_at"))
+    facts.append_facts(rows, folder, "r")
+    return facts.read_facts(spark, folder, rows.schema, since="1994-01-01", until="1996-12-31").select(
+        "id", "risk_level", F.col("created_date").cast("string").alias("created_date"))
+
+
 def _logged(spark: SparkSession, d: str) -> DataFrame:
     return _measured(spark, d).withColumn("user_id", F.col("batch_id"))
 
@@ -731,7 +793,8 @@ def analysis_events(spark, d):
 @query
 def user_documents(spark, d):
     return history.user_documents(_history(spark, d), 7).select(
-        "id", "file_name", "risk_level", "risk_score", _stamp("created_at").alias("created_at")
+        "id", "file_name", "risk_level", "risk_score", history.metadata_field("rows").alias("rows"),
+        history.metadata_field("columns").alias("columns"), _stamp("created_at").alias("created_at")
     )
 
 

@@ -10,13 +10,6 @@ from docwarden.functions.text import escape_html
 from docwarden.operators.batches import batch_files
 
 
-def append_facts(rows: DataFrame, path: str) -> None:
-    """Append to a Parquet table partitioned by date, one directory per day."""
-    rows.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy(
-        "created_date"
-    ).parquet(path)
-
-
 def scan_log(
     docs: DataFrame, batch_risk: DataFrame, created_at: str, users: DataFrame | None = None
 ) -> DataFrame:
@@ -53,8 +46,9 @@ def scan_log_files(docs: DataFrame) -> DataFrame:
     return batch_files(docs).select("batch_id", "doc_id", "file_name", "file_type", "ocr_status")
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def write_jsonl(rows: DataFrame, path: str, run: str) -> None:
+    """JSON lines of a run in a folder of its own; writing the run again replaces it."""
+    rows.write.mode("overwrite").json(f"{path}/run={run}")
 
 
 def rows_as_text(rows: DataFrame, number: str = "row_no") -> DataFrame:

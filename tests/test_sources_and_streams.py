@@ -101,8 +101,8 @@ def test_sinks(spark, docs, tmp_path):
     listed = docs("PAN ABCDE1234F", "<b> & a@b.com").withColumn("ocr_status", F.lit(None).cast("string"))
     users = spark.createDataFrame([(1, "one@example.org")], "id int, email string")
     log = sinks.scan_log(listed, risk.assess_groups(scans, "batch_id"), "2024-01-01T00:00:00Z", users)
-    sinks.write_jsonl(log, str(tmp_path / "log"))
-    line = json.loads(next(p for p in (tmp_path / "log").iterdir() if p.suffix == ".json").read_text())
+    sinks.write_jsonl(log, str(tmp_path / "log"), "0")
+    line = json.loads(next(p for p in (tmp_path / "log" / "run=0").iterdir() if p.suffix == ".json").read_text())
     assert line["file_count"] == 2 and line["detections"] == 2 and line["user_email"] == "one@example.org"
     assert sinks.scan_log_files(listed).count() == 2
     assert line["categories"] == {"PAN Number": 1, "Email Address": 1}
@@ -111,10 +111,6 @@ def test_sinks(spark, docs, tmp_path):
     assert "&lt;a&gt; &amp; &#x27;b&#x27;" in html
     blocks = sinks.rows_as_text(spark.createDataFrame([(1, "x", None)], "row_no int, k string, v string"))
     assert blocks.first().value == "1.\nk: x\nv: None"
-    facts = scans.select("doc_id", F.lit("2024-01-02 03:04:05").cast("timestamp").alias("created_at"))
-    for _ in range(2):
-        sinks.append_facts(facts, str(tmp_path / "facts"))
-    assert spark.read.parquet(str(tmp_path / "facts")).where("created_date = '2024-01-02'").count() == 4
 
 
 def test_trace_rows_hash_and_local_names(spark):
