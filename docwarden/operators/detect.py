@@ -33,13 +33,13 @@ _AADHAAR = next(i for i, p in enumerate(PATTERNS) if p.category == "Aadhaar Numb
 
 
 def spread(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rebalance documents when the input has fewer splits than the cluster has cores.
+    """Deal documents out anew when the input has fewer splits than the cluster has cores.
 
-    A table of at least as many files is left alone, so the text is not
-    shuffled. Rows are dealt out without a key: no value can make a task hot.
+    An input of at least as many splits is left alone, so what is shuffled is at most one split per
+    core. Rows are dealt without a key: no value can make a task hot.
     """
     wanted = partitions or docs.sparkSession.sparkContext.defaultParallelism
-    return docs if len(docs.inputFiles()) >= wanted else docs.repartition(wanted)
+    return docs if docs.rdd.getNumPartitions() >= wanted else docs.repartition(wanted)
 
 
 def _meta() -> str:

@@ -1247,11 +1247,36 @@ def _run_to_table(rows: DataFrame, folder: str) -> DataFrame:
 def stream_scan(spark, d):
     """The scan plan on a document stream, written to and read back from a table."""
     docs = _stream(spark, d, "documents").select("doc_id", "lang", "text")
-    rows = jobs.stream_scan(docs).select(
-        "doc_id", "lang", "risk_level", "risk_score", "n_findings",
-        F.md5("redacted_text").alias("redacted_digest"),
-    )
-    return _run_to_table(rows, scratch_dir(spark))
+    folder = scratch_dir(spark)
+    jobs.write_batches(
+        docs, f"{folder}/state", available_now=True, scans=(f"{folder}/rows", lambda batch: jobs.stream_scan(batch).select(
+            "doc_id", "lang", "risk_level", "risk_score", "n_findings",
+            F.md5("redacted_text").alias("redacted_digest"))),
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch_id")
+
+
+@query
+def stream_files(spark, d):
+    """Benchmark items as text files, customers as one CSV file per nation and regions as JSON, from a
+    stream of files: texts and tables become documents, the rest is rejected."""
+    folder = scratch_dir(spark)
+    items = read_table(spark, d, "benchmark").select("item_id", "text")
+    items.repartition("item_id").write.partitionBy("item_id").text(f"{folder}/in/txt")
+    people = read_table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("nation"))
+    people.repartition("nation").sortWithinPartitions("nation", "c_custkey").write.partitionBy("nation").option(
+        "header", "true").csv(f"{folder}/in/csv")
+    read_table(spark, d, "region").repartition("r_regionkey").write.partitionBy("r_regionkey").json(f"{folder}/in/json")
+    jobs.stream_documents(
+        jobs.file_stream(spark, f"{folder}/in/*/*", max_files=200), f"{folder}/documents", f"{folder}/rejects",
+        f"{folder}/state", available_now=True).awaitTermination()
+    origin = F.regexp_extract("path", r"/in/[a-z]+/([a-z_]+=[0-9]+)/", 1).alias("origin")
+    loaded = spark.read.parquet(f"{folder}/documents").select(
+        origin, "file_type", F.md5("text").alias("digest"), "rows", "columns", F.lit(None).cast("string").alias("reason"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rejected = spark.read.parquet(f"{folder}/rejects").select(
+        origin, none("string", "file_type"), none("string", "digest"), none("int", "rows"), none("int", "columns"), "reason")
+    return loaded.unionByName(rejected)
 
 
 @query
@@ -1287,10 +1312,29 @@ def monitor_windows(spark, d):
     )
 
 
+def _called(docs: DataFrame) -> DataFrame:
+    """Documents with the time of their scan and the status of their model call."""
+    return docs.withColumns({
+        "created_at": _doc_time(),
+        "status": F.when(F.col("doc_id") % 5 == 0, "Rules fallback (timeout)").otherwise("Enhanced analysis"),
+        "model_provider": F.when(F.col("doc_id") % 7 == 0, "local").otherwise("groq"),
+    })
+
+
 @query
 def scan_monitor(spark, d):
-    """Documents, findings and high-risk documents per hour of scan time."""
-    scans = _assessed(spark, d).withColumn("created_at", _doc_time())
-    return jobs.scan_monitor(scans).select(
-        _stamp("window_start").alias("window_start"), "documents", "findings", "high_risk"
+    """Documents, findings, high-risk documents and fallback share per hour of scan time."""
+    return jobs.scan_monitor(_called(_assessed(spark, d))).select(
+        _stamp("window_start").alias("window_start"), "documents", "findings", "high_risk", "fallbacks", "fallback_rate",
+    )
+
+
+@query
+def stream_scan_monitor(spark, d):
+    """The same from a stream of documents, scanned as they come, for windows that have closed."""
+    docs = _stream(spark, d, "documents").select("doc_id", "text").repartition(
+        spark.sparkContext.defaultParallelism)
+    rows = jobs.scan_monitor(_called(risk.assess(detect.scan(docs)))).select(
+        _stamp("window_start").alias("window_start"), "documents", "findings", "high_risk", "fallbacks", "fallback_rate",
     )
+    return _run_to_table(rows, scratch_dir(spark))

@@ -181,3 +181,60 @@ def test_stream_monitor_drops_late_rows(spark, tmp_path):
     assert at + 3 * hour in rows
     batch = jobs.monitor(spark.read.parquet(src)).where(F.col("window_start") == at).first()
     assert batch.calls == 4
+
+
+def test_scan_monitor_counts_each_document_once_and_late_ones(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1, 10)
+    hour = datetime.timedelta(hours=1)
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    schema = "doc_id bigint, text string, created_at timestamp, status string, model_provider string"
+
+    def feed(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        docs = jobs.read_stream(spark, src, schema)
+        query = (jobs.scan_monitor(risk.assess(detect.scan(docs)), delay="30 minutes").writeStream.outputMode("append")
+                 .format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        return jobs.late_rows(query)
+
+    pan = "PAN ABCDE1234F and a@b.com"
+    assert feed((1, pan, at, "ok", "groq"), (2, "nothing", at, "Rules fallback", "groq"), (1, pan, at, "ok", "groq")) == 0
+    assert feed((3, pan, at + 3 * hour, "ok", "local")) == 0
+    # three documents older than the watermark, two of them in one window
+    assert feed((4, pan, at, "ok", "groq"), (5, pan, at, "ok", "groq"), (6, pan, at + hour, "ok", "groq"),
+                (7, pan, at + 6 * hour, "ok", "groq")) == 3
+    feed((8, "end", at + 9 * hour, "ok", "groq"))
+    got = {r.window_start: (r.documents, r.findings, r.fallbacks, r.fallback_rate) for r in spark.read.parquet(out).collect()}
+    assert got == {at: (2, 2, 1, 0.5), at + 3 * hour: (1, 2, 1, 1.0), at + 6 * hour: (1, 2, 0, 0.0)}
+    batch = jobs.scan_monitor(risk.assess(detect.scan(spark.read.parquet(src).dropDuplicates(["doc_id"]).where("doc_id NOT IN (4, 5, 6)"))))
+    on_time = {r.window_start: (r.documents, r.findings, r.fallbacks, r.fallback_rate) for r in batch.collect()}
+    assert got == {w: v for w, v in on_time.items() if w in got}
+
+
+def test_file_stream_takes_new_files_and_rejects(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    done = str(tmp_path / "documents"), str(tmp_path / "rejects"), str(tmp_path / "state")
+
+    def run():
+        jobs.stream_documents(jobs.file_stream(spark, str(tmp_path / "in"), max_files=2), *done,
+                              available_now=True).awaitTermination()
+        return ({r.file_name: r.text for r in spark.read.parquet(done[0]).collect()},
+                sorted(r.file_name for r in spark.read.parquet(done[1]).collect()))
+
+    (tmp_path / "in" / "a.txt").write_bytes("café “q”".encode("cp1252"))
+    (tmp_path / "in" / "b.csv").write_text("n;m\n1;2\n")
+    (tmp_path / "in" / "c.png").write_bytes(b"\x00")
+    first = ({"a.txt": "café “q”", "b.csv": "Row 1: n: 1; m: 2"}, ["c.png"])
+    assert run() == first and run() == first
+    (tmp_path / "in" / "sub").mkdir()
+    (tmp_path / "in" / "sub" / "d.TXT").write_bytes(b"\xef\xbb\xbfmore")
+    assert run() == (first[0] | {"d.TXT": "more"}, ["c.png"])
+
+
+def test_spread_leaves_inputs_with_enough_splits_alone(spark, sf):
+    docs = enriched_documents(spark, sf)
+    assert "Exchange" in detect.spread(docs)._jdf.queryExecution().executedPlan().toString()
+    assert detect.spread(docs, 1) is docs
+    many = spark.range(0, 100, 1, 16)
+    assert detect.spread(many, 16) is many
