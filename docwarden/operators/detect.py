@@ -7,8 +7,9 @@ one pass over the text and it scales with the number of input splits.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,9 +193,93 @@ def add_model_entities(scans: DataFrame, entities: DataFrame) -> DataFrame:
             _entity_findings()
         )
     )
+    return _in_output_order(joined).drop("entities")
+
+
+def _in_output_order(merged: DataFrame) -> DataFrame:
     ordered = F.array_sort(
         "_merged",
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
         .when(a["category"] < b["category"], -1).otherwise(1),
     )
-    return joined.withColumn("findings", ordered).drop("entities", "_merged")
+    return merged.withColumn("findings", ordered).drop("_merged")
+
+
+#: Characters of one window handed to an entity model, and of the stretch two windows share.
+MODEL_WINDOW, MODEL_OVERLAP = 100_000, 2_000
+
+
+def model_windows(text: str, window: int = MODEL_WINDOW, overlap: int = MODEL_OVERLAP):
+    """``(at, piece, low, high)``: windows of a text and the part of it whose entities each decides.
+
+    Windows share ``overlap`` characters; an entity belongs to the window in which its start lies
+    farther from the edge, so one that a cut would divide is seen whole by its window.
+    """
+    step = window - overlap
+    for at in range(0, max(1, len(text) - overlap), step):
+        last = at + window >= len(text)
+        yield (at, text[at: at + window], at + overlap // 2 if at else 0,
+               len(text) if last else at + step + overlap // 2)
+
+
+def free_entities(entities, taken):
+    """Entities, in model order, that overlap neither a taken span nor an entity kept before.
+
+    ``taken`` and what is kept stay sorted and disjoint, so each entity is placed by bisection."""
+    from bisect import bisect_right, insort
+
+    spans = []
+    for start, end in sorted(taken):  # findings of several detectors may touch or overlap
+        if spans and start < spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
+        else:
+            spans.append((start, end))
+    for entity in entities:
+        _, _, start, end = entity
+        at = bisect_right(spans, (start, float("inf")))
+        before = at and spans[at - 1][1] > start
+        if not before and (at == len(spans) or spans[at][0] >= end):
+            insort(spans, (start, end))
+            yield entity
+
+
+def with_model_entities(
+    scans: DataFrame, load: Callable[[], Callable], window: int = MODEL_WINDOW, overlap: int = MODEL_OVERLAP
+) -> DataFrame:
+    """Add an entity model's findings to those of the detectors.
+
+    ``load`` makes the model, once per Python worker; the model takes a text and returns
+    ``(label, text, start, end)`` tuples. Whole texts are read, in windows, and only texts and spans
+    go to the worker. Entities with a known label, three characters and no stop value are kept where
+    they overlap no finding and no earlier entity.
+    """
+    labels, stops = dict(MODEL_ENTITY_LABELS), set(MODEL_ORG_STOP_VALUES)
+
+    def usable(label: str, value: str) -> bool:
+        return label in labels and len(value) >= 3 and not (
+            labels[label] == "Organization Name" and value.lower() in stops)
+
+    def entities_of(model, text: str, taken) -> list[dict]:
+        found = []
+        for at, piece, low, high in model_windows(text, window, overlap):
+            for label, value, start, end in model(piece):
+                value = value.strip()
+                if low <= start + at < high and usable(label, value):
+                    found.append((label, value, start + at, end + at))
+        return [dict(zip(("label", "text", "start", "end"), e)) for e in free_entities(found, taken)]
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = load()
+        kind = pa.list_(pa.struct([("label", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        for texts, starts, ends in batches:
+            rows = zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist())
+            yield pa.array([entities_of(model, t or "", zip(s or [], e or [])) for t, s, e in rows], kind)
+
+    hook = F.arrow_udf(run, "array<struct<label:string,text:string,start:int,end:int>>")
+    found = computed_once(scans, {"_entities": hook(F.col("text"), F.col("findings.start"), F.col("findings.end"))})
+    label = F.create_map(*[F.lit(x) for kv in MODEL_ENTITY_LABELS.items() for x in kv])
+    wide = F.transform("_entities", lambda e: F.struct(
+        label[e["label"]].alias("category"), e["text"].alias("value"), e["start"].alias("start"), e["end"].alias("end"),
+        F.lit("Medium").alias("severity"), F.lit(0.72).alias("confidence"),
+        F.concat(F.lit("spaCy NER model identified "), e["label"], F.lit(" entity in document context.")).alias("reason")))
+    return _in_output_order(found.withColumn("_merged", F.concat("findings", wide))).drop("_entities")

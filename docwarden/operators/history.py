@@ -159,23 +159,54 @@ def admin_totals(users: DataFrame, history: DataFrame, audits: DataFrame) -> Dat
     )
 
 
-def admin_users(users: DataFrame, history: DataFrame) -> DataFrame:
-    """Users with their number of scans; history is counted before the join."""
+def admin_users(users: DataFrame, history: DataFrame, ordered: bool = True) -> DataFrame:
+    """Users with their number of scans, newest first; history is counted before the join."""
     counts = history.groupBy(F.col("user_id").alias("_uid")).agg(F.count("*").alias("_n"))
-    return users.join(counts, F.col("id") == F.col("_uid"), "left").select(
+    counted = users.join(counts, F.col("id") == F.col("_uid"), "left").select(
         *users.columns, F.coalesce("_n", F.lit(0)).alias("document_count")
     )
+    return counted.orderBy(F.col("created_at").desc(), F.col("id").desc()) if ordered else counted
+
+
+def _listed(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The latest rows, evaluated once: at most ``limit`` rows, a fixed small number."""
+    newest = latest(rows, limit)
+    if limit is None:
+        return newest
+    return rows.sparkSession.createDataFrame(newest.collect(), rows.schema)
+
+
+#: How much more is taken when too few of the latest rows belong to known users, and how often.
+WIDEN, WIDENINGS = 10, 3
 
 
 def admin_documents(
-    history: DataFrame, users: DataFrame, limit: int = ADMIN_LIMIT
+    history: DataFrame, users: DataFrame, limit: int | None = ADMIN_LIMIT
 ) -> DataFrame:
-    """Latest scans of known users with the user's e-mail."""
+    """Latest scans of known users with the user's e-mail.
+
+    The newest ``limit`` scans nearly always have known users, so they are taken first, by a bounded
+    top-n, and joined with the few users they name. Only if too few are left a larger top-n follows.
+    After ``WIDENINGS`` of them unknown users are the rule, and history is filtered by users first.
+    """
     names = users.select(F.col("id").alias("user_id"), "email")
+    if limit is None:
+        return salted_lookup(history, names, ["user_id"], F.col("id"), "inner")
+    for step in range(WIDENINGS + 1):
+        most = limit * WIDEN**step
+        newest = _listed(history, most)
+        known = _listed(newest.join(_named(newest, names), "user_id"), limit)
+        if known.count() == limit or newest.count() < most:
+            return known.select("user_id", *[c for c in history.columns if c != "user_id"], "email")
     joined = salted_lookup(history, names, ["user_id"], F.col("id"), "inner")
     return latest(joined, limit)
 
 
+def _named(newest: DataFrame, names: DataFrame) -> DataFrame:
+    """Those of ``names`` that a short list mentions; names are read without a shuffle."""
+    return names.join(F.broadcast(newest.select("user_id").distinct()), "user_id", "left_semi")
+
+
 def admin_audits(audits: DataFrame, users: DataFrame, limit: int = ADMIN_LIMIT) -> DataFrame:
     """Latest audit events with the e-mail where the user is known.
 
@@ -183,10 +214,8 @@ def admin_audits(audits: DataFrame, users: DataFrame, limit: int = ADMIN_LIMIT)
     list is cut first. Users are then reduced to the at most ``limit`` ones that
     occur in it without being shuffled.
     """
-    newest = latest(audits, limit)
-    named = users.select(F.col("id").alias("user_id"), "email").join(
-        F.broadcast(newest.select("user_id").distinct()), "user_id", "left_semi"
-    )
+    newest = _listed(audits, limit)
+    named = _named(newest, users.select(F.col("id").alias("user_id"), "email"))
     return newest.join(F.broadcast(named), "user_id", "left")
 
 

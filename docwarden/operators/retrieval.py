@@ -16,7 +16,7 @@ from docwarden.functions.hashing import dense_vector, similarity, sparse_vector
 from docwarden.functions.once import computed_once
 from docwarden.functions.text import terms
 from docwarden.operators.nlp import with_chunks
-from docwarden.operators.scale import salted_lookup
+from docwarden.session import stored
 
 POLICY_EXCERPT_CHARS = 900
 
@@ -149,30 +149,92 @@ def question_evidence(
     return context_rows(ranked, "question_id", "doc_id")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")),
-        F.lit(0.0), lambda s, v: s + v,
-    )
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+#: Components of one block of vectors, and of one block of queries.
+VECTOR_BLOCK = 1 << 20
+QUERY_BLOCK = 1 << 18
+_FOUND = "collection {kind}, query_no long, vec_id {id}, score double"
+
+
+def _best_in_block(k: int):
+    """The ``k`` best vectors of a block for each of its queries, by one matrix product."""
+
+    def run(vectors, queries):
+        import numpy as np
+        import pyarrow as pa
+
+        kinds = {"collection": vectors.schema.field("collection").type, "query_no": pa.int64(),
+                 "vec_id": vectors.schema.field("vec_id").type, "score": pa.float64()}
+        found = []
+        lengths = set(vectors.column("dim").unique().to_pylist()) & set(queries.column("dim").unique().to_pylist())
+        for dim in lengths:
+            side = []
+            for table, column in ((vectors, "embedding"), (queries, "query")):
+                table = table.filter(pa.compute.equal(table.column("dim"), dim))
+                values = table.column(column).combine_chunks().flatten()
+                x = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                side.append((table, x, np.linalg.norm(x, axis=1)))
+            (v, x, x_size), (q, y, y_size) = side
+            size = y_size[:, None] * x_size[None, :]
+            score = np.where(size > 0, (y @ x.T) / np.where(size > 0, size, 1), 0.0).round(9)
+            ids = np.array(v.column("vec_id").to_pylist())
+            for row in range(len(y)):
+                best = np.lexsort((ids, -score[row]))[:k]
+                found.append((best, row, score[row, best], v, q))
+        if not found:
+            return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
+        return pa.concat_tables([pa.table({
+            "collection": v.column("collection").take(best),
+            "query_no": pa.array([q.column("query_no")[row].as_py()] * len(best), pa.int64()),
+            "vec_id": v.column("vec_id").take(best), "score": pa.array(score),
+        }) for best, row, score, v, q in found])
+
+    return run
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact nearest vectors of each collection for that collection's queries.
 
     ``vectors``: collection, vec_id, embedding; ``queries``: collection, query,
-    and query_id where a collection has several. Collections may be very
-    uneven: the join is salted and the rank filter limits every group before
-    its shuffle.
+    and query_id where a collection has several. A collection's vectors and its
+    queries are cut into blocks of bounded size; a block of vectors meets a
+    block of queries in one matrix product, which keeps the k best per query,
+    and these are merged by rank. So a vector is read once per block of queries
+    and a query once per block of vectors, however uneven collections are.
+
+    Scores are rounded to nine digits, ties go to the smaller id; a zero vector
+    scores 0. Vectors that are null, hold nulls, or differ in length from a
+    query take no part in its list.
     """
-    group = ["collection", *(["query_id"] if "query_id" in queries.columns else [])]
-    joined = salted_lookup(vectors, queries, ["collection"], F.col("vec_id"), "inner")
-    scored = joined.select(
-        *group, "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("score")
-    )
-    best = Window.partitionBy(*group).orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    several = "query_id" in queries.columns
+    usable = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()) & (F.size(c) > 0)
+    there = vectors.where(usable("embedding")).select(
+        "collection", "vec_id", "embedding", F.size("embedding").alias("dim"))
+    asked = stored(queries.where(usable("query")).select(
+        "collection", *(["query_id"] if several else []), F.col("query").cast("array<double>").alias("query"),
+        F.size("query").alias("dim"), F.monotonically_increasing_id().alias("query_no")))
+
+    def blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
+        parts = F.ceil(F.sum("dim") / most).cast("int")
+        return rows.groupBy("collection").agg(parts.alias(name))
+
+    sizes = stored(blocks(there, "v_blocks", VECTOR_BLOCK).join(
+        blocks(asked, "q_blocks", QUERY_BLOCK), "collection"))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.col(own))
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return rows.join(sizes, "collection").withColumns({own: block, other: every})
+
+    group = ["collection", "v_blocks", "q_blocks"]
+    met = dealt(there, "vec_id", "v_blocks", "q_blocks").groupBy(*group).cogroup(
+        dealt(asked, "query_no", "q_blocks", "v_blocks").groupBy(*group)
+    ).applyInArrow(_best_in_block(k), _FOUND.format(
+        kind=vectors.schema["collection"].dataType.simpleString(), id=vectors.schema["vec_id"].dataType.simpleString()))
+    best = Window.partitionBy("collection", "query_no").orderBy(F.col("score").desc(), "vec_id")
+    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if several:
+        ranked = ranked.join(asked.select("query_no", "query_id"), "query_no")
+    return ranked.select("collection", *(["query_id"] if several else []), "vec_id", "score", "rank")
 
 
 def centroids(vectors: DataFrame, dimensions: int) -> DataFrame:

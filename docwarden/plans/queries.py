@@ -285,6 +285,22 @@ def findings_by_source(spark, d):
 # --- masking ----------------------------------------------------------------
 
 
+def _marked_words():
+    """A stand-in for an entity model: two marked words and a code that detectors know as well."""
+    import re
+
+    labels = {"Badge": "ORG", "Reference": "PERSON", "HDFC0": "ORG", "Bengaluru": "GPE"}
+    pattern = re.compile("|".join(labels))
+    return lambda text: [(labels[m[0]], m[0], m.start(), m.end()) for m in pattern.finditer(text)]
+
+
+@query
+def model_entities(spark, d):
+    """Findings with those of an entity model that none of them covers."""
+    merged = detect.with_model_entities(_scans(spark, d), _marked_words, window=1_000, overlap=100)
+    return detect.explode_findings(merged, "doc_id").select("doc_id", "category", "value", "start", "end", "reason")
+
+
 @query
 def masked_findings(spark, d):
     return _facts(spark, d).select(
@@ -566,6 +582,17 @@ def vector_topk(spark, d):
     )
 
 
+@query
+def vector_topk_queries(spark, d):
+    """Several queries per collection: its vectors with an id divisible by 25."""
+    vectors = read_table(spark, d, "embeddings").select(F.col("label").alias("collection"), "vec_id", "embedding")
+    asked = vectors.where("vec_id % 25 = 0").select(
+        "collection", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.vector_topk(vectors, asked, 4).select(
+        "collection", "query_id", "vec_id", "rank", F.round("score", 6).alias("score")
+    )
+
+
 # --- compliance -------------------------------------------------------------
 
 

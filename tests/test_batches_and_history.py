@@ -215,3 +215,35 @@ def test_plans_of_dashboards(spark, sf):
     assert "TakeOrderedAndProject" in text and "EqualTo(o_custkey,7)" in text
     text = QUERIES["user_documents_all"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text
+
+
+def _people(spark):
+    users = spark.range(20).select(F.col("id"), F.concat(F.lit("u"), F.col("id"), F.lit("@x.org")).alias("email"),
+                                   F.timestamp_seconds(F.col("id")).alias("created_at"))
+    scans = spark.range(3_000).select(
+        "id", F.when(F.col("id") < 40, F.col("id") % 20).when(F.col("id") % 100 == 0, F.col("id") % 7)
+        .otherwise(F.lit(999)).alias("user_id"), F.timestamp_seconds(F.col("id")).alias("created_at"))
+    return users, scans
+
+
+@pytest.mark.parametrize("limit", [2, 5, 50, 500])
+def test_admin_documents_widens_until_enough_users_are_known(spark, limit):
+    users, scans = _people(spark)
+    expected = scans.join(users.select(F.col("id").alias("user_id"), "email"), "user_id").orderBy(
+        F.desc("created_at"), F.desc("id")).limit(limit)
+    got = history.admin_documents(scans, users, limit)
+    assert [(r.id, r.email) for r in got.orderBy(F.desc("created_at"), F.desc("id")).collect()] == [
+        (r.id, r.email) for r in expected.collect()]
+
+
+def test_admin_documents_does_not_join_history(spark):
+    users, scans = _people(spark)
+    recent = scans.where("id < 40")
+    plan = history.admin_documents(recent, users, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_admin_users_are_newest_first(spark):
+    users, scans = _people(spark)
+    rows = history.admin_users(users, scans).collect()
+    assert [r.id for r in rows] == list(range(19, -1, -1)) and rows[-1].document_count >= 2

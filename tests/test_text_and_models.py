@@ -2,7 +2,7 @@ import random
 
 from docwarden.functions.hashing import dense_vector
 from docwarden.functions.text import piece_substring, pieces, terms
-from docwarden.operators import models, nlp, retrieval
+from docwarden.operators import detect, models, nlp, retrieval
 from pyspark.sql import functions as F
 
 PARAGRAPH = (
@@ -227,3 +227,77 @@ def test_fallback_statuses(spark):
         ("m", "Enhanced analysis"), ("rules", "Rules fallback (boom)"),
         ("rules", "Rules fallback (No configured model returned a response.)"),
         ("rules", "Standard analysis")]
+
+
+def test_vector_blocks_give_the_same_lists(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(("a", "b")[i > 100], i, rng.normal(size=4).round(1).tolist()) for i in range(140)]
+    rows += [("a", 200, [0.0] * 4), ("a", 201, None), ("b", 202, [1.0, None, 0.0, 0.0]), ("b", 203, [1.0, 2.0]), ("c", 1, [1.0])]
+    vectors = spark.createDataFrame(rows, "collection string, vec_id bigint, embedding array<double>")
+    queries = vectors.where("vec_id % 7 = 0").selectExpr("collection", "vec_id AS query_id", "embedding AS query")
+
+    def lists(k):
+        return sorted(tuple(r) for r in retrieval.vector_topk(vectors, queries, k).collect())
+
+    whole = lists(5)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 40)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 16)
+    assert lists(5) == whole
+    by_hand = []
+    for c, q, x in rows:
+        if q % 7 or x is None or None in x:
+            continue
+        near = []
+        for d, v, y in rows:
+            if d == c and y is not None and None not in y and len(y) == len(x):
+                size = np.linalg.norm(x) * np.linalg.norm(y)
+                near.append((-round(float(np.dot(x, y) / size), 9) if size else 0.0, v))
+        by_hand += [(c, q, v, rank) for rank, (_, v) in enumerate(sorted(near)[:5], 1)]
+    assert [(c, q, v, rank) for c, q, v, _, rank in whole] == sorted(by_hand, key=lambda r: (r[0], r[1], r[2]))
+
+
+def test_model_windows_decide_every_place_once():
+    text = "x" * 1050
+    for window, overlap in ((100, 20), (1000, 100), (2000, 100), (51, 50)):
+        cover = []
+        for at, piece, low, high in detect.model_windows(text, window, overlap):
+            assert piece == text[at: at + window] and at <= low and high <= at + len(piece)
+            cover.append((low, high))
+        assert cover[0][0] == 0 and cover[-1][1] == len(text)
+        assert all(a[1] == b[0] for a, b in zip(cover, cover[1:]))
+    assert [w[1] for w in detect.model_windows("")] == [""]
+
+
+def test_free_entities_overlap_nothing():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        taken = [(s, s + rng.randrange(1, 6)) for s in rng.sample(range(60), 6)]
+        entities = [("ORG", "v", s, s + rng.randrange(1, 8)) for s in (rng.randrange(70) for _ in range(20))]
+        kept, spans = [], list(taken)
+        for e in entities:
+            if not any(e[2] < b and e[3] > a for a, b in spans):
+                kept.append(e)
+                spans.append((e[2], e[3]))
+        assert list(detect.free_entities(entities, taken)) == kept
+
+
+def test_model_entities_in_long_texts(spark, docs):
+    def load():
+        import re
+
+        return lambda t: [("ORG", m[0], m.start(), m.end()) for m in re.finditer(r"\b[A-Z]{4,}\b|\bpdf\b|\bOK\b", t)]
+
+    filler = "word " * 500
+    text = f"ACME {filler}a@b.com {filler}GLOBEX pdf OK {filler} INITECH"
+    scans = detect.scan(docs(text, "", "mail SHOUT@x.org"))
+    for window, overlap in ((100_000, 2_000), (300, 40)):
+        got = detect.with_model_entities(scans, load, window, overlap)
+        rows = detect.explode_findings(got, "doc_id").orderBy("doc_id", "start").collect()
+        assert [(r.doc_id, r.value) for r in rows] == [
+            (0, "ACME"), (0, "a@b.com"), (0, "GLOBEX"), (0, "INITECH"), (2, "SHOUT@x.org")]
+        assert all(text[r.start: r.end] == r.value for r in rows if r.doc_id == 0)
+        assert got.columns == scans.columns
