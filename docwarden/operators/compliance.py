@@ -76,13 +76,14 @@ def risk_heatmap(assessed: DataFrame) -> DataFrame:
 
 
 def heatmap_or_placeholder(heatmap: DataFrame) -> DataFrame:
-    """The heat map, or one zero ``Current document`` row when it is empty."""
-    zeros = ", ".join(f"0 AS {name}" for name, _ in HEATMAP_GROUPS)
-    placeholder = heatmap.groupBy().agg(F.count("*").alias("n")).where("n = 0").selectExpr(
-        "'Current document' AS document", *zeros.split(", "), "0 AS total",
-        "'Monitor' AS risk_signal",
-    )
-    return heatmap.unionByName(placeholder)
+    """The heat map, or one zero ``Current document`` row when it is empty.
+
+    Whether it has a row is asked first, which stops at the first one found."""
+    if not heatmap.isEmpty():
+        return heatmap
+    zeros = [f"CAST(0 AS INT) AS {name}" for name, _ in HEATMAP_GROUPS]
+    return heatmap.sparkSession.range(1).selectExpr(
+        "'Current document' AS document", *zeros, "CAST(0 AS INT) AS total", "'Monitor' AS risk_signal")
 
 
 def _case(column: str, rules: Iterable[tuple[str, str]], default: str) -> str:

@@ -71,16 +71,18 @@ def _risk_text() -> list[Column]:
     ]
 
 
+SUMMARY_TASK = (
+    "Answer with one JSON object that has exactly these array keys:\n"
+    + "\n".join(f'- "{name}": three to five short strings' for name in SUMMARY_SECTIONS)
+    + "\nTie every string to the findings below and name the most frequent and the most severe "
+    "categories.\n\n"
+)
+
+
 def build_summary_prompt(prepared: DataFrame) -> DataFrame:
-    keys = "\n".join(f'- "{name}": three to five short strings' for name in SUMMARY_SECTIONS)
-    task = (
-        f"Answer with one JSON object that has exactly these array keys:\n{keys}\n"
-        "Tie every string to the findings below and name the most frequent and the most severe "
-        "categories.\n\n"
-    )
     reasons = [F.lit("\nRisk reasons: "), F.to_json("risk_reasons")]
     return prepared.withColumn(
-        "prompt", strip(F.concat(F.lit(task), *_risk_text(), *reasons, *_evidence_text()))
+        "prompt", strip(F.concat(F.lit(SUMMARY_TASK), *_risk_text(), *reasons, *_evidence_text()))
     )
 
 

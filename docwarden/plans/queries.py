@@ -513,6 +513,12 @@ def ruler_signals(spark, d):
     return nlp.ruler_signals(_docs(spark, d).select("doc_id", "text"))
 
 
+@query
+def ruler_signals_redacted(spark, d):
+    """Phrases that are left once sensitive values are gone."""
+    return nlp.ruler_signals(_redacted_as_text(spark, d))
+
+
 @query
 def chunks(spark, d):
     return nlp.chunk_text(_docs(spark, d))
@@ -606,6 +612,13 @@ def heatmap(spark, d):
     return compliance.risk_heatmap(_assessed(spark, d))
 
 
+@query
+def heatmap_placeholder(spark, d):
+    """The row shown for documents without findings."""
+    clean = _assessed(spark, d).where("n_findings = 0")
+    return compliance.heatmap_or_placeholder(compliance.risk_heatmap(clean))
+
+
 @query
 def severity_rows(spark, d):
     return compliance.severity_explanations(_scans(spark, d))
@@ -970,6 +983,12 @@ def trace_monitoring(spark, d):
     return monitoring.trace_monitoring(_traces(spark, d))
 
 
+@query
+def trace_monitoring_empty(spark, d):
+    """The row shown while no call has failed by name."""
+    return monitoring.trace_monitoring(_traces(spark, d).where("status = 'No such status'"))
+
+
 @query
 def governance(spark, d):
     return monitoring.governance_metrics(_assessed(spark, d))
@@ -1012,6 +1031,24 @@ def context_pack(spark, d):
     )
 
 
+def _prepared(spark: SparkSession, d: str) -> DataFrame:
+    return models.prepare_context(_assessed(spark, d))
+
+
+@query
+def summary_prompts(spark, d):
+    prompts = models.build_summary_prompt(_prepared(spark, d))
+    return prompts.select("doc_id", F.length("prompt").alias("length"), F.md5("prompt").alias("digest"))
+
+
+@query
+def question_prompts(spark, d):
+    questions = F.array(*[F.lit(x) for x in QUESTIONS])
+    asked = _prepared(spark, d).withColumn("question", questions[(F.col("doc_id") % len(QUESTIONS)).cast("int")])
+    prompts = models.build_question_prompt(asked)
+    return prompts.select("doc_id", F.length("prompt").alias("length"), F.md5("prompt").alias("digest"))
+
+
 def _model_items(spark: SparkSession, d: str) -> DataFrame:
     """Two made-up models per document: the rules' output, and a louder copy of it."""
     rows = _summarized(spark, d).select(
@@ -1166,6 +1203,19 @@ def csv_flatten(spark, d):
     return rows.select("c_custkey", F.col("f.text").alias("text"), "f.rows", "f.columns")
 
 
+@query
+def csv_delimiters(spark, d):
+    """Customers as CSV texts with each delimiter in turn, one of them quoted."""
+    marks = [",", "\t", "|", ";"]
+    mark = F.array(*[F.lit(m) for m in marks])[(F.col("c_custkey") % 4).cast("int")]
+    quoted = F.concat(F.lit('"a'), mark, F.lit(' ""b"""'))
+    text = F.concat(F.concat_ws("\n", F.concat(F.lit("id"), mark, F.lit("name"), mark, F.lit("note")),
+                                F.concat(F.col("c_custkey").cast("string"), mark, F.col("c_name"), mark, quoted)))
+    rows = read_table(spark, d, "customer").select("c_custkey", text.alias("t")).withColumn(
+        "d", infer_delimiter(F.col("t"))).withColumn("f", flatten_csv(F.col("t"), F.col("d")))
+    return rows.select("c_custkey", F.col("d").alias("delimiter"), F.col("f.text").alias("text"))
+
+
 @query
 def page_assembly(spark, d):
     """Pages in threes as documents."""
@@ -1194,6 +1244,14 @@ def export_text(spark, d):
     return sinks.rows_as_text(plan.drop("doc_id")).groupBy("value").agg(F.count("*").alias("n"))
 
 
+@query
+def export_json(spark, d):
+    """Findings as JSON objects in files named after their document's category and source."""
+    rows = _facts(spark, d).select("doc_id", "source", "category", "start", "end", "severity", "confidence")
+    named = sinks.named_exports(rows, F.concat("source", F.lit(": "), "category"), "json")
+    return sinks.rows_as_json(named, "doc_id", "source", "export_name").select("doc_id", "export_name", "json")
+
+
 @query
 def export_html(spark, d):
     page = sinks.html_page(_facts(spark, d), "Findings & reasons", "value")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docwarden.functions.masking import redacted
-from docwarden.functions.text import escape_html
+from docwarden.functions.text import escape_html, safe_file_name
 from docwarden.operators.batches import batch_files
 
 
@@ -62,6 +62,18 @@ def rows_as_text(rows: DataFrame, number: str = "row_no") -> DataFrame:
     )
 
 
+def rows_as_json(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``json``, the other columns as one object per row, nulls included."""
+    shown = [F.col(f"`{c}`") for c in rows.columns if c not in keys]
+    return rows.select(
+        *keys, F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def named_exports(rows: DataFrame, title: Column, ending: str) -> DataFrame:
+    """Add ``export_name``: the title as a safe file name."""
+    return rows.withColumn("export_name", F.concat(safe_file_name(title), F.lit(f".{ending}")))
+
+
 def html_page(rows: DataFrame, title: str, text: str) -> DataFrame:
     """Add ``html``: a page with the escaped text of each row."""
     heading = escape_html(F.lit(title))
