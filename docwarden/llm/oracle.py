@@ -31,8 +31,9 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
          row_number() OVER (PARTITION BY q.vec_id ORDER BY {_PRODUCT} DESC, c.vec_id) AS rank
   FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 20"""
 
-# first place of every distinct line; lines of five words without one word, by place and without
-ORACLE["op10_line_dedup"] = f"""WITH sp AS (SELECT doc_id, string_split({_FOLDED}, chr(10)) AS l FROM documents
+# first place of every distinct line; lines of five words without one word, by place and without; then
+# one line with a near one after another, kept if no near line before it was kept
+ORACLE["op10_line_dedup"] = f"""WITH RECURSIVE sp AS (SELECT doc_id, string_split({_FOLDED}, chr(10)) AS l FROM documents
   WHERE coalesce(text, '') <> ''),
 ln AS (SELECT doc_id, unnest(range(0, len(l))) AS line, unnest(l) AS t FROM sp),
 wl AS (SELECT doc_id, line, struct_pack(d := doc_id, l := line) AS place, regexp_extract_all(t, {_WORDS}) AS ws FROM ln),
@@ -40,10 +41,15 @@ kl AS (SELECT * EXCLUDE ws, ws, array_to_string(ws, ' ') AS k, len(ws) AS n FROM
 cl AS (SELECT k, any_value(ws) AS ws, any_value(n) AS n, min(place) AS first FROM kl GROUP BY k),
 va AS (SELECT k, n, first, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v
        FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM cl WHERE n >= 5)),
-ch AS (SELECT n, i, v, min(first) AS e FROM va GROUP BY ALL),
-ne AS (SELECT k FROM va JOIN ch USING (n, i, v) WHERE e < first
-       UNION SELECT va.k FROM va JOIN cl ON cl.k = va.v AND cl.n = va.n - 1 AND cl.n >= 5 WHERE cl.first < va.first
-       UNION SELECT cl.k FROM va JOIN cl ON cl.k = va.v AND cl.n = va.n - 1 AND cl.n >= 5 WHERE va.first < cl.first),
+li AS (SELECT a.first AS a, b.first AS b FROM va a JOIN va b USING (n, i, v) WHERE a.first < b.first
+       UNION SELECT least(va.first, cl.first), greatest(va.first, cl.first) FROM va JOIN cl ON cl.k = va.v AND cl.n = va.n - 1 AND cl.n >= 5),
+no AS (SELECT p, row_number() OVER (ORDER BY p) AS r FROM (SELECT a AS p FROM li UNION SELECT b FROM li)),
+nb AS (SELECT y.r, list(x.r) AS before FROM li JOIN no x ON x.p = li.a JOIN no y ON y.p = li.b GROUP BY y.r),
+go(r, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT go.r + 1, CASE WHEN list_has_any(coalesce(before, []), kept) THEN kept ELSE list_append(kept, go.r + 1) END
+  FROM go LEFT JOIN nb ON nb.r = go.r + 1 WHERE go.r < (SELECT count(*) FROM no)),
+ke AS (SELECT unnest(kept) AS r FROM go WHERE r = (SELECT count(*) FROM no)),
+ne AS (SELECT cl.k FROM cl JOIN no ON no.p = cl.first WHERE no.r NOT IN (SELECT r FROM ke)),
 rm AS (SELECT doc_id, list(CAST(line AS INT) ORDER BY line) AS removed FROM kl JOIN cl USING (k)
        WHERE place <> first OR k IN (SELECT k FROM ne) GROUP BY doc_id)
 SELECT d.doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS INT) AS n_lines,

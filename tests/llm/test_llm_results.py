@@ -466,49 +466,87 @@ def test_common_lines_are_longest(a, b):
 
 # line dedup
 
-def test_lines_by_force(spark):
-    rng = random.Random(5)
+def near_lines(x, y, least=line_dedup.LEAST_WORDS):
+    if x == y:
+        return True
+    if min(len(x), len(y)) < least or abs(len(x) - len(y)) > 1:
+        return False
+    if len(x) == len(y):
+        return sum(p != q for p, q in zip(x, y)) == 1
+    long, short = (x, y) if len(x) > len(y) else (y, x)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def lines_by_hand(docs, least=line_dedup.LEAST_WORDS):
+    """Removed lines and the earliest kept line each is equal or near to."""
+    kept, gone = [], {}
+    for d, text in docs:
+        for k, line in enumerate(text.split("\n")):
+            w = WORD.findall(fold(line))
+            like = next((place for place, x in kept if near_lines(w, x, least)), None)
+            if w and like is not None:
+                gone[d, k] = like
+            elif w:
+                kept.append(((d, k), w))
+    return gone
+
+
+def templated_lines(seed):
+    rng = random.Random(seed)
     bases = [[rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(1, 9))] for _ in range(12)]
     docs = []
     for d in range(40):
         lines = []
         for _ in range(rng.randint(0, 5)):
             w = list(rng.choice(bases))
-            kind = rng.randint(0, 4)
-            if kind == 1:
-                w[rng.randrange(len(w))] = "Changed"
-            elif kind == 2:
-                w.insert(rng.randint(0, len(w)), f"new{rng.randint(0, 2)}")
-            elif kind == 3:
-                del w[rng.randrange(len(w))]
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                kind = rng.randint(0, 3)
+                if kind == 1:
+                    w[rng.randrange(len(w))] = rng.choice(["Changed", "other"])
+                elif kind == 2:
+                    w.insert(rng.randint(0, len(w)), f"new{rng.randint(0, 2)}")
+                elif kind == 3 and len(w) > 1:
+                    del w[rng.randrange(len(w))]
             lines.append(" ".join(w))
         docs.append((d, "\n".join(lines)))
-
-    def near(x, y):
-        if x == y:
-            return True
-        if min(len(x), len(y)) < line_dedup.LEAST_WORDS or abs(len(x) - len(y)) > 1:
-            return False
-        if len(x) == len(y):
-            return sum(p != q for p, q in zip(x, y)) == 1
-        long, short = (x, y) if len(x) > len(y) else (y, x)
-        return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
-
-    seen, expected = [], {}
-    for d, text in docs:
-        gone = []
-        for k, line in enumerate(text.split("\n")):
-            w = WORD.findall(fold(line))
-            if w and any(near(w, x) for x in seen):
-                gone.append(k)
-            if w:
-                seen.append(w)
-        expected[d] = gone
-    table = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.removed for r in line_dedup.dedup_report(table).collect()}
-    assert got == expected
-    kept = {(r.doc_id, r.line): (r.kept_doc_id, r.kept_line) for r in line_dedup.duplicate_lines(table).collect()}
-    assert all(k > v for k, v in kept.items())
+    return docs
+
+
+@pytest.mark.parametrize("last_rows", [0, 1 << 18])
+@pytest.mark.parametrize("least", [5, 3])
+def test_lines_by_force(spark, monkeypatch, last_rows, least):
+    monkeypatch.setattr(line_dedup, "LAST_ROWS", last_rows)  # rounds of joins, and in order
+    monkeypatch.setattr(line_dedup, "CLASS_ROWS", 2)
+    docs = templated_lines(5 + least)
+    expected = lines_by_hand(docs, least)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = line_dedup.duplicate_lines(table, least_words=least).collect()
+    assert {(r.doc_id, r.line): (r.kept_doc_id, r.kept_line) for r in got} == expected
+    texts = {(d, k): WORD.findall(fold(line)) for d, t in docs for k, line in enumerate(t.split("\n"))}
+    assert all(r.near == (texts[r.doc_id, r.line] != texts[r.kept_doc_id, r.kept_line]) for r in got)
+
+
+def test_a_chain_of_lines_does_not_drift(spark, monkeypatch):
+    words = [f"w{i}" for i in range(8)]
+    lines = []
+    for i in range(9):  # each one word from the line before
+        lines.append(" ".join(words))
+        if i < 8:
+            words[i] = f"x{i}"
+    docs = [(i, line) for i, line in enumerate(lines)]
+    for last_rows in (0, 1 << 18):
+        monkeypatch.setattr(line_dedup, "LAST_ROWS", last_rows)
+        got = line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        # the line before went, so the next one stays
+        assert sorted((r.doc_id, r.kept_doc_id) for r in got) == [(1, 0), (3, 2), (5, 4), (7, 6)]
+
+
+def test_lines_of_extreme_and_repeated_ids(spark):
+    line = "one two three four five six"
+    docs = [(-(2**62), line), (2**62, line + " seven"), (None, line.upper()), (3, "a b c d e"), (3, "a b c d x"), (3, "unlike all")]
+    got = line_dedup.duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.line, r.kept_doc_id, r.near) for r in got}
+    assert found >= {(2**62, 0, -(2**62), True), (None, 0, -(2**62), False)} and len(found) == 3
 
 
 # sharding
