@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwarden.llm.rows import free_name, row_key
 from docwarden.llm.storage import stored
 
 #: Blocks a source's quota is cut into.
@@ -183,15 +184,27 @@ def _draw(k: int, whole: bool, seed: int) -> Column:
         shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed + 1), "h", F.lit(k)).alias("shuffle_key"))
 
 
-def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs``, each row as often as the mix takes it whole.
 
-    Rows that share an id are taken as often as the most taken of them. Rows with a null id are
-    matched as one id.
+    Rows are told apart by a hash of all their columns, not by id. Equal rows are interchangeable:
+    one of them is given as often as all of them are taken.
     """
-    drawn = mix(docs, doc_id=doc_id, whole=True, **options)
-    times = drawn.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.size("draws")).alias("_times"))
-    times = times.where("_times > 0")
+    name = free_name(docs.columns, "key")
+    named = docs.withColumn(name, row_key(docs))
+    drawn = mix(named, doc_id=name, whole=True, **options)
+    again, times = (free_name([*named.columns, "again"], x) for x in ("same", "times"))
+    taken = stored(drawn.groupBy(F.col("doc_id").alias(again)).agg(
+        F.sum(F.size("draws")).cast("int").alias(times), F.count("*").alias("rows")).where(F.col(times) > 0))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.join(times, docs[doc_id].eqNullSafe(F.col("_id")))
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again")).drop("_again")
+
+    def given(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        repeats = F.array_repeat(F.lit(0), F.col(times))
+        return rows.join(wanted.select(again, times), F.col(name) == F.col(again)).select(
+            *columns, F.explode(repeats).alias(name)).drop(name)
+
+    several = taken.where("rows > 1")
+    if several.isEmpty():
+        return given(named, taken)
+    equal = named.join(several.select(again), F.col(name) == F.col(again), "left_semi").dropDuplicates([name])
+    return given(named, taken.where("rows = 1")).unionByName(given(equal, several))

@@ -217,14 +217,15 @@ def held_out(doc_id: Column) -> Column:
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-    label: str = "toxic", threshold: float = 0.3,
+    label: str = "toxic", threshold: float = 0.3, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` for every row of ``docs``."""
+    """``doc_id``, ``held_out``, ``score`` (0 to 1), ``predicted`` and the columns ``keep`` for every
+    row of ``docs``."""
     bounded_batches(docs.sparkSession)
     known = labels.where(~F.coalesce(held_out(F.col(f"`{doc_id}`")), F.lit(False)))
     machine = learn(docs, known, doc_id=doc_id, text=text, label=label)
-    found = scored(docs, machine, [doc_id], text=text)
+    found = scored(docs, machine, [doc_id, *keep], text=text)
     key = F.col(f"`{doc_id}`")
     return found.select(
         key.alias("doc_id"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= threshold).cast("int").alias("predicted"))
+        (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"`{c}`") for c in keep])

@@ -18,7 +18,7 @@ from docwarden.llm.toxicity import toxicity
 from docwarden.llm.url_filter import Rule, judged
 
 LONG = " ".join(f"word{i} of{i % 7}" for i in range(40_000))
-CLASH = ["id", "n", "h", "size", "line", "part", "bucket", "score", "shard", "rows", "cell", "gram", "_text"]
+CLASH = ["_gone", "gone", "_times", "_id", "_again", "again", "same", "key", "text_key", "row_id", "times", "equal", "k1", "h1", "place", "id", "n", "h", "size", "line", "part", "bucket", "score", "shard", "rows", "cell", "gram", "_text"]
 ROWS = [
     (0, None, "en", "a", 0), (1, "", None, "a", 0), (2, "Released under the MIT License.", "en", None, 30),
     (3, LONG, "en", "b", len(LONG)), (4, LONG, "en", "b", len(LONG)), (None, "some words here", "en", "b", None),
@@ -109,6 +109,23 @@ def test_mixing(rows, none):
     assert mixed_documents(none).count() == 0
 
 
+def test_mix_decides_by_row(spark):
+    """Null and repeated ids, and rows that differ in another column only."""
+    text = " ".join(["word"] * 10)
+    for ids in ([None] * 60 + list(range(60)), [7] * 120, list(range(40)) * 3):
+        docs = spark.createDataFrame(
+            [(i, f"{text} {k // 3}", "en", ("a", "b")[k % 2], k, {"k": k}) for k, i in enumerate(ids)],
+            "doc_id long, text string, lang string, source string, n_chars long, extra map<string,int>")
+        mixed = mixed_documents(docs)
+        got = {r.source: r.words for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("words")).collect()}
+        targets = {r.source: r.target for r in mix(docs).select("source", "target").distinct().collect()}
+        assert all(abs(got[s] - targets[s]) <= 11 for s in targets), (got, targets)
+        assert mixed.columns == docs.columns
+    equal = spark.createDataFrame([(1, text, "en", "a", 5)] * 30 + [(2, text, "en", "b", 5)] * 30, SCHEMA)
+    counts = {r.source: r["count"] for r in mixed_documents(equal).groupBy("source").count().collect()}
+    assert sum(counts.values()) == 90 and counts["a"] == 60
+
+
 def test_toxicity(spark, rows, none):
     known = labels(spark, (3, 1, 1), (5, 1, 0), (5, 0, 1), (None, 1, 1), (7, None, None), (2, 1, 7))
     found = toxicity(rows, known).collect()
@@ -160,6 +177,31 @@ def test_pipeline_stages(spark, rows, none, tmp_path):
         if docs is rows:
             near = {r.doc_id for r in kept[2].collect()}
             assert 3 in near and 4 not in near and {0, 1, 6} <= near
-            assert kept[2].where("doc_id = 5").count() == 1
+            # the row without an id and the two equal rows are one text
+            assert kept[2].where("doc_id = 5 OR doc_id IS NULL").count() == 1
         else:
             assert kept[-1].count() == 0
+
+
+def test_stages_judge_rows_without_an_id(spark, tmp_path):
+    passage = "the quick brown fox jumps over the lazy dog near the old river bank at dawn"
+    rows = [(i, f"clean text number {i} about gardens and bread {i * 7} {i * 13}", "en", "a", 5) for i in range(60)]
+    rows += [(i, f"you are a vile zorgon fool {i} {i * 3}", "en", "a", 5) for i in range(100, 160)]
+    rows += [(None, "you are a vile zorgon fool again", "en", "a", 5), (3, "you are a vile zorgon fool too", "en", "a", 5),
+             (None, f"before {passage} after", "en", "a", 5), (None, "something else without harm", "en", "a", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels(spark, *[(i, 1, 0) for i in range(60)], *[(i, 0, 1) for i in range(100, 160)]).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    calm = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert calm.where("text LIKE '%zorgon%'").isEmpty()
+    assert calm.where("doc_id = 3").count() == 1 and calm.where("doc_id IS NULL").count() == 2
+    clean = corpus_pipeline.drop_contaminated(spark, calm, str(tmp_path))
+    assert [r.text for r in clean.where("doc_id IS NULL").collect()] == ["something else without harm"]
+    # of two rows with one id, the copy of another document goes and the other stays
+    long = " ".join(f"w{i}" for i in range(40))
+    twins = spark.createDataFrame(
+        [(1, long, "en", "a", 5), (2, long + " end", "en", "a", 5), (2, "own words of the second row here", "en", "a", 5),
+         (None, long, "en", "a", 5), (None, "alone", "en", "a", 5), (None, "alone", "en", "a", 5)], SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, twins, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [
+        (0, "alone"), (1, long), (2, "own words of the second row here")]
