@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docwarden.llm.decontaminate import contaminated, split_item
 from docwarden.llm.jaccard_join import jaccard_classes
 from docwarden.llm.mixing import mixed_documents
+from docwarden.llm.rows import FIRST_MADE_ID, free_name, with_row_ids
 from docwarden.llm.shards import kd_shards, number_place, text_place
 from docwarden.llm.storage import stored
 from docwarden.llm.toxicity import toxicity
@@ -24,35 +25,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is not among ``ids``; rows with a null id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), docs.doc_id == F.col("_gone"), "left_anti")
+def _without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key``, which is not null, is not in the one column of ``gone``; without ``key``."""
+    other = free_name(docs.columns, "gone")
+    found = gone.select(F.col(gone.columns[0]).alias(other)).distinct()
+    return docs.join(found, F.col(key) == F.col(other), "left_anti").drop(key)
+
+
+def _text_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Add a hash of the text. What depends on the text alone is judged by it, row by row, so that
+    null and repeated ids make no difference."""
+    key = free_name(docs.columns, "text_key")
+    return docs.withColumn(key, F.xxhash64(F.col("text").isNull(), F.col("text"))), key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity machine does not reject."""
-    judged = stored(toxicity(docs, _table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id"))
-    return _without(docs, judged)
+    named, key = _text_key(docs)
+    judged = toxicity(named, _table(spark, sf_dir, "labels"), keep=(key,))
+    return _without(named, stored(judged.where("predicted = 1").select(key)), key)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked documents, once."""
-    groups = jaccard_classes(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
+    """The document with the smallest id of each group of linked documents, once.
+
+    Rows with a null or repeated id are documents of their own and come after all others; equal
+    rows are one document."""
+    key = free_name(docs.columns, "row_id")
+    ids = stored(docs.groupBy(F.col("doc_id").cast("long").alias("again")).count().where(
+        "count > 1 AND again IS NOT NULL").select("again"))
+    named = with_row_ids(docs, key, "doc_id", None if ids.isEmpty() else ids)
+    groups = jaccard_classes(named, doc_id=key, size=NEAR_WORDS, percent=NEAR_PERCENT)
     again = stored(groups.where("doc_id <> component_id").select("doc_id"))
-    kept = _without(docs, again)
-    # only rows that share an id can be repeated rows of one document
-    shared = stored(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    if shared.isEmpty():
-        return kept
-    return _without(kept, shared).unionByName(
-        kept.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    made = stored(groups.where(F.col("doc_id") >= FIRST_MADE_ID).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if made.isEmpty():
+        return _without(named, again, key)
+    other = free_name(named.columns, "equal")
+    equal = named.join(made.select(F.col("doc_id").alias(other)), F.col(key) == F.col(other), "left_semi")
+    once = _without(equal.dropDuplicates([key]), again, key)
+    return _without(named, again.unionByName(made), key).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    named, key = _text_key(docs)
     question, answer = split_item(F.col("text"))
-    found = contaminated(docs, _table(spark, sf_dir, "benchmark"), question=question, answer=answer, one_text=True)
-    return _without(docs, stored(found.select("doc_id")))
+    found = contaminated(named, _table(spark, sf_dir, "benchmark"), question=question, answer=answer, one_text=True,
+                         doc_id=key)
+    return _without(named, stored(found.select("doc_id")), key)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
