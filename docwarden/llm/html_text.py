@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,17 @@ from docwarden.llm.storage import bounded_batches, stored
 from docwarden.llm.tokens import signed, words
 from docwarden.llm.urls import host_of, path_of
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""",
-    re.S)
+#: The beginning of a comment, a section of raw data, a declaration, or a tag with its name.
+START = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+#: What can end a tag or hide its end.
+STOP = re.compile(r"""[>"']""")
 #: One attribute, its value quoted or bare; read one after another, so no value is searched for names.
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 #: Elements whose content is never text.
 SILENT = frozenset("script style head title template noscript svg math iframe object canvas select "
                    "textarea button audio video datalist".split())
+#: Those of them whose content is raw: without an end they reach to the end of the page.
+RAW = frozenset("script style title iframe textarea".split())
 #: Elements around page furniture.
 FURNITURE = frozenset("nav aside footer form dialog menu".split())
 #: Words in a class, an id or a role that mark page furniture.
@@ -76,7 +80,66 @@ INLINE = frozenset(
 #: Elements that the start of another one ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-MAIN_ZONE, OPEN_ZONE, FURNITURE_ZONE = 0, 1, 2
+#: A form is furniture, but an article may stand in it.
+MAIN_ZONE, OPEN_ZONE, FURNITURE_ZONE, FORM_ZONE = 0, 1, 2, 3
+
+
+class Tags:
+    """The tags of a page, read once from left to right.
+
+    Every step goes on from where the last one ended, and what is not found once is not looked for
+    again, so a page of any content takes time in proportion to its length.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.absent = page, set()
+
+    def _find(self, what: str, at: int) -> int:
+        """Where ``what`` comes next, or -1; looked for in vain once at most."""
+        if what in self.absent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def _end(self, at: int) -> int:
+        """Where the ``>`` of a tag is; one inside a quoted value does not count."""
+        while m := STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            close = self._find(m[0], m.end())
+            if close < 0 or ">" in self.absent:
+                return self._find(">", m.end())
+            at = close + 1
+        self.absent.add("end")
+        return -1
+
+    def __iter__(self):
+        """(start, end, closing, name, attributes) of every tag; name is empty for other markup."""
+        at = 0
+        while m := START.search(self.page, at):
+            if m[1] or m[2]:
+                ending = "-->" if m[1] else "]]>"
+                stop = self._find(ending, m.end())
+                stop = len(self.page) if stop < 0 else stop + len(ending)
+                at = (yield m.start(), stop, False, "", "") or stop
+                continue
+            stop = self._find(">", m.end()) if m[3] else (-1 if "end" in self.absent else self._end(m.end()))
+            if stop < 0:
+                at = m.end()  # no tag, but text
+                continue
+            at = (yield m.start(), stop + 1, bool(m[4]), (m[5] or "").lower(), "" if m[3] else self.page[m.end(): stop]) or stop + 1
+
+    def after_element(self, name: str, at: int) -> int:
+        """Where the text after the end tag of ``name`` begins, or -1."""
+        if f"</{name}" in self.absent:
+            return -1
+        close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(self.page, at)
+        if not close:
+            self.absent.add(f"</{name}")
+            return -1
+        return close.end()
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -87,10 +150,10 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _names_box(token: str) -> bool:
+def _names_box(token: str, more: frozenset[str] = frozenset()) -> bool:
     """Whether all words of one class or id are for furniture, but for those of boxes and numbers."""
     parts = {x for x in re.split(r"[^a-z0-9]+", token) if x and not x.isdigit()}
-    return bool(parts & FURNITURE_WORDS) and parts <= FURNITURE_WORDS | BOX_WORDS
+    return bool(parts & (FURNITURE_WORDS | more)) and parts <= FURNITURE_WORDS | BOX_WORDS | more
 
 
 def _furniture(name: str, attributes: dict[str, str], in_main: bool) -> bool:
@@ -110,8 +173,7 @@ def _furniture(name: str, attributes: dict[str, str], in_main: bool) -> bool:
         return name in BOXES and not {"section", "chapter"} & set(classes) and _names_box(own_id)
     if name in HEADINGS or name == "section":
         own_id = own_id if name == "section" and _names_box(own_id) else ""
-    found = set(re.split(r"[^a-z0-9]+", " ".join([*classes, own_id])))
-    return bool(found & FURNITURE_WORDS or found & HEAD_WORDS)
+    return any(_names_box(token, HEAD_WORDS) for token in [*classes, own_id])
 
 
 def page_lines(page: str) -> list[tuple[int, str]]:
@@ -119,65 +181,83 @@ def page_lines(page: str) -> list[tuple[int, str]]:
     lines: list[tuple[int, str]] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements and the zone outside them
+    depth: Counter[str] = Counter()  # how many of a name are open
     zone = OPEN_ZONE
     at = 0
 
     def end_line():
         text = " ".join(html_module.unescape("".join(held)).split())
         if text:
-            lines.append((zone, text))
+            lines.append((FURNITURE_ZONE if zone == FORM_ZONE else zone, text))
         held.clear()
 
-    find = TAG.search
-    while True:
-        m = find(page, at)
-        stop = m.start() if m else len(page)
-        if stop > at:
-            held.append(page[at:stop])
-        if not m:
-            break
-        at = m.end()
-        name = m[2].lower() if m[2] else ""
+    def pop() -> int:
+        name, outside = stack.pop()
+        depth[name] -= 1
+        return outside
+
+    tags = Tags(page)
+    reader = iter(tags)
+    skip = None
+    while (tag := _next(reader, skip)) is not None:
+        start, stop, closing, name, text = tag
+        skip = None
+        if start > at:
+            held.append(page[at:start])
+        at = stop
         if not name:
             continue
         if name in SILENT:
             end_line()
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if close:
-                    at = close.end()
-                elif name != "head":
-                    at = len(page)
+            if not closing and not text.endswith("/"):
+                end = tags.after_element(name, at)
+                if end >= 0 or name in RAW:
+                    at = skip = end if end >= 0 else len(page)
             continue
-        attributes = _attributes(m[3]) if m[3] and not m[1] else {}
-        if name in INLINE and not (attributes and _furniture(name, attributes, zone == MAIN_ZONE)):
+        attributes = _attributes(text) if text and not closing else {}
+        in_main = zone == MAIN_ZONE
+        if name in INLINE and not (attributes and _furniture(name, attributes, in_main)):
             if name == "br":
                 held.append("\n")
-            if not (m[1] and stack and any(n == name for n, _ in stack[-8:])):
+            if not (closing and stack and any(n == name for n, _ in stack[-8:])):
                 continue
         end_line()
         if name in VOID:
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    zone = stack[k][1]
-                    del stack[k:]
-                    break
+        if closing:
+            if depth[name]:
+                while stack[-1][0] != name:
+                    pop()
+                zone = pop()
             continue
         closed = CLOSES.get(name)
         if closed and stack and stack[-1][0] in closed:
-            zone = stack.pop()[1]
+            zone = pop()
         stack.append((name, zone))
-        if zone != FURNITURE_ZONE:
-            if _furniture(name, attributes, zone == MAIN_ZONE):
-                zone = FURNITURE_ZONE
-            elif name in MAIN or "main" in attributes.get("role", "").split():
+        depth[name] += 1
+        main = name in MAIN or "main" in attributes.get("role", "").split()
+        if zone == FORM_ZONE:
+            zone = MAIN_ZONE if main and not _furniture(name, attributes, False) else zone
+        elif zone != FURNITURE_ZONE:
+            if _furniture(name, attributes, in_main):
+                plain = name == "form" and not _furniture("div", attributes, in_main)
+                zone = FORM_ZONE if plain and not in_main else FURNITURE_ZONE
+            elif main:
                 zone = MAIN_ZONE
+    if at < len(page):
+        held.append(page[at:])
     end_line()
     return lines
 
 
+def _next(reader, skip: int | None):
+    """The next tag, from ``skip`` on if it is given."""
+    try:
+        return next(reader) if skip is None else reader.send(skip)
+    except StopIteration:
+        return None
+
+
 def common_lines(a: list, b: list) -> set[int]:
     """Places of ``a`` in one longest common subsequence with ``b`` (bit-parallel dynamic programme)."""
     shared: set[int] = set()

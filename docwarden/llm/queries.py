@@ -18,7 +18,7 @@ from docwarden.llm.manifest import every_fifth, manifest
 from docwarden.llm.mixing import mix
 from docwarden.llm.oracle import ORACLE
 from docwarden.llm.rabitq import nearest
-from docwarden.llm.shards import kd_shards, number_place, text_place
+from docwarden.llm.shards import kd_shards, number_place
 from docwarden.llm.toxicity import toxicity
 from docwarden.llm.url_filter import Rule, judged
 
@@ -30,7 +30,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     dims = {
-        "lang": text_place(F.col("lang")), "source": text_place(F.col("source")),
+        "lang": F.col("lang"), "source": F.col("source"),
         "length": F.log2(number_place(F.col("n_chars")) + 2),
     }
     placed = kd_shards(docs, dims, shards=8)

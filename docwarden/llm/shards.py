@@ -6,8 +6,10 @@ median, bytes being the weights, until every cell is one shard. Cuts are exact w
 quantiles, found by radix descent: three grouped sums over the digits of a 63-bit key, no sort
 and nothing but one row per cell sent to the driver.
 
-Units of the split are groups of equal texts, so copies stay together; a group that is larger
-than a ``GROUP_SHARE``-th of a shard is dealt into parts by id and may span shards.
+A text dimension is placed by its rank among the distinct values, in code-point order, however long
+a common beginning they have. Units of the split are groups of equal texts, so copies stay together;
+only a group of more than ``group_share`` of a shard's bytes, with which shards could not be of near
+equal size, is dealt into parts by id and may span shards.
 
 Everything after one pass over the texts runs on narrow rows; slots are numbered in hash buckets
 of bounded size.
@@ -22,26 +24,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwarden.llm.ranks import ranked
 from docwarden.llm.storage import stored
 
-#: A group of copies larger than a shard's bytes divided by this is dealt into parts.
-GROUP_SHARE = 32
+#: Share of a shard's bytes up to which a group of copies stays whole.
+GROUP_SHARE = 0.1
 #: Rows numbered by one task at a time, about.
 BUCKET_ROWS = 16_384
 #: Bits of the three digits of a unit's key.
 DIGITS = (21, 21, 21)
 
 
-def text_place(value: Column) -> Column:
-    """A number that orders strings by their first six bytes; null comes first."""
-    head = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
-
-
 def number_place(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(-1.0))
 
 
+def _placed_texts(narrow: DataFrame, name: str) -> DataFrame:
+    """``name``, a text, replaced by the rank of its value; null comes first."""
+    values = narrow.groupBy(F.col(name).alias("value")).agg(F.lit("").alias("one"))
+    ranks = ranked(stored(values), "one", ["value"]).select("value", F.col("idx").cast("double").alias("rank"))
+    return narrow.join(ranks, F.col(name).eqNullSafe(F.col("value"))).withColumn(name, F.col("rank")).drop("value", "rank")
+
+
 def _units(narrow: DataFrame, dims: list[str], part_bytes: float) -> DataFrame:
     """Groups of equal texts with their bytes and places, large groups in parts."""
     group = narrow.groupBy("h", "crc", "size").agg(
@@ -86,25 +90,31 @@ def _cuts(units: DataFrame, goals: DataFrame) -> dict[int, tuple[int, bool]]:
 def kd_shards(
     docs: DataFrame, dims: dict[str, Column], *, shards: int | None = None,
     target_bytes: int | None = None, doc_id: str = "doc_id", text: str = "text",
+    group_share: float = GROUP_SHARE,
 ) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every row of ``docs``.
 
-    ``dims`` are numeric metadata columns. ``shards`` is the number of leaves, or follows from
+    ``dims`` are metadata columns, numbers or texts. ``shards`` is the number of leaves, or follows from
     ``target_bytes``.
     """
     body = F.col(f"`{text}`").cast("string")
     raw = F.coalesce(F.encode(body, "UTF-8"), F.lit(b""))
     key = F.col(f"`{doc_id}`")
+    kinds = docs.select(*[c.alias(name) for name, c in dims.items()]).schema
+    texts = {f.name for f in kinds if f.dataType.simpleString() == "string"}
     narrow = stored(docs.select(
         key.alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("crc"), F.xxhash64(raw).alias("h"), F.xxhash64(key, raw).alias("spread"),
-        *[F.coalesce(c.cast("double"), F.lit(-1.0)).alias(f"d_{name}") for name, c in dims.items()]))
+        *[(c if name in texts else F.coalesce(c.cast("double"), F.lit(-1.0))).alias(f"d_{name}") for name, c in dims.items()]))
+    for name in sorted(texts):
+        narrow = _placed_texts(narrow, f"d_{name}")
+    narrow = stored(narrow) if texts else narrow
     names = [f"d_{name}" for name in dims]
     whole = narrow.agg(F.sum("size").alias("w"), F.count("*").alias("rows"), *_ranges(names)).first()
     total = whole.w or 0
     if shards is None:
         shards = max(1, -(-total // target_bytes))
-    units = _units(narrow, names, max(1.0, total / shards / GROUP_SHARE))
+    units = _units(narrow, names, max(1.0, total / shards * group_share))
     celled = stored(units.withColumn("cell", F.lit(0).cast("long")))
     cells = {0: shards}  # first shard of a cell, and how many shards it stands for
     while any(n > 1 for n in cells.values()):

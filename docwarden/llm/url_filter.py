@@ -67,14 +67,20 @@ def host_edges(pages: DataFrame, *, url: str, html: str) -> DataFrame:
         F.count("*").cast("double").alias("links"))
 
 
+#: 0.85 ** 400 is below 1e-28.
+MAX_ROUNDS = 400
+
+
 def propagate(
-    seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6,
+    seeds: DataFrame, edges: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6,
     shared_by: str = "src",
 ) -> DataFrame:
     """``host, score``: personalised PageRank of ``seeds`` (host, seed) along ``edges`` (src, dst, links).
 
     Scores go from ``src`` to ``dst`` by the share of a link among those of ``src``, or among those
-    of the column ``shared_by`` names.
+    of the column ``shared_by`` names. Rounds go on until scores move by less than ``tolerance`` in
+    all. A round multiplies what is left to move by ``damping`` where mass is divided, so after
+    ``MAX_ROUNDS`` it is far below any tolerance; scores that still move are an error.
     """
     out = edges.groupBy(shared_by).agg(F.sum("links").alias("all_links"))
     weighted = stored(edges.join(out, shared_by).select("src", "dst", (F.col("links") / F.col("all_links")).alias("w")))
@@ -82,7 +88,7 @@ def propagate(
     scores = stored(start.select("host", F.col("start").alias("score")))
     if weighted.isEmpty():
         return scores
-    for _ in range(rounds):
+    for _ in range(MAX_ROUNDS):
         sent = scores.join(weighted, scores.host == weighted.src).groupBy(F.col("dst").alias("host")).agg(
             (damping * F.sum(F.col("score") * F.col("w"))).alias("got"))
         parts = sent.unionByName(start.select("host", F.col("start").alias("got")))
@@ -92,8 +98,8 @@ def propagate(
             F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
         scores = new
         if not moved or moved < tolerance:
-            break
-    return scores
+            return scores
+    raise RuntimeError("host scores did not settle")
 
 
 def judged(

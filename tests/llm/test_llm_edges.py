@@ -13,7 +13,7 @@ from docwarden.llm.licenses import license_spans
 from docwarden.llm.line_dedup import dedup_report
 from docwarden.llm.mixing import mix, mixed_documents
 from docwarden.llm.rabitq import nearest
-from docwarden.llm.shards import kd_shards, number_place, text_place
+from docwarden.llm.shards import kd_shards, number_place
 from docwarden.llm.toxicity import toxicity
 from docwarden.llm.url_filter import Rule, judged
 
@@ -29,7 +29,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def dims():
-    return {"lang": text_place(F.col("lang")), "length": number_place(F.col("n_chars"))}
+    return {"lang": F.col("lang"), "length": number_place(F.col("n_chars"))}
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +59,26 @@ def test_sharding(rows, none):
     assert {r.shard for r in kd_shards(rows, dims(), target_bytes=10**9).collect()} == {0}
 
 
+def test_sharding_along_names_with_a_common_beginning(spark):
+    rows = [(i, f"text {i}", "en", f"common_crawl_{'ab'[i % 2]}", 9) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = kd_shards(docs, {"source": F.col("source")}, shards=2).join(docs.select("doc_id", "source"), "doc_id")
+    assert {(r.shard, r.source) for r in found.select("shard", "source").distinct().collect()} == {
+        (0, "common_crawl_a"), (1, "common_crawl_b")}
+
+
+def test_sharding_keeps_a_large_group_whole(spark):
+    """A group of 7 % of a shard stays together, one of a third of all rows is cut."""
+    rows = [(i, f"own text number {i:05d}" + " x" * (i % 13), "en", "a", i) for i in range(3000)]
+    rows += [(10_000 + i, "a copy of one text of this size", "en", "a", 40) for i in range(30)]
+    found = kd_shards(spark.createDataFrame(rows, SCHEMA), dims(), shards=8)
+    assert found.where("doc_id >= 10000").select("shard").distinct().count() == 1
+    rows += [(20_000 + i, "a very common copy of one text", "en", "a", 40) for i in range(2000)]
+    found = kd_shards(spark.createDataFrame(rows, SCHEMA), dims(), shards=8)
+    sizes = [r.w for r in found.groupBy("shard").agg(F.sum("size").alias("w")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)
+
+
 def test_decontamination(spark, rows, none):
     items = spark.createDataFrame(
         [(1, None), (2, "a b"), (3, LONG), (4, "")], "item_id long, text string").withColumn("q", F.lit(1))

@@ -566,3 +566,45 @@ def test_shards_are_even_and_keep_copies(spark, sf):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     largest = max(r["size"] for r in rows)
     assert max(weight.values()) - min(weight.values()) <= 2 * largest
+
+
+# hostile and unusual pages
+
+HOSTILE = {
+    "tags": "<a " * 330_000, "quotes": '<a "' * 250_000, "one quote": "<a " * 330_000 + '">', "declarations": "<!" * 400_000,
+    "heads": "<head>" * 160_000, "closers": "<div>" * 90_000 + "</p>" * 90_000, "scripts": "<script>" * 100_000,
+    "values": "<a " + "x= " * 300_000 + ">", "entities": "&" * 900_000, "drawings": "<svg>" * 150_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_a_megabyte_of_anything_is_read_in_seconds(kind):
+    import time
+
+    started = time.time()
+    html_text.page_lines(HOSTILE[kind])
+    assert time.time() - started < 5
+
+
+def test_articles_in_forms_and_names_that_only_contain_a_word():
+    main, furniture = html_text.MAIN_ZONE, html_text.FURNITURE_ZONE
+    form = "<body><form><div>top</div><main><article><p>text</p><form>field</form></article></main></form></body>"
+    assert html_text.page_lines(form) == [(furniture, "top"), (main, "text"), (furniture, "field")]
+    assert html_text.page_lines("<form class='search'><article>x</article></form>") == [(furniture, "x")]
+    kept = html_text.page_lines('<div class="search-results">a</div><div class="promotion-of-trade">b</div><p>c<button>d<p>e')
+    assert [text for zone, text in kept if zone != furniture] == ["a", "b", "c", "d", "e"]
+    gone = html_text.page_lines('<div class="cookie-banner">a</div><div id="site-header">b</div><svg>c')
+    assert all(zone == furniture for zone, text in gone if text in "ab")
+
+
+# links that take many rounds
+
+def test_scores_settle_however_long_the_way(spark):
+    from docwarden.llm.url_filter import propagate
+
+    n = 60
+    seeds = spark.createDataFrame([(f"h{i}", 1.0 if i == 0 else 0.0) for i in range(n)], "host string, seed double")
+    ring = spark.createDataFrame([(f"h{i}", f"h{(i + 1) % n}", 1) for i in range(n)], "src string, dst string, links long")
+    got = {r.host: r.score for r in propagate(seeds, ring, tolerance=1e-4).collect()}
+    expected = {f"h{i}": 0.15 * 0.85**i / (1 - 0.85**n) for i in range(n)}
+    assert all(abs(got[h] - s) < 2e-4 for h, s in expected.items())
