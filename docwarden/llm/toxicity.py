@@ -7,10 +7,14 @@ factor vectors per pair of buckets, so an insult next to a mention of a group ca
 than both alone.
 
 Learning: at most ``MAX_TRAINING`` labelled texts, chosen by a hash of their id (a documented
-bound; all of them where there are fewer). Spark counts each bucket by label over that sample,
-the ``MAX_TERMS`` most telling buckets are kept, and the sample's rows over those buckets, which
-are bounded by both limits, go to the driver, where the machine is fitted. Scoring runs over
-every whole text and sends only the model to the executors.
+bound; all of them where there are fewer; of an id that documents repeat, one text). Spark counts
+each bucket by label over that sample. The machine keeps the ``MAX_TERMS`` buckets that tell most
+alone, and the buckets of the ``MAX_PAIRS`` pairs that tell most together and far more than their
+parts: words that are harmless each and toxic next to each other tell nothing alone. Pairs are
+looked for among the ``PAIR_TERMS`` most frequent buckets. All three are parameters of the model's
+size, as the number of factors is. The sample's rows over these buckets, which are bounded by both
+limits, go to the driver, where the machine is fitted. Scoring runs over every whole text and sends
+only the model to the executors.
 
 Defined cases: null and empty texts score the model's base rate; labels other than 0 and 1 or
 with a null id are left out; an id labelled twice counts as toxic if one label says so; without
@@ -33,8 +37,13 @@ BITS = 22
 PREFIX_BYTES = (4, 5, 6)
 #: Labelled texts the machine is fitted on, at most.
 MAX_TRAINING = 20_000
-#: Buckets the machine keeps, at most.
-MAX_TERMS = 512
+#: Buckets the machine keeps because they tell something alone, and pairs it keeps besides, at most.
+MAX_TERMS, MAX_PAIRS = 512, 128
+#: Most frequent buckets among which pairs are looked for.
+PAIR_TERMS = 2_048
+#: Chi-squared value of a pair from which it is kept (there are millions of pairs), and how much more
+#: than the sum of its parts' it has to be.
+LEAST_PAIR_CHI2, PAIR_GAIN = 60.0, 2.0
 #: Chi-squared value of a bucket from which it is kept.
 LEAST_CHI2 = 30.0
 FACTORS = 4
@@ -147,38 +156,75 @@ def fit(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int, seed:
     return float(state[0][0]), state[1], state[2]
 
 
+def chi_squared(a, b, n1: int, n0: int):
+    """Of a feature that ``a`` of ``n1`` texts with label 1 have, and ``b`` of ``n0`` others."""
+    spread = (a + b) * (float(n1 + n0) - a - b) * float(max(n1, 1)) * float(max(n0, 1))
+    return (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / spread
+
+
+def telling_pairs(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int) -> list[tuple[int, int]]:
+    """Pairs of terms that tell the label together and far more than each alone, best first."""
+    n = len(y)
+    both, toxic = np.zeros((n_terms, n_terms)), np.zeros((n_terms, n_terms))
+    step = 1_000
+    for k in range(0, n, step):
+        low, high = np.searchsorted(rows, (k, k + step))
+        block = np.zeros((min(step, n - k), n_terms), np.float32)
+        block[rows[low:high] - k, terms[low:high]] = 1
+        both += block.T @ block
+        marked = block[y[k: k + step] == 1]
+        toxic += marked.T @ marked
+    n1 = int(y.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = np.nan_to_num(chi_squared(toxic, both - toxic, n1, n - n1), posinf=0.0)
+    alone = np.diag(chi2)
+    chi2[(both < 3) | (chi2 < PAIR_GAIN * (alone[:, None] + alone[None, :]))] = 0
+    a, b = np.nonzero(np.triu(chi2 >= LEAST_PAIR_CHI2, 1))
+    best = np.argsort(-chi2[a, b], kind="stable")[:MAX_PAIRS]
+    return list(zip(a[best].tolist(), b[best].tolist()))
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str) -> Machine | None:
     """Fit a machine on a bounded sample of ``labels`` joined with their texts."""
     y = F.col(f"`{label}`")
     one = labels.select(F.col(f"`{doc_id}`").cast("long").alias("id"), y.cast("int").alias("y"))
     one = one.where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     chosen = one.orderBy(F.xxhash64("id"), "id").limit(MAX_TRAINING)
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    # at most MAX_TRAINING pairs of numbers
-    sample = stored(texts.join(F.broadcast(chosen), "id").select("text", "y"))
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    # at most MAX_TRAINING pairs of numbers, and one text for each
+    sample = stored(texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "y"))
     n = dict(sample.groupBy("y").count().collect())
     if not n:
         return None
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    counts = sample.mapInArrow(_count_terms, "bucket long, pos long, neg long").groupBy("bucket").agg(
+    counts = stored(sample.mapInArrow(_count_terms, "bucket long, pos long, neg long").groupBy("bucket").agg(
         F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("q"))
-    a, b = F.col("p"), F.col("q")
-    spread = (a + b) * (F.lit(float(n1 + n0)) - a - b) * float(max(n1, 1)) * float(max(n0, 1))
-    chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / spread
-    best = (
-        counts.where((a + b >= 3) & (a + b < n1 + n0)).select("bucket", chi2.alias("chi2"))
-        .where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "bucket").limit(MAX_TERMS)
-    ).toArrow()
-    buckets = np.sort(best.column("bucket").to_numpy())
+        .where(F.col("p") + F.col("q") >= 3).where(F.col("p") + F.col("q") < n1 + n0))
+    chi2 = chi_squared(F.col("p"), F.col("q"), n1, n0)
+    alone = counts.select("bucket", chi2.alias("chi2")).where(F.col("chi2") >= LEAST_CHI2).orderBy(
+        F.desc("chi2"), "bucket").limit(MAX_TERMS).toArrow().column("bucket").to_numpy()
+    frequent = counts.orderBy(F.desc(F.col("p") + F.col("q")), "bucket").limit(PAIR_TERMS).toArrow().column("bucket").to_numpy()
+    seen = np.union1d(alone, frequent)
+    table = np.full(1 << BITS, -1, np.int32)
+    table[seen] = np.arange(len(seen), dtype=np.int32)
+    found = sample.mapInArrow(
+        _kept_terms(docs.sparkSession.sparkContext.broadcast(table)), "y int, terms array<int>").toArrow()
+    y = found.column("y").to_numpy().astype(float)
+    lists = found.column("terms").combine_chunks()
+    rows = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()) if len(y) else 0)
+    terms = lists.flatten().to_numpy().astype(np.int64)
+    # pairs among the frequent buckets, numbered on their own
+    number = np.full(len(seen), -1)
+    number[np.searchsorted(seen, frequent)] = np.arange(len(frequent))
+    among = number[terms] >= 0
+    pairs = telling_pairs(rows[among], number[terms[among]], y, len(frequent))
+    buckets = np.union1d(alone, [frequent[i] for pair in pairs for i in pair]).astype(np.int64)
+    kept = np.full(len(seen), -1)
+    kept[np.searchsorted(seen, buckets)] = np.arange(len(buckets))
+    use = kept[terms] >= 0
     machine = Machine(buckets, 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), FACTORS)))
-    table = docs.sparkSession.sparkContext.broadcast(machine.table())
-    seen = sample.mapInArrow(_kept_terms(table), "y int, terms array<int>").toArrow()
-    y = seen.column("y").to_numpy().astype(float)
-    lengths = seen.column("terms").combine_chunks()
-    sizes = np.diff(lengths.offsets.to_numpy()) if len(y) else np.zeros(0, int)
-    order = np.repeat(np.arange(len(y)), sizes)
-    terms = lengths.flatten().to_numpy().astype(np.int64)
-    machine.bias, machine.weights, machine.factors = fit(order, terms, y, len(buckets))
+    machine.bias, machine.weights, machine.factors = fit(rows[use], kept[terms[use]], y, len(buckets))
     return machine
 
 

@@ -325,6 +325,48 @@ def test_machine_learns_pairs():
     assert (v[0] * v[1]).sum() > 1
 
 
+def test_pairs_are_learnt_from_texts(spark):
+    """Two words that say nothing alone: toxic where both or neither stand in a text."""
+    rng = random.Random(3)
+    rows, marks = [], []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [rng.choice(["bread", "garden", "river", "stone", "cloud", "paper"]) for _ in range(6)]
+        rows.append((i, " ".join(words + ["zorg"] * a + ["plim"] * b)))
+        marks.append((i, 1, int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, known).where("held_out").join(known, "doc_id").collect()
+    assert len(got) > 800 and sum(r.predicted == r.toxic for r in got) >= 0.99 * len(got)
+
+
+def test_pairs_that_tell_no_more_than_their_parts_are_left():
+    rng = np.random.default_rng(1)
+    on = rng.random((4000, 12)) < 0.3
+    rows, terms = np.nonzero(on)
+    assert toxicity.telling_pairs(rows, terms, on[:, 0].astype(float), 12) == []
+    even = rng.random((4000, 12)) < 0.5
+    rows, terms = np.nonzero(even)
+    assert toxicity.telling_pairs(rows, terms, (even[:, 3] ^ even[:, 7]).astype(float), 12) == [(3, 7)]
+
+
+def test_scores_are_the_sum_over_pairs(spark):
+    rng = np.random.default_rng(2)
+    m = toxicity.Machine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    rows, terms = np.nonzero(rng.random((50, 9)) < 0.4)
+    got = m.margin(rows, terms, 50)
+    for row in range(50):
+        t = terms[rows == row]
+        total = 0.3 + m.weights[t].sum() + sum(m.factors[i] @ m.factors[j] for k, i in enumerate(t) for j in t[:k])
+        assert abs(total - got[row]) < 1e-9
+
+
+def test_a_repeated_id_is_one_training_text(spark):
+    docs = spark.createDataFrame([(1, "bad words")] * 500 + [(2, "good words"), (3, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 0, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert len({r.score for r in toxicity.toxicity(docs, known).where("doc_id = 1").collect()}) == 1
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
