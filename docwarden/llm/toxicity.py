@@ -162,26 +162,47 @@ def chi_squared(a, b, n1: int, n0: int):
     return (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / spread
 
 
-def telling_pairs(rows: np.ndarray, terms: np.ndarray, y: np.ndarray, n_terms: int) -> list[tuple[int, int]]:
-    """Pairs of terms that tell the label together and far more than each alone, best first."""
-    n = len(y)
-    both, toxic = np.zeros((n_terms, n_terms)), np.zeros((n_terms, n_terms))
-    step = 1_000
-    for k in range(0, n, step):
-        low, high = np.searchsorted(rows, (k, k + step))
-        block = np.zeros((min(step, n - k), n_terms), np.float32)
-        block[rows[low:high] - k, terms[low:high]] = 1
+#: Texts and terms handled at once on the driver.
+ROWS_AT_ONCE, TERMS_AT_ONCE = 500, 128
+
+
+def _blocks(offsets: np.ndarray, terms: np.ndarray, number: np.ndarray):
+    """(first row, row within the block, number) of the terms that have a number, block by block."""
+    for k in range(0, len(offsets) - 1, ROWS_AT_ONCE):
+        ends = offsets[k: k + ROWS_AT_ONCE + 1]
+        found = number[terms[ends[0]: ends[-1]]]
+        row = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+        yield k, row[found >= 0], found[found >= 0]
+
+
+def telling_pairs(blocks, y: np.ndarray, n_terms: int) -> list[tuple[int, int]]:
+    """Pairs of terms that tell the label together and far more than each alone, best first.
+
+    ``blocks`` are those of ``_blocks``. Counts are whole numbers below 2 ** 24, exact in 32 bits."""
+    both, toxic = (np.zeros((n_terms, n_terms), np.float32) for _ in range(2))
+    for k, row, term in blocks:
+        mine = y[k: k + ROWS_AT_ONCE]
+        block = np.zeros((len(mine), n_terms), np.float32)
+        block[row, term] = 1
         both += block.T @ block
-        marked = block[y[k: k + step] == 1]
+        marked = block[mine == 1]
         toxic += marked.T @ marked
     n1 = int(y.sum())
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.nan_to_num(chi_squared(toxic, both - toxic, n1, n - n1), posinf=0.0)
-    alone = np.diag(chi2)
-    chi2[(both < 3) | (chi2 < PAIR_GAIN * (alone[:, None] + alone[None, :]))] = 0
-    a, b = np.nonzero(np.triu(chi2 >= LEAST_PAIR_CHI2, 1))
-    best = np.argsort(-chi2[a, b], kind="stable")[:MAX_PAIRS]
-    return list(zip(a[best].tolist(), b[best].tolist()))
+
+    def chi2(a, b):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.nan_to_num(chi_squared(a.astype(float), b.astype(float), n1, len(y) - n1), posinf=0.0)
+
+    alone = chi2(np.diag(toxic), np.diag(both) - np.diag(toxic))
+    found = []
+    for k in range(0, n_terms, TERMS_AT_ONCE):
+        at = slice(k, k + TERMS_AT_ONCE)
+        value = chi2(toxic[at], both[at] - toxic[at])
+        least = np.maximum(LEAST_PAIR_CHI2, PAIR_GAIN * (alone[at, None] + alone[None, :]))
+        a, b = np.nonzero((value >= least) & (both[at] >= 3))
+        found += [(-value[i, j], k + i, j) for i, j in zip(a.tolist(), b.tolist()) if k + i < j]
+        found = sorted(found)[:MAX_PAIRS]
+    return [(i, j) for _, i, j in found]
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str) -> Machine | None:
@@ -212,19 +233,19 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label:
         _kept_terms(docs.sparkSession.sparkContext.broadcast(table)), "y int, terms array<int>").toArrow()
     y = found.column("y").to_numpy().astype(float)
     lists = found.column("terms").combine_chunks()
-    rows = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()) if len(y) else 0)
-    terms = lists.flatten().to_numpy().astype(np.int64)
-    # pairs among the frequent buckets, numbered on their own
-    number = np.full(len(seen), -1)
-    number[np.searchsorted(seen, frequent)] = np.arange(len(frequent))
-    among = number[terms] >= 0
-    pairs = telling_pairs(rows[among], number[terms[among]], y, len(frequent))
+    offsets, terms = (lists.offsets.to_numpy(), lists.flatten().to_numpy()) if len(y) else (np.zeros(1, int), np.zeros(0, int))
+
+    def numbered(chosen: np.ndarray) -> np.ndarray:
+        number = np.full(len(seen), -1, np.int32)
+        number[np.searchsorted(seen, chosen)] = np.arange(len(chosen))
+        return number
+
+    pairs = telling_pairs(_blocks(offsets, terms, numbered(frequent)), y, len(frequent))
     buckets = np.union1d(alone, [frequent[i] for pair in pairs for i in pair]).astype(np.int64)
-    kept = np.full(len(seen), -1)
-    kept[np.searchsorted(seen, buckets)] = np.arange(len(buckets))
-    use = kept[terms] >= 0
+    own = [(k + row.astype(np.int64), term.astype(np.int64)) for k, row, term in _blocks(offsets, terms, numbered(buckets))]
+    rows, kept = (np.concatenate(side) for side in zip(*own)) if own else (np.zeros(0, int), np.zeros(0, int))
     machine = Machine(buckets, 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), FACTORS)))
-    machine.bias, machine.weights, machine.factors = fit(rows[use], kept[terms[use]], y, len(buckets))
+    machine.bias, machine.weights, machine.factors = fit(rows, kept, y, len(buckets))
     return machine
 
 

@@ -208,7 +208,8 @@ def test_stages_judge_rows_without_an_id(spark, tmp_path):
     rows = [(i, f"clean text number {i} about gardens and bread {i * 7} {i * 13}", "en", "a", 5) for i in range(60)]
     rows += [(i, f"you are a vile zorgon fool {i} {i * 3}", "en", "a", 5) for i in range(100, 160)]
     rows += [(None, "you are a vile zorgon fool again", "en", "a", 5), (3, "you are a vile zorgon fool too", "en", "a", 5),
-             (None, f"before {passage} after", "en", "a", 5), (None, "something else without harm", "en", "a", 5)]
+             (None, f"clean text number about gardens and bread {passage}", "en", "a", 5),
+             (None, "clean text number about gardens and bread without harm", "en", "a", 5)]
     docs = spark.createDataFrame(rows, SCHEMA)
     labels(spark, *[(i, 1, 0) for i in range(60)], *[(i, 0, 1) for i in range(100, 160)]).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -216,7 +217,7 @@ def test_stages_judge_rows_without_an_id(spark, tmp_path):
     assert calm.where("text LIKE '%zorgon%'").isEmpty()
     assert calm.where("doc_id = 3").count() == 1 and calm.where("doc_id IS NULL").count() == 2
     clean = corpus_pipeline.drop_contaminated(spark, calm, str(tmp_path))
-    assert [r.text for r in clean.where("doc_id IS NULL").collect()] == ["something else without harm"]
+    assert [r.text for r in clean.where("doc_id IS NULL").collect()] == ["clean text number about gardens and bread without harm"]
     # of two rows with one id, the copy of another document goes and the other stays
     long = " ".join(f"w{i}" for i in range(40))
     twins = spark.createDataFrame(
