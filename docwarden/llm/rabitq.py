@@ -9,6 +9,10 @@ only a vector whose true error passes the bound can be missed.
 
 Vectors and queries are dealt into blocks. A block of queries meets a block of vectors in one
 task, which returns each query's k best; those are merged by rank. Memory is that of two blocks.
+Original vectors travel with their codes, in the type they are stored in: reranking inside the task
+narrows a query's bound vector by vector, while candidates of codes alone, fetched by a later join,
+would be about one in a hundred of all pairs. What is shuffled is vectors times blocks of queries and
+queries times blocks of vectors, so a block of queries holds as many as a task can.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; fewer than k candidates give as many rows; ties go to the
@@ -28,9 +32,11 @@ from docwarden.llm.storage import bounded_batches, stored
 #: Bits of a code at least: vectors with fewer components are padded, which narrows the bounds.
 LEAST_BITS = 512
 ERROR_FACTOR = 2.6
-#: Components of one block of vectors and of one block of queries.
-VECTOR_BLOCK = 1 << 20
-QUERY_BLOCK = 1 << 17
+#: Code bits of one block of vectors, and components of one block of queries.
+VECTOR_BLOCK = 1 << 23
+QUERY_BLOCK = 1 << 20
+#: A query counts as that many components at least.
+LEAST_DIM = 64
 #: Queries estimated at once inside a task.
 AT_ONCE = 128
 
@@ -51,10 +57,13 @@ def encode(x: np.ndarray, turn: np.ndarray):
     return codes, norm, cosine
 
 
-def estimates(codes, norm, cosine, queries: np.ndarray, turn: np.ndarray):
+def signs_of(codes: np.ndarray, bits: int) -> np.ndarray:
+    return np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
+
+
+def estimates(signs, norm, cosine, queries: np.ndarray, turn: np.ndarray):
     """Estimated inner products (queries x vectors) and what they may be off by."""
     bits = turn.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
     turned = (queries @ turn).astype(np.float32)
     scale = (norm / cosine / np.sqrt(bits)).astype(np.float32)
     off = norm * np.sqrt(np.maximum(0, 1 - cosine**2)) / cosine / np.sqrt(bits - 1) * ERROR_FACTOR
@@ -65,8 +74,9 @@ def estimates(codes, norm, cosine, queries: np.ndarray, turn: np.ndarray):
 def best_in_block(ids, x, codes, norm, cosine, query_ids, queries, turn, k: int):
     """(query id, id, product) rows of each query's k best vectors of one block."""
     out = []
+    signs = signs_of(codes, turn.shape[1])
     for i in range(0, len(queries), AT_ONCE):
-        estimate, width = estimates(codes, norm, cosine, queries[i : i + AT_ONCE], turn)
+        estimate, width = estimates(signs, norm, cosine, queries[i : i + AT_ONCE], turn)
         own = ids[None, :] == query_ids[i : i + AT_ONCE, None]
         estimate[own] = -np.inf
         few = min(k, len(ids))
@@ -96,7 +106,7 @@ def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
 
 
 def _coded(dim: int, bits: int):
-    """Add codes and correction scalars to (block, id, vec) batches."""
+    """Add codes and correction scalars to (block, id, vec) batches; vectors stay as they are."""
 
     def run(batches):
         turn = rotation(dim, bits)
@@ -138,23 +148,25 @@ def nearest(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query row's ``k`` largest inner products."""
     bounded_batches(vectors.sparkSession)
-    vec = F.col(f"`{vector}`").cast("array<double>")
+    vec = F.col(f"`{vector}`")
+    kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
     given = vectors.select(
-        F.col(f"`{vec_id}`").cast("long").alias("id"), vec.alias("vec"),
+        F.col(f"`{vec_id}`").cast("long").alias("id"), vec.cast(kind).alias("vec"),
         F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id IS NOT NULL AND size(vec) > 0")
     dims = given.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     dim = dims[0].dim if dims else 1
     kept = given.where(usable(F.col("vec"), dim))
     bits = -(-max(dim, LEAST_BITS) // 8) * 8
     sizes = kept.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
-    v_blocks, q_blocks = (
-        max(1, -(-n * dim // most)) for n, most in ((sizes.n, VECTOR_BLOCK), (sizes.q, QUERY_BLOCK)))
+    # small tables are cut into one block of vectors per core, which repeats the queries only
+    v_blocks = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-sizes.n * bits // VECTOR_BLOCK))
+    q_blocks = max(1, -(-sizes.q * max(dim, LEAST_DIM) // QUERY_BLOCK))
 
     def block(n: int) -> Column:
         return F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
 
     coded = stored(kept.select(block(v_blocks).alias("block"), "id", "vec").mapInArrow(
-        _coded(dim, bits), "block int, id long, vec array<double>, code binary, norm double, cosine double"))
+        _coded(dim, bits), f"block int, id long, vec {kind}, code binary, norm double, cosine double"))
     asked = kept.where("is_query").select(block(q_blocks).alias("q_block"), "id", "vec")
     # every block of queries meets every block of vectors
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))

@@ -251,11 +251,29 @@ def test_nearest_recall_and_scores(spark, sf):
     assert hits >= 0.99 * 20 * len(got)
 
 
+@pytest.mark.parametrize("queries, vectors", [(1 << 20, 1 << 23), (256, 1 << 12)])
+def test_nearest_in_any_blocks(spark, monkeypatch, queries, vectors):
+    monkeypatch.setattr(rabitq, "QUERY_BLOCK", queries)
+    monkeypatch.setattr(rabitq, "VECTOR_BLOCK", vectors)
+    x = np.random.default_rng(3).normal(size=(300, 16)).astype(np.float32)
+    for kind in ("float", "double"):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+        got = collections.defaultdict(list)
+        for r in rabitq.nearest(table, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        for q in range(0, 300, 20):
+            exact = np.cumsum(x.astype(float) * x[q].astype(float), axis=1)[:, -1]
+            exact[q] = -np.inf
+            best = np.lexsort((np.arange(300), -exact))[:5]
+            assert got[q] == [(int(i), exact[i]) for i in best]
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(2000, 64)), rng.normal(size=(20, 64))
     turn = rabitq.rotation(64, 512)
-    estimate, width = rabitq.estimates(*rabitq.encode(x, turn), q, turn)
+    codes, norm, cosine = rabitq.encode(x, turn)
+    estimate, width = rabitq.estimates(rabitq.signs_of(codes, 512), norm, cosine, q, turn)
     assert (np.abs(estimate - q @ x.T) <= width).mean() > 0.98
     assert abs((estimate - q @ x.T).mean()) < 0.05
 
