@@ -124,13 +124,55 @@ NOTICES: tuple[tuple[str, str], ...] = (
      "Foundation, Inc."),
     ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual "
      "or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("Apache-1.1", "The Apache Software License, Version 1.1"),
+    ("BSD-4-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
+     "permitted provided that the following conditions are met: 1. Redistributions of source code must "
+     "retain the above copyright notice, this list of conditions and the following disclaimer. 2. "
+     "Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+     "and the following disclaimer in the documentation and/or other materials provided with the "
+     "distribution. 3. All advertising materials mentioning features or use of this software must display "
+     "the following acknowledgement: This product includes software developed by the organization. 4. "
+     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+     "promote products derived from this software without specific prior written permission."),
+    ("BSD-4-Clause", "Licensed under the BSD 4-Clause License."),
 )
+#: Public license identifiers, as they stand in SPDX tags: fixed values.
+SPDX_IDS = (
+    "0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause "
+    "BSD-3-Clause BSD-4-Clause BSL-1.0 CC0-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0 GPL-2.0-only GPL-2.0-or-later "
+    "GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 "
+    "LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL Unlicense WTFPL Zlib").split()
+#: Elements of Creative Commons licenses, with their names in notices.
+CC_ELEMENTS = {"NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+CC_KINDS = ((), ("NC",), ("SA",), ("ND",), ("NC", "SA"), ("NC", "ND"))
+#: Versions of Creative Commons licenses and what follows the version in a notice.
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+
+
+def _by_rule() -> tuple[tuple[str, str], ...]:
+    """SPDX tags, and Creative Commons notices of every kind and version that are not listed above."""
+    tags = list(SPDX_IDS)
+    out = []
+    for version, scope in CC_VERSIONS.items():
+        for kind in CC_KINDS:
+            name = "-".join(["CC-BY", *kind, version])
+            tags.append(name)
+            if version != "4.0":
+                long = "-".join(["Attribution", *(CC_ELEMENTS[e] for e in kind)])
+                out.append((name, f"Licensed under CC {'-'.join(['BY', *kind])} {version}."))
+                out.append((name, f"This work is licensed under a Creative Commons {long} {version} {scope} License."))
+    return (*out, *((name, f"SPDX-License-Identifier: {name}") for name in tags))
+
+
+ALL_NOTICES = NOTICES + _by_rule()
 #: Words that make a license another one where a notice has them and a template has not.
 VARIANTS = frozenset("affero lesser library nc nd sa noncommercial noderivatives noderivs sharealike".split())
 #: Words of a template that must be matched, whatever its coverage.
-TELLING = VARIANTS | frozenset("apache bsd by cc commons eclipse endorse gnu isc later mit mozilla promote".split())
+TELLING = VARIANTS | frozenset("advertising apache bsd by cc commons eclipse endorse gnu isc later mit mozilla promote".split())
 #: Templates that name a version by a digit have one of these words.
 VERSIONED = frozenset("bsd cc creative v version".split())
+#: Words of a notice that only names its license.
+SHORT = 12
 #: Words of a text looked at for each word of a template.
 STRETCH = 1.5
 
@@ -193,6 +235,8 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
 def _telling(template: str) -> set[str]:
     """Words of a template that tell its license from others."""
     own = set(re.findall("[a-z0-9]+", template.lower()))
+    if "spdx" in own:
+        return own
     versions = {w for w in own if w in "123456789"} if own & VERSIONED else set()
     # list numbers of a text whose head names the version once
     return own & TELLING | (versions if len(versions) == 1 or "definitions" not in own else {"2"})
@@ -217,6 +261,7 @@ class Templates:
         self.variants = _hashes(VARIANTS)
         every = [np.unique(np.array(w, np.uint64)) for w in self.words]
         self.vocab = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        self.told = [np.isin(self.vocab, np.array(sorted(t), np.uint64)) for t in self.telling]
         self.holds = np.stack([np.isin(self.vocab, w) for w in every]) if every else np.zeros((0, 0), bool)
 
     def found_in(self, found: Words) -> list[tuple[int, int, int, int, int]]:
@@ -226,8 +271,12 @@ class Templates:
         at = np.minimum(np.searchsorted(self.vocab, found.hashes), len(self.vocab) - 1)
         hit = np.flatnonzero(self.vocab[at] == found.hashes)
         row = np.searchsorted(found.row_ptr, hit, "right") - 1
+        seen = np.zeros(len(self.vocab), bool)
+        seen[at[hit]] = True
         out = []
         for k, template in enumerate(self.words):
+            if not seen[self.told[k]].all():
+                continue
             own = self.holds[k][at[hit]]
             place, of = hit[own], row[own]
             need = max(1, int(np.ceil(self.coverage * len(template) - 1e-9)))
@@ -260,7 +309,11 @@ class Templates:
     def _tells(self, k: int, word, pairs) -> bool:
         """Whether all telling words of a template are matched and no word of a variant stands between."""
         template = self.words[k]
-        if not self.telling[k] <= {template[j] for _, j in pairs}:
+        matched = {j for _, j in pairs}
+        if not self.telling[k] <= {template[j] for j in matched}:
+            return False
+        # in a short notice each of them counts, as both numbers of a version 1.1
+        if len(template) <= SHORT and any(w in self.telling[k] and j not in matched for j, w in enumerate(template)):
             return False
         span = {int(word(i)) for i in range(pairs[0][0], pairs[-1][0])}
         return not (span & self.variants) - set(template)
@@ -295,7 +348,7 @@ def _scan(notices, coverage: float):
 
 def license_spans(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", coverage: float = 0.8,
-    notices: tuple[tuple[str, str], ...] = NOTICES,
+    notices: tuple[tuple[str, str], ...] = ALL_NOTICES,
 ) -> DataFrame:
     """``doc_id, license, coverage, first_word, last_word, matched`` of every license notice."""
     bounded_batches(docs.sparkSession)

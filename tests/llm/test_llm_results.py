@@ -210,20 +210,30 @@ def test_variants_are_told_apart():
              "promote products derived from this software without specific prior written permission.")
     cases = {
         f"{bsd} {third}": ["BSD-3-Clause"], bsd: ["BSD-2-Clause"], "Licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0"],
-        "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"], "Licensed under CC BY 4.0": ["CC-BY-4.0"], "Licensed under CC BY 3.0": [],
+        "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"], "Licensed under CC BY 4.0": ["CC-BY-4.0"],
         "Licensed under the Eclipse Public License, Version 2.0": ["EPL-2.0"],
         "Licensed under the Other Public License, Version 2.0": [], "Licensed under the Apache License, Version 2": ["Apache-2.0"],
         "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
         "This work is licensed under the GNU Library General Public License, version 2.": [],
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc.": ["GPL-3.0"],
     }
-    templates = licenses.Templates(licenses.NOTICES, 0.8)
+    cases |= {
+        "Licensed under CC BY 3.0": ["CC-BY-3.0"], "Licensed under CC BY 5.0": [], "Licensed under CC BY-SA 2.5": ["CC-BY-SA-2.5"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": ["CC-BY-SA-3.0"],
+        "# SPDX-License-Identifier: MIT": ["MIT"], "// SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"],
+        "SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"], "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0"],
+        "SPDX-License-Identifier: LGPL-2.1-only": ["LGPL-2.1-only"], "SPDX-License-Identifier: CC-BY-NC-4.0": ["CC-BY-NC-4.0"],
+        "SPDX-License-Identifier: MIT-0 and more": ["MIT-0"], "SPDX-License-Identifier: Proprietary": [],
+        "The SPDX license identifier is not a tag": [], "The Apache Software License, Version 1.1": ["Apache-1.1"],
+        "The Apache Software License, Version 3.1": [], "Licensed under the BSD 4-Clause License": ["BSD-4-Clause"],
+    }
+    templates = licenses.Templates(licenses.ALL_NOTICES, 0.8)
     found = tokens.words(pa.array(list(cases)), tokens.NOT_ALPHANUMERIC)
     got = [[] for _ in cases]
     for row, k, *_ in templates.found_in(found):
         got[row].append(templates.names[k])
     assert got == list(cases.values())
-    for name, text in licenses.NOTICES:
+    for name, text in licenses.ALL_NOTICES:
         found = tokens.words(pa.array([text]), tokens.NOT_ALPHANUMERIC)
         assert [templates.names[s[1]] for s in templates.found_in(found)] == [name]
 
