@@ -2,11 +2,10 @@
 
 A page is read as lines, one per block of text. Zones come from its markup: lines inside an
 article or main element, lines inside elements for menus, headers, footers, sidebars, adverts,
-notices, forms and comments, and open lines. Pages are paired by URL: with the first and the last
-page, in path order, of the deepest directory above them that has another page, looked for in
-each parent directory in turn up to the whole host. The lines of a page outside its article are
-aligned with those of its partners by longest common subsequence, and lines that both have in the
-same order are deleted.
+notices, forms and comments, and open lines. Pages of a host stand in the order of their paths, and
+a page is paired with the nearest one: that page before or after it whose path shares the longer
+beginning with its own. The lines of a page outside its article are aligned with those of its
+partner by longest common subsequence, and lines that both have in the same order are deleted.
 
 Differencing alone cannot give whole texts: paragraphs that two articles share would go, and
 menus that differ between pages, or stand on a host's only page, would stay. So lines inside an
@@ -14,13 +13,14 @@ article element are never deleted for being shared, and lines that markup names
 are deleted whether shared or not. Differencing decides about every open line, on pages with an
 article element too: their text may stand outside of it.
 
-Partners are one row per directory, with line hashes instead of lines; minima and maxima are
-grouped with map-side combining, so a host with very many pages is no hot group. Texts are not
-shuffled unless the table of directories outgrows Spark's own limit for broadcasts.
+A page is parsed once. The order is a distributed prefix sum over (host, path), so a host with very many
+pages spans many tasks, and neighbours are found by joins on host and place, which no two pages
+share. What is shuffled for it is line hashes; texts are joined with them only where a page has open
+lines. Many rows of one URL are a skewed join with one lookup row, which adaptive execution splits.
 
 Defined cases: a null or empty page has an empty text; a null URL belongs to an empty host; a page
-without partner keeps its open lines; repeated rows are pages of their own, but equal rows (same
-URL and id) are no partners; an empty table gives an empty table.
+without partner keeps its open lines; pages of one URL, and pages of a host whose lines outside the article
+are all equal, are no partners of each other; pages without URL have none; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ from __future__ import annotations
 import html as html_module
 import re
 from collections import Counter
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docwarden.llm.ranks import ranked
 from docwarden.llm.storage import bounded_batches, stored
 from docwarden.llm.tokens import signed, words
 from docwarden.llm.urls import host_of, path_of
@@ -298,83 +300,81 @@ def _line_hashes(lines: list[str]) -> np.ndarray:
     return signed(words(pa.array(lines, pa.string()), b"", fold=False).hashes)
 
 
-def _outside(batches):
-    """(page id, url, directory keys, hashes of lines outside the article) of each page."""
+def _read(batches):
+    """(host, path, page id, url, kept lines, which line outside the article each is, hashes of all
+    lines outside the article) of each page; -1 stands for lines inside it."""
     for batch in batches:
-        held = [[t for z, t in page_lines(p or "") if z != MAIN_ZONE] for p in batch.column(4).to_pylist()]
-        sizes = np.array([len(x) for x in held], np.int32)
-        flat = _line_hashes([t for x in held for t in x])
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        held = [page_lines(p or "") for p in batch.column(4).to_pylist()]
+        outside = [[t for z, t in lines if z != MAIN_ZONE] for lines in held]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in outside])]).astype(np.int32)
+        hashes = _line_hashes([t for x in outside for t in x])
+        kept, places = [], []
+        for lines in held:
+            at = np.cumsum([z != MAIN_ZONE for z, _ in lines]) - 1
+            kept.append([t for z, t in lines if z <= OPEN_ZONE])
+            places.append([-1 if z == MAIN_ZONE else int(at[i]) for i, (z, _) in enumerate(lines) if z <= OPEN_ZONE])
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-            ["host", "directory", "path", "page_id", "lines"])
+            [*batch.columns[:4], pa.array(kept, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())),
+             pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))],
+            ["host", "path", "page_id", "url", "kept", "places", "outside"])
 
 
-def _texts(kept: int):
-    """Delete shared and furniture lines; columns: kept ones, html, then the partners' line hashes."""
+def nearer(path: str, before: str | None, after: str | None) -> int:
+    """0 if ``before`` shares the longer beginning with ``path`` (or as long a one), 1 if ``after`` does."""
+    shared = [-1 if p is None else len(commonprefix([path, p])) for p in (before, after)]
+    return int(shared[1] > shared[0])
 
-    def run(batches):
-        for batch in batches:
-            partners = [c.to_pylist() for c in batch.columns[kept + 1 :]]
-            out = []
-            for row, page in enumerate(batch.column(kept).to_pylist()):
-                lines = page_lines(page or "")
-                own = [i for i, (z, _) in enumerate(lines) if z != MAIN_ZONE]
-                deleted = set()
-                hashes = _line_hashes([lines[i][1] for i in own]).tolist()
-                for partner in partners:
-                    if partner[row]:
-                        deleted |= {own[k] for k in common_lines(hashes, partner[row])}
-                out.append("\n".join(t for i, (z, t) in enumerate(lines) if z <= OPEN_ZONE and i not in deleted))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:kept], pa.array(out, pa.string())],
-                [*batch.schema.names[:kept], "text"])
 
-    return run
+def _unshared(batches):
+    """Delete open lines that the nearest page has in the same order."""
+    for batch in batches:
+        rows = batch.to_pydict()
+        out = []
+        for i, kept in enumerate(rows["kept"]):
+            near = ("before", "after")[nearer(rows["path"][i], rows["before_path"][i], rows["after_path"][i])]
+            shared = common_lines(rows["outside"][i], rows[f"{near}_lines"][i] or [])
+            out.append("\n".join(t for t, k in zip(kept, rows["places"][i], strict=True) if k not in shared))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
-def directory_of(path: Column) -> Column:
-    return F.regexp_extract(path, r"(?s)^(.*/)", 1)
+def neighbours(read: DataFrame) -> DataFrame:
+    """``host, url`` and path and lines of the pages before and after it on its host, by path.
+
+    A URL is one page, whatever rows it has (of revisions, the one with the greatest lines stands for it). URLs
+    of a host with the same lines are copies, which say nothing about what is shared: they are one place,
+    that of their least URL, so neighbours always differ.
+    """
+    urls = stored(read.where("url IS NOT NULL").groupBy("host", "path", "url").agg(F.max("outside").alias("lines")))
+    places = urls.groupBy("host", "lines").agg(F.min(F.struct("path", "url")).alias("least"))
+    order = stored(ranked(places.select("host", "least.path", "least.url", "lines"), "host", ["path", "url"]).select(
+        "host", "path", "lines", "idx"))
 
+    def beside(name: str, step: int) -> DataFrame:
+        return order.select("host", (F.col("idx") + step).alias("idx"),
+                            F.col("path").alias(f"{name}_path"), F.col("lines").alias(f"{name}_lines"))
 
-def directories_above(directory: Column) -> Column:
-    """A directory and its parents, the host ('') first."""
-    parts = F.split(directory, "/")
-    return F.concat(F.array(F.lit("")), F.when(F.size(parts) > 1, F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/")),
-    )).otherwise(F.array().cast("array<string>")))
+    found = order.drop("path").join(beside("before", 1), ["host", "idx"], "left").join(
+        beside("after", -1), ["host", "idx"], "left")
+    return urls.select("host", "url", "lines").join(found, ["host", "lines"]).select(
+        "host", "url", *[f"{n}_{c}" for n in ("before", "after") for c in ("path", "lines")])
 
 
 def main_texts(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``."""
     bounded_batches(pages.sparkSession)
     u, pid = F.col(f"`{url}`"), F.col(f"`{page_id}`")
-    placed = pages.select(
-        host_of(u).alias("host"), directory_of(path_of(u)).alias("directory"), path_of(u).alias("path"),
-        pid.alias("page_id"), u.alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
-    kind = dict(placed.dtypes)["page_id"]
-    outside = placed.select("host", "directory", "path", "page_id", "html").mapInArrow(
-        _outside, f"host string, directory string, path string, page_id {kind}, lines array<long>")
-    order = F.struct("path", "page_id")
-    ends = [f(order).alias(f"{n}_key") for n, f in (("first", F.min), ("last", F.max))]
-    ends += [f("lines", order).alias(f"{n}_lines") for n, f in (("first", F.min_by), ("last", F.max_by))]
-    by_directory = stored(outside.groupBy("host", "directory").agg(*ends))
-    above = by_directory.select(
-        "host", "directory", F.posexplode(directories_above(F.col("directory"))).alias("depth", "above"),
-        *[f"{n}_{c}" for c in ("key", "lines") for n in ("first", "last")])
-    several = stored(above.groupBy(F.col("host").alias("h"), F.col("above").alias("d")).agg(
-        F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"),
-        F.min_by("first_lines", "first_key").alias("first_lines"), F.max_by("last_lines", "last_key").alias("last_lines"),
-    ).where("first_key <> last_key"))
-    deepest = above.select("host", "directory", "depth", "above").join(
-        several.select("h", "d"), (F.col("host") == F.col("h")) & (F.col("above") == F.col("d"))).groupBy(
-        "host", "directory").agg(F.max_by("above", "depth").alias("above"))
-    partners = stored(deepest.join(several, (F.col("host") == F.col("h")) & (F.col("above") == F.col("d"))).select(
-        F.col("host").alias("p_host"), F.col("directory").alias("p_directory"),
-        "first_key", "last_key", "first_lines", "last_lines"))
-    joined = placed.join(
-        partners, (F.col("host") == F.col("p_host")) & (F.col("directory") == F.col("p_directory")), "left")
-    others = [F.when(F.col(f"{n}_key") != order, F.col(f"{n}_lines")).alias(f"{n}_lines") for n in ("first", "last")]
-    texts = joined.select("page_id", "url", "html", *others).mapInArrow(
-        _texts(2), f"page_id {kind}, url string, text string")
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    given = pages.select(
+        host_of(u).alias("host"), path_of(u).alias("path"), pid.alias("page_id"), u.cast("string").alias("url"),
+        F.col(f"`{html}`").cast("string").alias("html"))
+    kind = dict(given.dtypes)["page_id"]
+    read = stored(given.mapInArrow(
+        _read, f"host string, path string, page_id {kind}, url string, kept array<string>, places array<int>, "
+        "outside array<long>"))
+    opened = F.exists("places", lambda k: k >= 0)
+    whole = read.where(~opened).select("page_id", "url", F.array_join("kept", "\n").alias("text"))
+    partly = read.where(opened).join(neighbours(read), ["host", "url"], "left").select(
+        "page_id", "url", "path", "kept", "places", "outside",
+        "before_path", "before_lines", "after_path", "after_lines").mapInArrow(
+        _unshared, f"page_id {kind}, url string, text string")
+    return whole.unionByName(partly).withColumn("n_chars", F.length("text").cast("long"))

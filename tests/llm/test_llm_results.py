@@ -2,6 +2,7 @@
 
 import collections
 import html as html_module
+import itertools
 import random
 import re
 
@@ -525,6 +526,63 @@ def test_differencing_beside_an_article(spark):
     assert got == {1: "Card\nAlpha text", 2: "Card\nBeta text", 3: "Card\nGamma text", 4: "Card\nDelta text", 5: "In\nOut"}
 
 
+def test_nearest_pages_by_force(spark):
+    rng = random.Random(8)
+    words = ["menu", "weather", "offer", "local", "legal", *(f"own{i}" for i in range(20))]
+    rows = []
+    for i in range(160):
+        path = "/".join(rng.choice(["a", "ab", "b", "news"]) for _ in range(rng.randint(0, 3)))
+        url = rng.choice([f"https://h{i % 3}.org/{path}/{rng.randint(0, 30)}", f"https://h{i % 3}.org/{path}?id={rng.randint(0, 9)}"])
+        body = [rng.choice(words) for _ in range(rng.randint(0, 6))]
+        card = "<article>Card</article>" if rng.random() < 0.3 else ""
+        rows.append((i % 90, None if rng.random() < 0.05 else url, "<nav>Top</nav>" + card + "".join(f"<p>{w}" for w in body)))
+    rows += rows[:10] + [(None, "https://h0.org/x", "<p>menu<p>own1"), (7, "https://h1.org/x", None)]
+    split = re.compile(r"://([^/?#]*)([^?#]*)")
+    lines = lambda page: [(z, t) for z, t in html_text.page_lines(page or "")]
+    outside = lambda page: [t for z, t in lines(page) if z != html_text.MAIN_ZONE]
+    code = lambda page: html_text._line_hashes(outside(page)).tolist()
+    urls = {}
+    for _, url, page in rows:
+        if url:
+            urls[url] = max(urls.get(url, []), code(page))
+    expected = []
+    for pid, url, page in rows:
+        partner = []
+        if url:
+            host, path = split.search(url).groups()
+            least = {}
+            for other, theirs in urls.items():
+                h, p = split.search(other).groups()
+                if h == host:
+                    key = tuple(theirs)
+                    least[key] = min(least.get(key, (p, other)), (p, other))
+            order = sorted((place, key) for key, place in least.items())
+            at = [key for _, key in order].index(tuple(urls[url]))
+            beside = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order)]
+            shared = [sum(1 for _ in itertools.takewhile(lambda c: c[0] == c[1], zip(path, p))) for (p, _), _ in beside]
+            if beside:
+                partner = list(beside[shared.index(max(shared))][1])
+        gone, own = html_text.common_lines(code(page), partner), -1
+        text = []
+        for zone, t in lines(page):
+            own += zone != html_text.MAIN_ZONE
+            if zone == html_text.MAIN_ZONE or (zone == html_text.OPEN_ZONE and own not in gone):
+                text.append(t)
+        expected.append((pid, url, "\n".join(text)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("before_path", F.lit(1))
+    got = [(r.page_id, r.url, r.text) for r in html_text.main_texts(pages).collect()]
+    assert collections.Counter(got) == collections.Counter(expected)
+    assert any(t != "\n".join(x for z, x in lines(p) if z <= html_text.OPEN_ZONE) for (_, _, t), (_, _, p) in zip(expected, rows))
+
+
+def test_copies_of_a_page_are_no_partners(spark):
+    page = "<p>Menu<p>Long text<p>End"
+    rows = [(i, f"https://h.org/a/{i}", page) for i in range(5)] + [(9, "https://h.org/b", "<p>Menu<p>Other<p>End")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_texts(pages).collect()}
+    assert got == {**{i: "Long text" for i in range(5)}, 9: "Other"}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_common_lines_are_longest(a, b):
