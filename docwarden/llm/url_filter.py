@@ -10,7 +10,10 @@ by ``margin`` of what a pure seed holds without any link.
 Personalised PageRank divides a blocked host's distrust among all hosts that link to it, so the
 more there are, the less each gets. With ``by_own_links`` a linker's distrust is instead the mean
 over its own links of what they lead to: whoever links to blocked hosts only is blocked, however
-many others do so, and one such link among a thousand counts a thousandth.
+many others do so, and one such link among a thousand counts a thousandth. A mean divides no mass, so
+blocked hosts that link to one another would raise each other without end; there, a host takes over
+distrust only for the share of it that is no seed, which keeps every score at or below that of a pure
+seed, the scale of ``margin``.
 
 Host edges are grouped from the pages' absolute links before they are joined; a round joins one
 row per host with the edges and sums by host, so a host with very many pages or links is combined
@@ -78,12 +81,17 @@ def propagate(
     """``host, score``: personalised PageRank of ``seeds`` (host, seed) along ``edges`` (src, dst, links).
 
     Scores go from ``src`` to ``dst`` by the share of a link among those of ``src``, or among those
-    of the column ``shared_by`` names. Rounds go on until scores move by less than ``tolerance`` in
+    of the column ``shared_by`` names; by those of ``dst``, only for the share of ``dst`` that is no seed,
+    so no score exceeds a pure seed's. Rounds go on until scores move by less than ``tolerance`` in
     all. A round multiplies what is left to move by ``damping`` where mass is divided, so after
     ``MAX_ROUNDS`` it is far below any tolerance; scores that still move are an error.
     """
     out = edges.groupBy(shared_by).agg(F.sum("links").alias("all_links"))
     weighted = stored(edges.join(out, shared_by).select("src", "dst", (F.col("links") / F.col("all_links")).alias("w")))
+    if shared_by == "dst":
+        open_share = seeds.select(F.col("host").alias("dst"), (1 - F.col("seed")).alias("open"))
+        weighted = stored(weighted.join(open_share, "dst", "left").select(
+            "src", "dst", (F.col("w") * F.coalesce("open", F.lit(1.0))).alias("w")).where("w > 0"))
     start = seeds.select("host", ((1 - damping) * F.col("seed")).alias("start"))
     scores = stored(start.select("host", F.col("start").alias("score")))
     if weighted.isEmpty():

@@ -459,6 +459,60 @@ def test_verdict_does_not_depend_on_other_linkers(spark, tmp_path):
     assert {h for h, v in got.items() if v == "block"} == {"bad.net", "alone.net"} | {f"farm{i}.info" for i in range(60)}
 
 
+def test_registered_verdicts_by_force(spark, tmp_path):
+    rng = random.Random(4)
+    hosts = [*(f"b{i}.net" for i in range(5)), *(f"a{i}.example.net" for i in range(4)), *(f"p{i}.org" for i in range(6)),
+             *(f"h{i}.info" for i in range(40))]
+    pages, links = [], collections.Counter()
+    for host in hosts * 3:
+        to = rng.sample([h for h in hosts[:45] if h != host], rng.randint(0, 4))
+        if host in hosts[45:]:
+            to = rng.sample(hosts[:5], 2)  # nobody links to these
+        if host.endswith(".net"):
+            to = list({*to, *(h for h in hosts[:5] if h != host and rng.random() < 0.7)})
+        path = rng.choice(["/en/", "/fr/", "/x/"])
+        pages.append((len(pages), f"https://{host}{path}", "".join(f'<a href="https://{h}/">x</a>' for h in to)))
+        links.update((host, h) for h in to)
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows.write.parquet(f"{tmp_path}/pages.parquet")
+    fits = {}
+    for pid, url, _ in pages:
+        host, path = re.search(r"://([^/]*)(.*)", url).groups()
+        fit = [x for x in RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        fits[pid] = host, max(fit, key=lambda x: len(str(x)), default=None)
+    share = lambda h, v: np.mean([r is not None and r.allow == v for g, r in fits.values() if g == h])
+    allowed, blocked = ({h: share(h, v) for h in hosts} for v in (True, False))
+    out = collections.Counter()
+    for (a, _), n in links.items():
+        out[a] += n
+    trust, distrust = ({h: 0.0 for h in hosts} for _ in range(2))
+    for _ in range(300):
+        trust = {h: 0.15 * allowed[h] + 0.85 * sum(trust[a] * n / out[a] for (a, b), n in links.items() if b == h) for h in hosts}
+        distrust = {h: 0.15 * blocked[h] + 0.85 * (1 - blocked[h]) * sum(
+            distrust[b] * n / out[a] for (a, b), n in links.items() if a == h) for h in hosts}
+    assert max(distrust.values()) <= 0.15 + 1e-12 and len({round(d, 6) for d in distrust.values()}) > 10
+    decided = set()
+    for r in QUERIES["op8_url_filter"](spark, str(tmp_path)).collect():
+        host, rule = fits[r.page_id]
+        assert abs(r.trust - trust[host]) < 1e-5 and abs(r.distrust - distrust[host]) < 1e-5
+        edge = distrust[host] - trust[host] - 0.075
+        expected = "allow" if (rule.allow if rule else edge < 0) else "block"
+        assert r.verdict == expected or (rule is None and abs(edge) < 1e-5)
+        decided |= {expected} if rule is None else set()
+    assert decided == {"allow", "block"}
+
+
+def test_blocked_hosts_do_not_raise_each_other(spark):
+    link = lambda h: f'<a href="https://{h}/">x</a>'
+    one_of_ten = link("bad.net") + "".join(link(f"to{i}.info") for i in range(9))
+    rows = [("bad.net", link("worse.net")), ("worse.net", link("bad.net")), ("reader.info", one_of_ten), ("friend.info", link("bad.net"))]
+    pages = spark.createDataFrame([(i, f"https://{h}/x", t) for i, (h, t) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.host: r for r in judged(pages, RULES, by_own_links=True).collect()}
+    assert {h: r.verdict for h, r in got.items()} == {
+        "bad.net": "block", "worse.net": "block", "reader.info": "allow", "friend.info": "block"}
+    assert abs(got["bad.net"].distrust - 0.15) < 1e-6 and abs(got["reader.info"].distrust - 0.01275) < 1e-6
+
+
 def test_rules_on_pages(spark, sf):
     rows = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op8_url_filter"](spark, sf).collect():
