@@ -312,6 +312,9 @@ class Templates:
         matched = {j for _, j in pairs}
         if not self.telling[k] <= {template[j] for j in matched}:
             return False
+        # a tag stands in one piece, or the second license of an expression would count
+        if set(template) == self.telling[k] and pairs[-1][0] - pairs[0][0] >= len(template):
+            return False
         # in a short notice each of them counts, as both numbers of a version 1.1
         if len(template) <= SHORT and any(w in self.telling[k] and j not in matched for j, w in enumerate(template)):
             return False

@@ -224,7 +224,8 @@ def test_variants_are_told_apart():
         "# SPDX-License-Identifier: MIT": ["MIT"], "// SPDX-License-Identifier: Apache-2.0": ["Apache-2.0"],
         "SPDX-License-Identifier: GPL-2.0-or-later": ["GPL-2.0-or-later"], "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0"],
         "SPDX-License-Identifier: LGPL-2.1-only": ["LGPL-2.1-only"], "SPDX-License-Identifier: CC-BY-NC-4.0": ["CC-BY-NC-4.0"],
-        "SPDX-License-Identifier: MIT-0 and more": ["MIT-0"], "SPDX-License-Identifier: Proprietary": [],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT"], "a license spdx-license-identifier: mpl-2.0 license": ["MPL-2.0"],
+        "SPDX-License-Identifier: Other, see Apache 2.0": [], "SPDX-License-Identifier: MIT-0 and more": ["MIT-0"], "SPDX-License-Identifier: Proprietary": [],
         "The SPDX license identifier is not a tag": [], "The Apache Software License, Version 1.1": ["Apache-1.1"],
         "The Apache Software License, Version 3.1": [], "Licensed under the BSD 4-Clause License": ["BSD-4-Clause"],
     }
