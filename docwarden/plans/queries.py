@@ -1312,10 +1312,9 @@ def semantic_signals(spark, d):
 
 
 def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """The files of a table, which is one file or a folder of files: only a glob path takes both."""
     schema = read_table(spark, d, table).schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
-    )
+    return spark.readStream.schema(schema).parquet(f"{d}/[{table[0]}]{table[1:]}.parquet")
 
 
 def _run_to_table(rows: DataFrame, folder: str) -> DataFrame:

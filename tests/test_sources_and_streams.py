@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docwarden.operators import detect, monitoring, risk
 from docwarden.plans.enriched import enriched_documents
+from docwarden.plans.queries import QUERIES
 from docwarden.sources import files, pages, sinks
 from docwarden.sources.csv_text import csv_row_documents, flatten_csv, infer_delimiter
 from docwarden.streaming import jobs, keyed
@@ -137,6 +138,15 @@ def test_stream_scan_equals_batch(spark, sf, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["stream_persist", "stream_monitor"])
+def test_stream_queries_read_tables_that_are_folders(spark, sf, tmp_path, name):
+    for table in ("documents", "conversations", "events"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    got, want = QUERIES[name](spark, str(tmp_path)), QUERIES[name](spark, sf)
+    assert not want.isEmpty()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def _events(spark, rows, folder):
     schema = "analysis_id string, created_at timestamp, status string, model_provider string, latency_ms int"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
