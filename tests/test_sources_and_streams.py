@@ -138,7 +138,7 @@ def test_stream_scan_equals_batch(spark, sf, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["stream_persist", "stream_monitor"])
+@pytest.mark.parametrize("name", ["stream_scan", "stream_persist", "stream_monitor", "stream_scan_monitor"])
 def test_stream_queries_read_tables_that_are_folders(spark, sf, tmp_path, name):
     for table in ("documents", "conversations", "events"):
         spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
