@@ -16,6 +16,7 @@ from docwarden.catalog import (
     CONFIDENTIAL_CATEGORY, DEFAULT_QUERY, DETECTORS, PATTERNS, CONTEXT_PATTERNS,
 )
 from docwarden.functions.masking import mask_value, redacted
+from docwarden.functions.once import computed_once
 from docwarden.functions.text import whole_percent
 from docwarden.operators import (
     batches, compliance, detect, history, models, monitoring, nlp, qa, retrieval, risk, summary,
@@ -1189,6 +1190,18 @@ def persist_once(spark, d):
 # --- ingest -----------------------------------------------------------------
 
 
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers dealt over all cores: a task per file or row group would flatten far more than it reads."""
+    rows = read_table(spark, d, "customer")
+    return rows.repartition(max(rows.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+
+
+def _flattened(files: DataFrame) -> DataFrame:
+    """Add the delimiter ``d`` and the flattened text ``f`` of each CSV text ``t``, each found once."""
+    return computed_once(computed_once(files, {"d": infer_delimiter(F.col("t"))}),
+                         {"f": flatten_csv(F.col("t"), F.col("d"))})
+
+
 @query
 def csv_flatten(spark, d):
     """Every customer, with all its columns, as a small ragged CSV text."""
@@ -1197,9 +1210,7 @@ def csv_flatten(spark, d):
     text = F.concat(
         F.lit("id;name;;balance;segment\n"), full, F.lit("\n\n"), full, F.lit(";extra\n"),
     )
-    rows = read_table(spark, d, "customer").select("c_custkey", text.alias("t")).withColumn(
-        "d", infer_delimiter(F.col("t"))
-    ).withColumn("f", flatten_csv(F.col("t"), F.col("d")))
+    rows = _flattened(_customers(spark, d).select("c_custkey", text.alias("t")))
     return rows.select("c_custkey", F.col("f.text").alias("text"), "f.rows", "f.columns")
 
 
@@ -1211,8 +1222,7 @@ def csv_delimiters(spark, d):
     quoted = F.concat(F.lit('"a'), mark, F.lit(' ""b"""'))
     text = F.concat(F.concat_ws("\n", F.concat(F.lit("id"), mark, F.lit("name"), mark, F.lit("note")),
                                 F.concat(F.col("c_custkey").cast("string"), mark, F.col("c_name"), mark, quoted)))
-    rows = read_table(spark, d, "customer").select("c_custkey", text.alias("t")).withColumn(
-        "d", infer_delimiter(F.col("t"))).withColumn("f", flatten_csv(F.col("t"), F.col("d")))
+    rows = _flattened(_customers(spark, d).select("c_custkey", text.alias("t")))
     return rows.select("c_custkey", F.col("d").alias("delimiter"), F.col("f.text").alias("text"))
 
 

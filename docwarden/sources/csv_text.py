@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docwarden.functions.once import named
 from docwarden.functions.text import first_chars
 
 SAMPLE_CHARS = 2_048
@@ -28,23 +29,38 @@ def infer_delimiter(text: Column, chars: int | None = SAMPLE_CHARS) -> Column:
     """
     sample = F.regexp_replace(first_chars(text, chars), r'"[^"]*"', "")
     lines = F.filter(F.split(sample, r"\r\n|\n|\r", -1), lambda s: s != "")
-    cut = F.lit(False) if chars is None else (F.length(text) > chars) & (F.size(lines) > 1)
-    whole = F.when(cut, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    cut = F.lit(False) if chars is None else F.length(text) > chars
 
-    def vote(delimiter: str, rank: int) -> Column:
+    def whole(found: Column) -> Column:
+        return F.when(cut & (F.size(found) > 1), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+
+    def vote(found: Column, delimiter: str, rank: int) -> Column:
         counts = F.transform(
-            whole,
+            found,
             lambda s: F.length(s) - F.length(F.replace(s, F.lit(delimiter), F.lit(""))),
         )
-        head = F.coalesce(F.try_element_at(counts, F.lit(1)), F.lit(0))
-        agree = F.size(F.filter(counts, lambda n: n == head))
-        return F.struct(
-            F.when(head > 0, agree).otherwise(0).alias("votes"), head.alias("n"),
-            F.lit(-rank).alias("rank"), F.lit(delimiter).alias("d"),
-        )
 
-    best = F.array_max(F.array(*[vote(d, i) for i, d in enumerate(DELIMITERS)]))
-    return F.when(best["votes"] > 0, best["d"]).otherwise(",")
+        def headed(counts: Column) -> Column:
+            return F.struct(
+                counts.alias("counts"),
+                F.coalesce(F.try_element_at(counts, F.lit(1)), F.lit(0)).alias("head"),
+            )
+
+        def voted(x: Column) -> Column:
+            agree = F.size(F.filter(x["counts"], lambda n: n == x["head"]))
+            return F.struct(
+                F.when(x["head"] > 0, agree).otherwise(0).alias("votes"), x["head"].alias("n"),
+                F.lit(-rank).alias("rank"), F.lit(delimiter).alias("d"),
+            )
+
+        return named(named(counts, headed), voted)
+
+    def elected(found: Column) -> Column:
+        best = F.array_max(F.array(*[vote(found, d, i) for i, d in enumerate(DELIMITERS)]))
+        return named(best, lambda b: F.when(b["votes"] > 0, b["d"]).otherwise(","))
+
+    # Each step is named: a lambda would work out what it uses anew for every element.
+    return named(named(lines, whole), elected)
 
 
 def _class(delimiter: Column, extra: str) -> Column:
@@ -121,10 +137,10 @@ def flatten_csv(text: Column, delimiter: Column) -> Column:
 
         body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)
         lines = F.when(F.size(rows) == 1, F.array(F.array_join(header, "; "))).otherwise(body)
-        return F.struct(
-            F.array_join(lines, "\n").alias("text"), (F.size(rows) - 1).alias("rows"),
-            F.size(header).alias("columns"), lines.alias("lines"),
-        )
+        return named(lines, lambda listed: F.struct(
+            F.array_join(listed, "\n").alias("text"), (F.size(rows) - 1).alias("rows"),
+            F.size(header).alias("columns"), listed.alias("lines"),
+        ))
 
     empty = F.struct(
         F.lit("").alias("text"), F.lit(0).alias("rows"), F.lit(0).alias("columns"),

@@ -248,3 +248,15 @@ def test_spread_leaves_inputs_with_enough_splits_alone(spark, sf):
     assert detect.spread(docs, 1) is docs
     many = spark.range(0, 100, 1, 16)
     assert detect.spread(many, 16) is many
+
+
+@pytest.mark.parametrize("name", ["csv_flatten", "csv_delimiters"])
+def test_csv_queries_flatten_one_file_on_all_cores(spark, sf, name):
+    parts = QUERIES[name](spark, sf).groupBy(F.spark_partition_id()).count().count()
+    assert parts >= spark.sparkContext.defaultParallelism
+
+
+def test_csv_steps_are_evaluated_once(spark):
+    frame = spark.createDataFrame([("a;b",)], "t string").select(infer_delimiter(F.col("t")).alias("d"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("split(") == 1
