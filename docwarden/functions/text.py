@@ -28,8 +28,11 @@ def first_chars(text: Column | str, limit: int | None) -> Column:
 
 
 def compact(text: Column) -> Column:
-    """Collapse whitespace runs to one space and trim."""
-    return F.btrim(F.regexp_replace(text, f"[{SPACE}]+", " "), F.lit(" "))
+    """Collapse whitespace runs to one space and trim.
+
+    Runs that are one space already, nearly all of them, are not matched: nothing is copied for them.
+    """
+    return F.btrim(F.regexp_replace(text, f" [{SPACE}]++|[{SPACE}&&[^ ]][{SPACE}]*+", " "), F.lit(" "))
 
 
 def compact_text(text: Column, max_chars: int | None = None) -> Column:

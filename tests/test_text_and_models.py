@@ -1,7 +1,8 @@
 import random
 
-from docwarden.functions.hashing import dense_vector
-from docwarden.functions.text import piece_substring, pieces, terms
+from docwarden.catalog import SPACE
+from docwarden.functions.hashing import chunk_sums, dense_vector, hashed_scores, sparse_sums, term_codes
+from docwarden.functions.text import compact, piece_substring, pieces, terms
 from docwarden.operators import detect, models, nlp, retrieval
 from pyspark.sql import functions as F
 
@@ -301,3 +302,33 @@ def test_model_entities_in_long_texts(spark, docs):
             (0, "ACME"), (0, "a@b.com"), (0, "GLOBEX"), (0, "INITECH"), (2, "SHOUT@x.org")]
         assert all(text[r.start: r.end] == r.value for r in rows if r.doc_id == 0)
         assert got.columns == scans.columns
+
+
+def test_chunk_sums_and_scores_equal_those_of_one_text(spark):
+    lists = [["alpha beta beta the_end", "", "ab c1", "é alpha2 été"], [], None, ["the " * 500], ["x"] * 9_000 + ["beta alpha"]]
+    rows = spark.createDataFrame(
+        [(i, t, ["alpha", "beta", "alpha"] if i % 2 == 0 else []) for i, t in enumerate(lists)],
+        "i int, t array<string>, q array<string>").repartition(1)
+    got = rows.select("i", chunk_sums(F.col("t")).alias("sums"), hashed_scores(F.col("t"), F.col("q")).alias("scores"))
+    found = {r.i: (r.sums, r.scores) for r in got.collect()}
+    assert found[2] == (None, None) and found[1] == ([], [])
+    one = rows.where("t IS NOT NULL").select("i", "q", F.posexplode("t").alias("at", "x")).where("at < 4 OR at = 9000")
+    dot = F.aggregate(F.arrays_zip(dense_vector(terms(F.col("x"))).alias("a"), dense_vector(F.col("q")).alias("b")),
+                      F.lit(0.0), lambda a, z: a + z["a"] * z["b"])
+    shared = F.size(F.array_intersect("q", terms(F.col("x")))) / F.greatest(F.size(F.array_distinct("q")), F.lit(1))
+    for r in one.select("i", "at", sparse_sums(term_codes(terms(F.col("x")))).alias("s"), (dot + shared).alias("score")).collect():
+        assert found[r.i][0][r.at] == r.s
+        assert abs(found[r.i][1][r.at] - r.score) < 1e-12
+
+
+def test_chunks_are_hashed_over_arrow_batches(spark, docs):
+    for rows in (retrieval.hash_vectors(docs("alpha beta")), retrieval.retrieve(docs("alpha beta"))):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
+def test_compact_leaves_single_spaces_alone(spark):
+    texts = [" a  b ", "a b", "\ta\n\nb", "a \u00a0b\x1c c", "  ", "", "\u2028", "a\u3000 b \n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.btrim(F.regexp_replace("t", f"[{SPACE}]+", " "), F.lit(" "))
+    assert rows.where(compact(F.col("t")) != plain).isEmpty()
