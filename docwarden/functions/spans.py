@@ -16,8 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docwarden.catalog import (
-    CONTEXT_MAX_LENGTH, CONTEXT_STOP_MARKERS, CONTEXT_STRIP_CHARS, ODD_CASE_LETTERS, Pattern,
-    SPACE,
+    CONTEXT_MAX_LENGTH, CONTEXT_STOP_MARKERS, CONTEXT_STRIP_CHARS, DIGIT_REACH, ODD_CASE_LETTERS,
+    Pattern, SPACE,
 )
 from docwarden.functions.once import named
 from docwarden.functions.sqltext import quote
@@ -42,12 +42,45 @@ def has_odd_case(text: Column) -> Column:
     return reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in ODD_CASE_LETTERS])
 
 
+#: The space and lower-case letters, the most frequent in running text first.
+FREQUENT = " etaoinshrdlcumwfgypbvkjxqz"
+
+
+def rare_part(word: str) -> str:
+    """The end of a word, of four characters or more, that starts with its rarest letter."""
+    starts = range(max(1, len(word) - 3))
+    return word[max(starts, key=lambda i: (FREQUENT.find(word[i]) % 99, -i)):]
+
+
+def holds(text: Column, word: str) -> Column:
+    """``contains``, which stops at every occurrence of the first letter: a rarer one is tried first."""
+    found, part = F.contains(text, F.lit(word)), rare_part(word)
+    return found if part == word else F.contains(text, F.lit(part)) & found
+
+
+def digits_from(text: Column) -> Column:
+    """Code points before which no pattern with ``digits`` matches, and one more to look back at."""
+    plain = F.regexp_extract(text, r"^[^\p{Nd}]*+", 0)
+    return F.greatest(F.length(plain) - F.lit(DIGIT_REACH), F.lit(0))
+
+
+def anchor_from(text: Column, anchor: str) -> Column:
+    """Code points before the word (between spaces) that holds the first ``anchor``."""
+    before = F.substring_index(text, anchor, 1)
+    return F.length(before) - F.length(F.substring_index(before, " ", -1))
+
+
+def text_from(text: Column, start: Column) -> Column:
+    """The text after its first ``start`` code points."""
+    return F.substring(text, start + 1, F.lit(2**31 - 1))
+
+
 def guard(pattern: Pattern, text: Column, lowered: Column, odd_case: Column) -> Column:
     """Cheap necessary condition for ``pattern`` to match anywhere."""
     if pattern.probe:
         return text.rlike(pattern.probe)
     searched = lowered if pattern.ignore_case else text
-    found = reduce(Column.__or__, [F.contains(searched, F.lit(w)) for w in pattern.words])
+    found = reduce(Column.__or__, [holds(searched, w) for w in pattern.words])
     return found | odd_case if pattern.ignore_case else found
 
 
@@ -87,15 +120,15 @@ def running(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
 
 
 def spans_of_parts(parted: Column) -> Column:
-    """Spans of one ``struct<p, parts>``, in text order."""
-    priority, parts = parted["p"], parted["parts"]
+    """Spans of one ``struct<p, start, parts>``, in text order."""
+    priority, start, parts = parted["p"], parted["start"], parted["parts"]
     ends = running(F.transform(parts, lambda x: F.length(x)), lambda a, b: a + b)
 
     def listed(till: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)),
             lambda i: F.struct(
-                till[i - 1].alias("s"), priority.alias("p"), till[i].alias("e"),
+                (start + till[i - 1]).alias("s"), priority.alias("p"), (start + till[i]).alias("e"),
                 parts[i].alias("v"),
             ),
         )
@@ -106,19 +139,33 @@ def spans_of_parts(parted: Column) -> Column:
 
 
 def match_spans(
-    patterns: Sequence[tuple[int, Pattern]], text: Column, lowered: Column, odd_case: Column
+    patterns: Sequence[tuple[int, Pattern]], text: Column, lowered: Column, odd_case: Column,
+    digits: tuple[Column, Column] | None = None,
 ) -> Column:
-    """All matches of each pattern on its own, as one array of spans."""
-    parted = [
-        F.when(
-            guard(pattern, text, lowered, odd_case),
-            F.struct(F.lit(priority).alias("p"), marked_parts(text, pattern).alias("parts")),
-        )
-        for priority, pattern in patterns
-    ]
-    return F.flatten(
-        F.transform(F.filter(F.array(*parted), lambda x: x.isNotNull()), spans_of_parts)
-    )
+    """All matches of each pattern on its own, as one array of spans.
+
+    ``digits``: ``digits_from(text)`` and the text from there, which patterns with ``digits`` search.
+    """
+
+    def parted(priority: int, pattern: Pattern) -> Column:
+        def parts(start: Column, searched: Column) -> Column:
+            return F.struct(
+                F.lit(priority).alias("p"), start.alias("start"),
+                marked_parts(searched, pattern).alias("parts"),
+            )
+
+        if pattern.digits and digits is not None:
+            start, rest = digits
+            return F.when(guard(pattern, rest, lowered, odd_case), parts(start, rest))
+        whole = parts(F.lit(0), text)
+        if pattern.anchor:
+            whole = named(
+                anchor_from(text, pattern.anchor), lambda start: parts(start, text_from(text, start))
+            )
+        return F.when(guard(pattern, text, lowered, odd_case), whole)
+
+    found = F.array(*[parted(priority, pattern) for priority, pattern in patterns])
+    return F.flatten(F.transform(F.filter(found, lambda x: x.isNotNull()), spans_of_parts))
 
 
 def clean_contextual(value: str) -> str:

@@ -19,7 +19,8 @@ from docwarden.catalog import (
 from docwarden.functions.masking import mask_value
 from docwarden.functions.once import computed_once
 from docwarden.functions.spans import (
-    MARK, clean_contextual, has_odd_case, match_copy, match_spans, resolve_overlaps,
+    MARK, clean_contextual, digits_from, has_odd_case, match_copy, match_spans, resolve_overlaps,
+    text_from,
 )
 from docwarden.functions.sqltext import quote
 from docwarden.functions.text import strip, whole_percent
@@ -61,11 +62,12 @@ def candidates(docs: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
         (i, d) for i, d in enumerate(DETECTORS) if only is None or d.category in set(only)
     ]
     prepared = docs.withColumns({"_match": match_copy(F.col("text"))}).withColumns(
-        {"_lower": F.lower("_match"), "_odd": has_odd_case(F.col("_match"))}
-    )
-    matched = prepared.withColumn(
-        "_spans", match_spans(chosen, F.col("_match"), F.col("_lower"), F.col("_odd"))
-    )
+        {"_lower": F.lower("_match"), "_odd": has_odd_case(F.col("_match")),
+         "_start": digits_from(F.col("_match"))}
+    ).withColumn("_match_rest", text_from(F.col("_match"), F.col("_start")))
+    matched = prepared.withColumn("_spans", match_spans(
+        chosen, F.col("_match"), F.col("_lower"), F.col("_odd"), (F.col("_start"), F.col("_match_rest"))
+    ))
     checked = F.expr(
         f"""filter(_spans, c -> CASE c.p
               WHEN {_CARD} THEN {card_valid('c.v')}
@@ -80,7 +82,7 @@ def candidates(docs: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
     return (
         matched.withColumn("_spans", checked)
         .withColumn("candidates", cleaned)
-        .drop("_match", "_lower", "_odd", "_spans")
+        .drop("_match", "_lower", "_odd", "_start", "_match_rest", "_spans")
     )
 
 
