@@ -1322,9 +1322,11 @@ def semantic_signals(spark, d):
 
 
 def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
-    """The files of a table, which is one file or a folder of files: only a glob path takes both."""
+    """The files of a table, which is one file or a folder of files: only a glob path takes both.
+
+    Below a glob path Spark finds the columns that name a table's subfolders only with a base path."""
     schema = read_table(spark, d, table).schema
-    return spark.readStream.schema(schema).parquet(f"{d}/[{table[0]}]{table[1:]}.parquet")
+    return spark.readStream.schema(schema).option("basePath", d).parquet(f"{d}/[{table[0]}]{table[1:]}.parquet")
 
 
 def _run_to_table(rows: DataFrame, folder: str) -> DataFrame:

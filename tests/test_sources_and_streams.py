@@ -147,6 +147,15 @@ def test_stream_queries_read_tables_that_are_folders(spark, sf, tmp_path, name):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+@pytest.mark.parametrize("name", ["stream_scan", "stream_persist", "stream_monitor", "stream_scan_monitor"])
+def test_stream_queries_read_tables_whose_folders_name_a_column(spark, sf, tmp_path, name):
+    for table, column in (("documents", "lang"), ("conversations", "role"), ("events", "event_type")):
+        spark.read.parquet(f"{sf}/{table}.parquet").write.partitionBy(column).parquet(str(tmp_path / f"{table}.parquet"))
+    got, want = QUERIES[name](spark, str(tmp_path)), QUERIES[name](spark, sf)
+    assert not want.isEmpty()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def _events(spark, rows, folder):
     schema = "analysis_id string, created_at timestamp, status string, model_provider string, latency_ms int"
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
